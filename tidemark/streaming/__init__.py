@@ -1,0 +1 @@
+"""No streaming operators: every input of these metrics is a closed batch table."""
