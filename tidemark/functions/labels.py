@@ -65,8 +65,9 @@ def count_text(c: ColumnOrName, unit: str = "명") -> Column:
 
 
 def percent_text(c: ColumnOrName, digits: int = 1) -> Column:
-    """``12.3%`` for 0.123."""
-    return F.format_string(f"%.{digits}f%%", as_col(c).cast("double") * 100)
+    """``12.3%`` for 0.123, rounded half-up on the decimal digits of the rate."""
+    percent = F.round(as_col(c).cast("decimal(20,6)") * 100, digits)
+    return F.format_string(f"%.{digits}f%%", percent.cast("double"))
 
 
 def month_text(c: ColumnOrName) -> Column:

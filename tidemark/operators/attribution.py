@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.timekeys import day_of, month_key
+from tidemark.functions.timekeys import day_of, month_key, month_start
 from tidemark.operators.joins import null_safe_left_join
 
 INSTALL_COLUMNS = ("attribute_type", "install_time", "attribute_id", "campaign")
@@ -46,17 +46,29 @@ def signups_by_attribution(
     non_organic: DataFrame,
     grain: str = "day",
     keep_unattributed: bool = False,
+    with_all: bool = False,
 ) -> DataFrame:
     """Distinct signups per day or month and attribute type, in that order.
 
     Signups without a matching install are left out unless ``keep_unattributed``.
+    ``with_all`` adds the type ``all``: a user of both types counts once there.
     """
-    period = {
-        "day": F.col("create_date"),
-        "month": month_key("create_date").alias("create_year_month"),
+    period, column = {
+        "day": (F.col("create_date"), "create_date"),
+        "month": (month_start("create_date"), "create_year_month"),
     }[grain]
     attributed = attributed_signups(users, organic, non_organic).filter(F.col("create_date").isNotNull())
     if not keep_unattributed:
         attributed = attributed.filter(F.col("attribute_type").isNotNull())
-    counts = attributed.groupBy(period, "attribute_type").agg(F.count_distinct("user_id").alias("user_cnt"))
-    return counts.orderBy(*counts.columns[:2])
+    signups = attributed.select(period.alias(column), "attribute_type", "user_id")
+    distinct_users = F.count_distinct("user_id").alias("user_cnt")
+    if with_all:
+        keys = [column, "attribute_type"]
+        kind = F.when(F.grouping("attribute_type") == 1, "all").otherwise(F.col("attribute_type")).alias("kind")
+        counts = signups.groupingSets([keys, keys[:1]], *keys).agg(kind, distinct_users)
+        counts = counts.select(column, F.col("kind").alias("attribute_type"), "user_cnt")
+    else:
+        counts = signups.groupBy(column, "attribute_type").agg(distinct_users)
+    if grain == "month":
+        counts = counts.withColumn(column, month_key(column))
+    return counts.orderBy(column, "attribute_type")

@@ -11,73 +11,57 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import reaches
 from tidemark.functions.ratios import ratio_or_zero
-from tidemark.functions.timekeys import day_of, month_key, month_number, month_start
+from tidemark.functions.timekeys import day_of, month_key, month_start
 from tidemark.operators.joins import one_row_per_user
 from tidemark.operators.reshape import melt
 
 OFFSETS = (1, 7, 14, 30)
 USER_TYPES = {"all": "all", "new": "new", "returning": "returning"}
-LAST_DAY_BIT = 30  # bit 0 is the first of the month, bit 30 the thirty-first
-
-
-def _shift_left(bits: Column, by: Column) -> Column:
-    return F.call_function("shiftleft", bits, by)
-
-
-def _shift_right(bits: Column, by: Column) -> Column:
-    return F.call_function("shiftright", bits, by)
-
-
-def _day_bit(day: Column) -> Column:
-    return _shift_left(F.lit(1).cast("bigint"), F.dayofmonth(day) - 1)
-
-
-def _lowest(bits: Column) -> Column:
-    return bits.bitwiseAND(-bits)
+LAST_BIT = 30  # bit 0 is the first of the month, bit 30 the thirty-first
 
 
 def user_months(logins: DataFrame, user: str = "user_id", date: str = "login_date") -> DataFrame:
     """One row per user and month; ``days`` has a bit for each day with a login."""
-    day = day_of(date)
     known = logins.filter(F.col(user).isNotNull() & F.col(date).isNotNull())
-    return known.groupBy(F.col(user).alias("user_id"), month_start(date).alias("month")).agg(
-        F.bit_or(_day_bit(day)).alias("days")
-    )
+    dated = known.select(F.col(user).alias("user_id"), day_of(date).alias("day"))
+    bits = F.expr("bit_or(shiftleft(1L, dayofmonth(day) - 1))").alias("days")
+    return dated.groupBy("user_id", month_start("day").alias("month")).agg(bits)
 
 
 def _with_signup_bit(activity: DataFrame, users: DataFrame | None) -> DataFrame:
     """Add ``new_day``: the bit of the signup day if the user logged in on it."""
     if users is None:
-        first_month = F.min("month").over(Window.partitionBy("user_id"))
-        new_day = F.when(F.col("month") == first_month, _lowest(F.col("days"))).otherwise(F.lit(0))
-        return activity.withColumn("new_day", new_day)
+        first_day = "month = min(month) OVER (PARTITION BY user_id)"
+        return activity.withColumn("new_day", F.expr(f"CASE WHEN {first_day} THEN days & -days ELSE 0L END"))
     signups = one_row_per_user(users, "create_date").withColumn("create_date", day_of("create_date"))
-    in_signup_month = F.col("month") == F.trunc("create_date", "month")
-    new_day = F.when(in_signup_month, F.col("days").bitwiseAND(_day_bit(F.col("create_date")))).otherwise(F.lit(0))
-    return activity.join(signups, "user_id", "left").withColumn("new_day", new_day).drop("create_date")
+    new_day = """CASE WHEN month = trunc(create_date, 'month')
+                      THEN days & shiftleft(1L, dayofmonth(create_date) - 1) ELSE 0L END"""
+    return activity.join(signups, "user_id", "left").select("user_id", "month", "days", F.expr(new_day).alias("new_day"))
+
 
+def _months_ahead(n: int) -> range:
+    """How many months ahead a day plus ``n`` can lie."""
+    return range(n // 31, (n + LAST_BIT) // 28 + 1)
 
-def _returned(n: int) -> Column:
+
+def _returned(n: int) -> str:
     """Bits of the days after which the user came back exactly ``n`` days later.
 
-    Day ``d`` plus ``n`` falls into the month ``k`` months ahead for a few
-    possible ``k``; that month's bits are moved to this month's positions.
+    The bits of the months where day + n can lie are moved to the positions of
+    this month: ``gap_k`` is the distance in days to the month k months ahead.
     """
-    in_time = Window.partitionBy("user_id").orderBy(month_number("month"))
-    later = F.lit(0).cast("bigint")
-    for k in range(n // 31, (n + LAST_DAY_BIT) // 28 + 1):
-        days = F.col("days") if k == 0 else F.max("days").over(in_time.rangeBetween(k, k))
-        move = F.datediff(F.add_months("month", k), "month") - n
-        moved = F.when(move.between(0, LAST_DAY_BIT), _shift_left(days, move)).when(
-            move.between(-LAST_DAY_BIT, -1), _shift_right(days, -move)
-        )
-        later = later.bitwiseOR(F.coalesce(moved, F.lit(0).cast("bigint")))
-    return F.col("days").bitwiseAND(later)
+    moved = [
+        f"""CASE WHEN gap_{k} - {n} BETWEEN 0 AND {LAST_BIT} THEN shiftleft(ahead_{k}, gap_{k} - {n})
+                 WHEN gap_{k} - {n} BETWEEN -{LAST_BIT} AND -1 THEN shiftright(ahead_{k}, {n} - gap_{k})
+                 ELSE 0L END"""
+        for k in _months_ahead(n)
+    ]
+    return f"days & ({' | '.join(moved)})"
 
 
 def user_day_totals(
@@ -94,28 +78,28 @@ def user_day_totals(
     their sum over a month is the month's distinct users.
     """
     activity = _with_signup_bit(user_months(logins, user, date), users)
-    masks = activity.select(
+    numbered = activity.withColumn("month_no", F.expr("year(month) * 12 + month(month)"))
+    ahead = []
+    for k in sorted({k for n in offsets for k in _months_ahead(n)}):
+        frame = f"PARTITION BY user_id ORDER BY month_no RANGE BETWEEN {k} FOLLOWING AND {k} FOLLOWING"
+        ahead.append("days AS ahead_0" if k == 0 else f"coalesce(max(days) OVER ({frame}), 0L) AS ahead_{k}")
+        ahead.append(f"datediff(add_months(month, {k}), month) AS gap_{k}")
+    masks = numbered.selectExpr("month", "days", "new_day", *ahead).selectExpr(
         "month",
         "days",
-        F.col("new_day").cast("bigint").alias("new_day"),
-        *[_returned(n).alias(f"d{n}") for n in offsets],
+        "new_day",
+        "days & -days AS first_all",
+        "(days & ~new_day) & -(days & ~new_day) AS first_returning",
+        *[f"{_returned(n)} AS d{n}" for n in offsets],
     )
-    later_days = F.col("days").bitwiseAND(F.bitwise_not("new_day"))
-    masks = masks.withColumns({"first_all": _lowest(F.col("days")), "first_returning": _lowest(later_days)})
-    positions = F.explode(F.array(*[F.lit(i) for i in range(LAST_DAY_BIT + 1)])).alias("bit")
-    per_day = masks.select("*", positions).filter(F.getbit("days", F.col("bit")) == 1)
-
-    def count_bits(bits: Column) -> Column:
-        return F.sum(F.getbit(bits, F.col("bit")))
-
-    new_day = F.col("new_day")
-    return per_day.groupBy(F.date_add("month", F.col("bit")).alias("login_date")).agg(
+    positions = ", ".join(str(bit) for bit in range(LAST_BIT + 1))
+    per_day = masks.selectExpr("*", f"explode(array({positions})) AS bit").filter("getbit(days, bit) = 1")
+    sums = {"new_users": "new_day", "first_all": "first_all", "first_returning": "first_returning"}
+    for n in offsets:
+        sums |= {f"d{n}": f"d{n}", f"d{n}_new": f"d{n} & new_day"}
+    return per_day.groupBy(F.expr("date_add(month, bit)").alias("login_date")).agg(
         F.count("*").alias("dau"),
-        count_bits(new_day).alias("new_users"),
-        count_bits(F.col("first_all")).alias("first_all"),
-        count_bits(F.col("first_returning")).alias("first_returning"),
-        *[count_bits(F.col(f"d{n}")).alias(f"d{n}") for n in offsets],
-        *[count_bits(F.col(f"d{n}").bitwiseAND(new_day)).alias(f"d{n}_new") for n in offsets],
+        *[F.expr(f"sum(getbit({mask}, bit))").alias(name) for name, mask in sums.items()],
     )
 
 
@@ -127,24 +111,25 @@ def _by_user_type(
     A day counts as eligible for offset n if day + n was still observed; the
     window for the last observed day is over the few rows of ``totals``.
     """
-    last_day = F.lit(obs_end) if obs_end else F.max("login_date").over(Window.partitionBy())
-    days = totals.withColumn("last_day", last_day).filter(F.col("login_date") <= F.col("last_day"))
-
-    def row(kind: str, dau: Column, mau: Column, returned: Mapping[int, Column]) -> Column:
-        fields = [F.lit(user_types[kind]).alias("user_type"), dau.alias("dau"), mau.alias("mau")]
+    last_day = f"DATE '{obs_end}'" if obs_end else "max(login_date) OVER ()"
+    days = totals.withColumn("last_day", F.expr(last_day)).filter("login_date <= last_day")
+    # dau, distinct users of the month, and retained users of each type
+    kinds = {
+        "all": ("dau", "first_all", "d{n}"),
+        "new": ("new_users", "new_users", "d{n}_new"),
+        "returning": ("dau - new_users", "first_returning", "d{n} - d{n}_new"),
+    }
+    rows = []
+    for kind, (dau, mau, retained) in kinds.items():
+        counts = [dau, mau]
         for n in offsets:
-            tracked = F.date_add("login_date", n) <= F.col("last_day")
-            fields.append(F.when(tracked, dau).otherwise(F.lit(0)).cast("bigint").alias(f"d{n}_eligible"))
-            fields.append(F.when(tracked, returned[n]).otherwise(F.lit(0)).cast("bigint").alias(f"d{n}_retained"))
-        return F.struct(*fields)
-
-    dau, new = F.col("dau"), F.col("new_users")
-    rows = F.array(
-        row("all", dau, F.col("first_all"), {n: F.col(f"d{n}") for n in offsets}),
-        row("new", new, new, {n: F.col(f"d{n}_new") for n in offsets}),
-        row("returning", dau - new, F.col("first_returning"), {n: F.col(f"d{n}") - F.col(f"d{n}_new") for n in offsets}),
-    )
-    return days.select("login_date", F.inline(rows)).filter(F.col("dau") > 0)
+            tracked = f"date_add(login_date, {n}) <= last_day"
+            counts += [f"if({tracked}, {dau}, 0L)", f"if({tracked}, {retained.format(n=n)}, 0L)"]
+        label = user_types[kind].replace("'", "\\'")
+        rows += [f"'{label}'", *counts]
+    names = ["user_type", "dau", "mau", *[f"d{n}_{what}" for n in offsets for what in ("eligible", "retained")]]
+    stacked = f"stack({len(kinds)}, {', '.join(rows)}) AS ({', '.join(names)})"
+    return days.selectExpr("login_date", stacked).filter("dau > 0")
 
 
 def _rates(offsets: Sequence[int]) -> list[Column]:
