@@ -13,7 +13,11 @@ from tidemark.functions.timekeys import day_of
 
 def period_table(spark: SparkSession, periods: Sequence[tuple[dt.date, dt.date, str]]) -> DataFrame:
     """Periods given by hand: first day, last day, text."""
-    return spark.createDataFrame(list(periods), "first_day date, last_day date, note string")
+    rows = [
+        F.struct(F.lit(first).alias("first_day"), F.lit(last).alias("last_day"), F.lit(note).alias("note"))
+        for first, last, note in periods
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
 
 
 def annotate_periods(series: DataFrame, periods: DataFrame, at: str | Column) -> DataFrame:

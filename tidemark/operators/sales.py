@@ -51,24 +51,27 @@ def shop_sales_monthly(
 
 
 def shop_sales_located(sales: DataFrame, shops: DataFrame, shop: str = "pickup_shop_name") -> DataFrame:
-    """Attach the shop dimension to a table that already has one row per shop."""
+    """Attach the shop dimension to a table that already has few rows per shop."""
     return sales.join(shops, shop, "left")
 
 
-def shop_region_sales(
+def shop_region_sales_pivot(
     orders: DataFrame,
     user_region: DataFrame,
+    regions: Sequence[str],
     month: str | None = None,
+    fill_zero: bool = False,
     shop: str = "pickup_shop_name",
     amount: str = "payment_amount",
     date: str = "order_date",
     user: str = "user_id",
     region: str = "region",
 ) -> DataFrame:
-    """Sales per month, shop and region of the payer.
+    """Sales per month and shop with a column per region of the payer.
 
-    Orders are summed per payer before they meet the region table, so a payer
-    or a shop with many orders does not make a large join partition.
+    A cell is null, or 0 with ``fill_zero``, where nothing was sold.  Orders are
+    summed per payer before they meet the region table, so a payer or a shop
+    with many orders does not make a large join partition.
     """
     dated = orders.filter(F.col(date).isNotNull() & F.col(shop).isNotNull() & F.col(user).isNotNull())
     if month is not None:
@@ -76,23 +79,6 @@ def shop_region_sales(
         dated = dated.filter((F.col(date) >= first_day) & (F.col(date) < F.add_months(first_day, 1)))
     per_payer = dated.groupBy(user, shop, month_start(date).alias("month")).agg(F.sum(amount).alias("paid"))
     located = per_payer.join(one_row_per_user(user_region, region, user=user), user)
-    sums = located.groupBy("month", shop, region).agg(F.sum("paid").alias(amount))
-    return sums.select(month_key("month").alias("order_year_month"), shop, region, amount)
-
-
-def shop_region_sales_pivot(
-    orders: DataFrame,
-    user_region: DataFrame,
-    regions: Sequence[str],
-    month: str | None = None,
-    fill_zero: bool = False,
-    shop: str = "pickup_shop_name",
-    amount: str = "payment_amount",
-    date: str = "order_date",
-    user: str = "user_id",
-    region: str = "region",
-) -> DataFrame:
-    """Shop rows by region columns; null, or 0 with ``fill_zero``, where nothing was sold."""
-    sums = shop_region_sales(orders, user_region, month, shop, amount, date, user, region)
-    wide = sums.groupBy("order_year_month", shop).pivot(region, list(regions)).agg(F.sum(amount))
-    return wide.na.fill(0, list(regions)) if fill_zero else wide
+    wide = located.groupBy("month", shop).pivot(region, list(regions)).agg(F.sum("paid"))
+    named = wide.select(month_key("month").alias("order_year_month"), shop, *[F.col(f"`{r}`") for r in regions])
+    return named.na.fill(0, list(regions)) if fill_zero else named

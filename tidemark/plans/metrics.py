@@ -54,12 +54,17 @@ ORDER_PERIODS = (
 # --- sales and cost ---------------------------------------------------------
 
 
+def _named(spark: SparkSession, sf_dir: str, sums: DataFrame) -> DataFrame:
+    """Replace the shop key of finished sums with the shop's name."""
+    return sales.shop_sales_located(sums, inputs.shop_names(spark, sf_dir), "shop_id").drop("shop_id")
+
+
 @query(f"""
 WITH {SALES}
 SELECT pickup_shop_name, CAST(sum(payment_amount) AS DOUBLE) AS sales, count(DISTINCT user_id) AS pu
 FROM sales GROUP BY 1""")
 def shop_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sales.shop_sales(inputs.shop_orders(spark, sf_dir))
+    return _named(spark, sf_dir, sales.shop_sales(inputs.shop_orders(spark, sf_dir), shop="shop_id"))
 
 
 @query(f"""
@@ -68,7 +73,7 @@ SELECT {month('order_date')} AS order_year_month, pickup_shop_name, 'payment_amo
        CAST(sum(payment_amount) AS DOUBLE) AS value
 FROM sales GROUP BY 1, 2""")
 def shop_sales_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sales.shop_sales_monthly(inputs.shop_orders(spark, sf_dir))
+    return _named(spark, sf_dir, sales.shop_sales_monthly(inputs.shop_orders(spark, sf_dir), shop="shop_id"))
 
 
 PIVOT_COLUMNS = ", ".join(
@@ -86,7 +91,7 @@ SELECT {month('order_date')} AS order_year_month, pickup_shop_name, {PIVOT_COLUM
 FROM sales JOIN user_region USING (user_id) GROUP BY 1, 2""")
 def shop_region_sales_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, regions = inputs.shop_orders(spark, sf_dir), inputs.user_world_region(spark, sf_dir)
-    return sales.shop_region_sales_pivot(orders, regions, WORLD_REGIONS)
+    return _named(spark, sf_dir, sales.shop_region_sales_pivot(orders, regions, WORLD_REGIONS, shop="shop_id"))
 
 
 @query(f"""

@@ -30,34 +30,38 @@ def _discount() -> Column:
     return F.col("l_discount").cast("decimal(4,2)")
 
 
-def _sales(spark: SparkSession, sf_dir: str, shops: DataFrame) -> DataFrame:
-    """One row per line item, sold by the shop of its supplier."""
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations, regions = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    return nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+
+
+def shop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line item; the supplier is the shop.
+
+    The shop is left as a key here.  Its name is looked up on the finished
+    sums, so the line items are not shuffled once more for it.
+    """
     orders = read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"),
         F.col("o_custkey").alias("user_id"),
         F.col("o_orderdate").alias("order_date"),
     )
     payment = (_price() * (1 - _discount())).alias("payment_amount")
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", payment)
-    sold = lines.join(orders, "l_orderkey").join(shops, "l_suppkey")
-    return sold.select("order_date", "pickup_shop_name", "payment_amount", "user_id")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("shop_id"), payment)
+    return lines.join(orders, "l_orderkey").select("order_date", "shop_id", "payment_amount", "user_id")
 
 
-def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations, regions = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    return nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
-
-
-def shop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales with the supplier as the shop."""
-    shops = read(spark, sf_dir, "supplier")
-    return _sales(spark, sf_dir, shops.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("pickup_shop_name")))
+def shop_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name of each shop key."""
+    suppliers = read(spark, sf_dir, "supplier")
+    return suppliers.select(F.col("s_suppkey").alias("shop_id"), F.col("s_name").alias("pickup_shop_name"))
 
 
 def shop_region_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales with the supplier's world region as the shop."""
+    """Like :func:`shop_orders`, with the supplier's world region as the name of the shop."""
     shops = read(spark, sf_dir, "supplier").join(_regions(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
-    return _sales(spark, sf_dir, shops.select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("pickup_shop_name")))
+    names = shops.select(F.col("s_suppkey").alias("shop_id"), F.col("r_name").alias("pickup_shop_name"))
+    return shop_orders(spark, sf_dir).join(names, "shop_id").drop("shop_id")
 
 
 def shop_places(spark: SparkSession, sf_dir: str) -> DataFrame:
