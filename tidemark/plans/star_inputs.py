@@ -2,7 +2,7 @@
 
 Orders stand for logins as well as for sales, the first order for the signup,
 and two event types for the two kinds of install.  Amounts have two decimals in
-the source, so products of them are exact in decimal arithmetic.
+the source and are kept as exact decimals.
 """
 
 from __future__ import annotations
@@ -22,12 +22,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _price() -> Column:
-    return F.col("l_extendedprice").cast("decimal(15,2)")
+def _hundredths(c: str) -> str:
+    """A non-negative double with two decimals as a whole number of hundredths."""
+    return f"floor({c} * 100 + 0.5)"
+
+
+def _amount(units: str, digits: int) -> Column:
+    """Whole units of 10^-digits as an exact decimal.
+
+    Casting a double to decimal goes through its text, row by row; this does not.
+    """
+    return F.expr(f"CAST(CAST({units} AS DECIMAL(18,0)) * {10**-digits:.{digits}f}BD AS DECIMAL(18,{digits}))")
+
+
+def _payment() -> Column:
+    """Price after discount."""
+    return _amount(f"{_hundredths('l_extendedprice')} * (100 - {_hundredths('l_discount')})", 4)
 
 
 def _discount() -> Column:
-    return F.col("l_discount").cast("decimal(4,2)")
+    """The discount as an amount."""
+    return _amount(f"{_hundredths('l_extendedprice')} * {_hundredths('l_discount')}", 4)
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +61,7 @@ def shop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("user_id"),
         F.col("o_orderdate").alias("order_date"),
     )
-    payment = (_price() * (1 - _discount())).alias("payment_amount")
+    payment = _payment().alias("payment_amount")
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("shop_id"), payment)
     return lines.join(orders, "l_orderkey").select("order_date", "shop_id", "payment_amount", "user_id")
 
@@ -78,7 +93,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with its total."""
     return read(spark, sf_dir, "orders").select(
         F.col("o_orderdate").alias("order_date"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("payment_amount"),
+        _amount(_hundredths("o_totalprice"), 2).alias("payment_amount"),
         F.col("o_custkey").alias("user_id"),
     )
 
@@ -150,14 +165,14 @@ def user_world_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost rows by ship date."""
     return read(spark, sf_dir, "lineitem").select(
-        F.to_date("l_shipdate").alias("aggregate_date"), (_price() * _discount()).alias("cost")
+        F.to_date("l_shipdate").alias("aggregate_date"), _discount().alias("cost")
     )
 
 
 def campaign_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost rows by ship date and the segment of the ordering customer."""
     lines = read(spark, sf_dir, "lineitem").select(
-        F.to_date("l_shipdate").alias("aggregate_date"), (_price() * _discount()).alias("cost"), "l_orderkey"
+        F.to_date("l_shipdate").alias("aggregate_date"), _discount().alias("cost"), "l_orderkey"
     )
     owners = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     segments = read(spark, sf_dir, "customer").select(
