@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.timekeys import ColumnOrName, as_col, month_from_key, months_elapsed
+from tidemark.functions.timekeys import ColumnOrName, as_col
 
 
 def differs(c: ColumnOrName, value) -> Column:
@@ -26,8 +26,10 @@ def month_between(c: ColumnOrName, first: str | None = None, last: str | None =
 
 
 def cohort_complete(cohort_month: ColumnOrName, observed_to: dt.date, horizon: int) -> Column:
-    """Has a ``yyyy-MM`` cohort been tracked for ``horizon`` months by ``observed_to``?"""
-    return months_elapsed(month_from_key(cohort_month), F.lit(observed_to)) >= F.lit(horizon)
+    """Has the cohort of a month (any date in it) been tracked for ``horizon`` months by ``observed_to``?"""
+    last = observed_to.year * 12 + observed_to.month - 1 - horizon
+    following = dt.date((last + 1) // 12, (last + 1) % 12 + 1, 1)
+    return as_col(cohort_month) < F.lit(following)
 
 
 def reaches(rate: ColumnOrName, threshold: float) -> Column:

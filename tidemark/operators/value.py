@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import cohort_complete
 from tidemark.functions.ratios import money_ratio
-from tidemark.functions.timekeys import day_of, month_from_key, month_key, month_start, months_elapsed
+from tidemark.functions.timekeys import day_of, month_key, month_start, months_elapsed
 from tidemark.operators.joins import one_row_per_user
 
 ALL = "all"
@@ -33,25 +33,20 @@ def _with_all(df: DataFrame, by: str, keys: list[str], measure: str) -> DataFram
     return sets.filter(F.col("_label").isNotNull()).select(F.col("_label").alias(by), *keys, measure)
 
 
-def cohort_ltv(
+def _cohort_revenue(
     users: DataFrame,
     orders: DataFrame,
     max_period: int,
     obs_end: dt.date,
-    by: str = "attribute_type",
-    with_all: bool = True,
+    by: str,
+    with_all: bool,
     user: str = "user_id",
     date: str = "order_date",
     amount: str = "payment_amount",
 ) -> DataFrame:
-    """Cumulative spend of each signup cohort by months since signup.
-
-    A cohort is a value of ``by`` and a signup month.  ``ltv`` divides by all
-    its members, buyers or not.  Periods run from 0 to ``max_period`` as far as
-    they had begun by ``obs_end``; one without orders repeats the last sum.
-    """
-    members = one_row_per_user(users, "create_date", by).select(
-        "user_id", day_of("create_date").alias("create_date"), by, month_start("create_date").alias("month")
+    """Size and cumulative revenue per cohort and period; the signup month is a DATE."""
+    members = one_row_per_user(users, "create_date", by, user=user).select(
+        F.col(user).alias("user_id"), day_of("create_date").alias("create_date"), by, month_start("create_date").alias("month")
     )
     members = members.filter(F.col("month") <= F.lit(obs_end))
     spend = user_daily_spend(orders, user, date, amount).filter(F.col("order_day") <= F.lit(obs_end))
@@ -71,38 +66,72 @@ def cohort_ltv(
     periods = sizes.withColumn("ltv_period", F.explode(F.sequence(F.lit(0), last_period)))
     so_far = Window.partitionBy(by, "month").orderBy("ltv_period").rowsBetween(Window.unboundedPreceding, 0)
     filled = periods.join(revenue, [by, "month", "ltv_period"], "left")
-    summed = filled.withColumn("revenue", F.sum(F.coalesce("paid", F.lit(0))).over(so_far))
-    return summed.select(
-        by,
-        month_key("month").alias("create_year_month"),
-        "ltv_period",
-        "user_cnt",
-        "revenue",
-        money_ratio("revenue", "user_cnt", 2).alias("ltv"),
-    )
+    running = F.sum(F.coalesce("paid", F.lit(0))).over(so_far)
+    return filled.select(by, "month", "ltv_period", "user_cnt", running.alias("revenue"))
 
 
-def _with_roas(ltv: DataFrame, cost: DataFrame, keys: list[str], obs_end: dt.date, horizon: int) -> DataFrame:
-    """Attach cost and ROAS to cohorts tracked for at least ``horizon`` months."""
-    closed = ltv.filter(cohort_complete("create_year_month", obs_end, horizon))
-    rated = closed.join(cost, keys, "left")
-    return rated.withColumn("roas", money_ratio("revenue", "cost", 4))
+def cohort_ltv(
+    users: DataFrame,
+    orders: DataFrame,
+    max_period: int,
+    obs_end: dt.date,
+    by: str = "attribute_type",
+    with_all: bool = True,
+    **columns: str,
+) -> DataFrame:
+    """Cumulative spend of each signup cohort by months since signup.
+
+    A cohort is a value of ``by`` and a signup month.  ``ltv`` divides by all
+    its members, buyers or not.  Periods run from 0 to ``max_period`` as far as
+    they had begun by ``obs_end``; one without orders repeats the last sum.
+    ``columns`` renames the ``user``, ``date`` and ``amount`` of the orders.
+    """
+    cohorts = _cohort_revenue(users, orders, max_period, obs_end, by, with_all, **columns)
+    return cohorts.select(by, *_value_columns())
+
+
+def _value_columns() -> list[Column]:
+    return [
+        month_key("month").alias("create_year_month"),
+        F.col("ltv_period"),
+        F.col("user_cnt"),
+        F.col("revenue"),
+        money_ratio("revenue", "user_cnt", 2).alias("ltv"),
+    ]
 
 
 def cost_by_month(cost: DataFrame, *keys: str) -> DataFrame:
-    """Cost per month, and per ``keys`` where given."""
+    """Cost per month, and per ``keys`` where given; the month is a DATE."""
     dated = cost.filter(F.col("aggregate_date").isNotNull())
-    sums = dated.groupBy(*keys, month_start("aggregate_date").alias("month")).agg(F.sum("cost").alias("cost"))
-    return sums.select(*keys, month_key("month").alias("create_year_month"), "cost")
+    return dated.groupBy(*keys, month_start("aggregate_date").alias("month")).agg(F.sum("cost").alias("cost"))
 
 
-def roas_by_attribute(ltv: DataFrame, cost: DataFrame, obs_end: dt.date, horizon: int = 1) -> DataFrame:
+def _roas(cohorts: DataFrame, cost: DataFrame, by: str, keys: list[str], obs_end: dt.date, horizon: int) -> DataFrame:
+    """ROAS of the cohorts tracked for at least ``horizon`` months.
+
+    The month is a DATE up to here: Spark copies the filter to the cost rows,
+    where comparing texts would mean formatting every single row.
+    """
+    closed = cohorts.filter(cohort_complete("month", obs_end, horizon))
+    rated = closed.join(cost, keys, "left")
+    return rated.select(by, *_value_columns(), "cost", money_ratio("revenue", "cost", 4).alias("roas"))
+
+
+def roas_by_attribute(
+    users: DataFrame,
+    orders: DataFrame,
+    cost: DataFrame,
+    max_period: int,
+    obs_end: dt.date,
+    horizon: int = 1,
+) -> DataFrame:
     """ROAS per attribute type and signup month: cumulative revenue over the month's cost.
 
     Organic signups have no cost of their own; every type is set against the
     total cost of its signup month.
     """
-    return _with_roas(ltv, cost_by_month(cost), ["create_year_month"], obs_end, horizon)
+    cohorts = _cohort_revenue(users, orders, max_period, obs_end, "attribute_type", with_all=True)
+    return _roas(cohorts, cost_by_month(cost), "attribute_type", ["month"], obs_end, horizon)
 
 
 def roas_by_campaign(
@@ -114,5 +143,5 @@ def roas_by_campaign(
     horizon: int = 1,
 ) -> DataFrame:
     """ROAS per campaign and signup month, against the campaign's own cost in that month."""
-    ltv = cohort_ltv(users, orders, max_period, obs_end, by="campaign", with_all=False)
-    return _with_roas(ltv, cost_by_month(cost, "campaign"), ["campaign", "create_year_month"], obs_end, horizon)
+    cohorts = _cohort_revenue(users, orders, max_period, obs_end, "campaign", with_all=False)
+    return _roas(cohorts, cost_by_month(cost, "campaign"), "campaign", ["campaign", "month"], obs_end, horizon)

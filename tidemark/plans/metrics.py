@@ -192,23 +192,25 @@ FROM ltv l LEFT JOIN spent s ON s.ym = l.create_year_month{match}
 WHERE {closed}"""
 
 
-def _ltv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users, orders = inputs.segment_users(spark, sf_dir), inputs.orders(spark, sf_dir)
-    return value.cohort_ltv(users, orders, MAX_PERIOD, inputs.OBS_END)
-
-
 @query(f"""
 WITH {_ltv_ctes('attribute_type', True)}
 SELECT grp AS attribute_type, create_year_month, ltv_period, user_cnt, CAST(revenue AS DOUBLE) AS revenue,
        {LTV_VALUE} AS ltv
 FROM ltv""")
 def cohort_ltv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ltv(spark, sf_dir)
+    users, orders = inputs.segment_users(spark, sf_dir), inputs.orders(spark, sf_dir)
+    return value.cohort_ltv(users, orders, MAX_PERIOD, inputs.OBS_END)
 
 
 @query(_roas_sql("attribute_type", True, "", 1))
 def roas_by_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return value.roas_by_attribute(_ltv(spark, sf_dir), inputs.cost(spark, sf_dir), inputs.OBS_END)
+    return value.roas_by_attribute(
+        inputs.segment_users(spark, sf_dir),
+        inputs.orders(spark, sf_dir),
+        inputs.cost(spark, sf_dir),
+        MAX_PERIOD,
+        inputs.OBS_END,
+    )
 
 
 @query(_roas_sql("campaign", False, "campaign", MAX_PERIOD))
