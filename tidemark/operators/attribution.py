@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.timekeys import day_of, month_key, month_start
-from tidemark.operators.joins import null_safe_key
+from tidemark.operators.joins import null_safe_left_join
 
-ATTRIBUTE_TYPES = ("organic", "non_organic")
 INSTALL_COLUMNS = ("attribute_type", "install_time", "attribute_id", "campaign")
 
 
@@ -30,27 +29,21 @@ def attributed_signups(users: DataFrame, organic: DataFrame, non_organic: DataFr
 
     A null id matches a null id.  The type is null where nothing matched.
 
-    Installs are reduced to one row per id and day before the join.  That keeps
-    the join from multiplying rows, and lets Spark split an id shared by many
-    signups (the null id above all) over several tasks.
+    Installs are reduced to at most one row per id, day and type before the
+    join, which keeps the join from multiplying rows.  An id shared by many
+    signups (the null id above all) is then split over tasks by adaptive
+    execution; that needs the join to shuffle the installs itself, so the
+    reduction must not leave them partitioned on just the join keys.
     """
     installs = tagged_installs(organic, non_organic).select(
-        *null_safe_key("attribute_id", "id"), day_of("install_time").alias("create_date"), "attribute_type"
-    )
-    keys = ["id", "id_unknown", "create_date"]
-    seen = installs.groupBy(*keys).agg(
-        *[F.max(F.col("attribute_type") == kind).alias(kind) for kind in ATTRIBUTE_TYPES]
-    )
-    signups = users.select("user_id", *null_safe_key("attribute_id", "id"), day_of("create_date").alias("create_date"))
-    matched = signups.filter(F.col("create_date").isNotNull()).join(seen, keys, "left")
-    # One row per type seen, or one with a null type.
-    kinds = [F.struct(F.lit(kind).alias("attribute_type"), F.col(kind).alias("applies")) for kind in ATTRIBUTE_TYPES]
-    nothing = F.struct(F.lit(None).alias("attribute_type"), F.col(ATTRIBUTE_TYPES[0]).isNull().alias("applies"))
-    return (
-        matched.select("user_id", "create_date", F.inline(F.array(*kinds, nothing)))
-        .filter("applies")
-        .select("user_id", "create_date", "attribute_type")
+        F.col("attribute_id").alias("install_id"), day_of("install_time").alias("install_day"), "attribute_type"
     )
+    signups = users.select("user_id", "attribute_id", day_of("create_date").alias("create_date"))
+    return null_safe_left_join(
+        signups.filter(F.col("create_date").isNotNull()),
+        installs.distinct(),
+        [("attribute_id", "install_id"), ("create_date", "install_day")],
+    ).select("user_id", "create_date", "attribute_type")
 
 
 def signups_by_attribution(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,10 +25,11 @@ def one_row_per_user(users: DataFrame, *attributes: str, user: str = "user_id")
     return smallest.select(user, *[F.col(f"_row.{a}").alias(a) for a in attributes])
 
 
-def null_safe_key(c: str, as_name: str) -> list[Column]:
-    """A text key as two plain columns, so that ``==`` on both also matches null with null.
+def null_safe_left_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> DataFrame:
+    """Left outer equi-join on ``(left, right)`` column pairs where null matches null.
 
-    Grouping and joining on the same two columns lets the join use the
-    partitioning of the grouping; the null-safe operator would shuffle again.
+    Spark turns each pair into an ordinary key and shuffles both sides for it,
+    so adaptive execution can split a key that holds many rows of ``left``.
     """
-    return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(as_name), F.col(c).isNull().alias(f"{as_name}_unknown")]
+    matches = [left[a].eqNullSafe(right[b]) for a, b in keys]
+    return left.join(right, reduce(lambda x, y: x & y, matches), "left")

@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.activity import user_regions
+from tidemark.sources.schemas import STAR_SCHEMAS
 
 OBS_END = dt.date(2001, 7, 31)  # last day of the last full month of orders
 ORGANIC_SEGMENT = "HOUSEHOLD"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table with its declared columns, so that no job has to look into the files for them."""
+    return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _hundredths(c: str) -> str:

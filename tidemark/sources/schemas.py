@@ -4,7 +4,10 @@ They are always given to the reader: inference would turn a ``yyyy-MM`` key
 into a timestamp.
 """
 
-GROWTH = "rank_asc int, user_cnt bigint, bef_1m_user_cnt bigint, rate_of_change double, ref_rate_of_change double, user_group string"
+GROWTH = (
+    "rank_asc int, user_cnt bigint, bef_1m_user_cnt bigint, rate_of_change double, "
+    "ref_rate_of_change double, user_group string"
+)
 
 SCHEMAS = {
     # inputs
@@ -40,3 +43,16 @@ SCHEMAS = {
         "revenue decimal(38,2), ltv double"
     ),
 }
+
+# The columns of the star schema and event log that the queries use.
+STAR_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
+    "lineitem": (
+        "l_orderkey bigint, l_suppkey bigint, l_extendedprice double, l_discount double, l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
