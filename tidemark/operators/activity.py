@@ -23,8 +23,9 @@ def monthly_activity(logins: DataFrame, user: str = "user_id", date: str = "logi
 
 def mau(logins: DataFrame, user: str = "user_id", date: str = "login_date") -> DataFrame:
     """Distinct active users per month."""
-    counts = monthly_activity(logins, user, date).groupBy("login_month").count()
-    return counts.select(month_key("login_month").alias("login_year_month"), F.col("count").alias("login_user_cnt"))
+    dated = logins.filter(F.col(date).isNotNull())
+    counts = dated.groupBy(month_start(date).alias("month")).agg(F.count_distinct(user).alias("login_user_cnt"))
+    return counts.select(month_key("month").alias("login_year_month"), "login_user_cnt")
 
 
 def dau(logins: DataFrame, user: str = "user_id", date: str = "login_date") -> DataFrame:

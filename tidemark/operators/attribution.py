@@ -24,26 +24,28 @@ def tagged_installs(organic: DataFrame, non_organic: DataFrame) -> DataFrame:
     return both.select(*INSTALL_COLUMNS)
 
 
-def attributed_signups(users: DataFrame, organic: DataFrame, non_organic: DataFrame) -> DataFrame:
-    """Signups with the types of install seen for the same attribution id on the same day.
+def attributed_signups(
+    users: DataFrame, organic: DataFrame, non_organic: DataFrame, attribute: str = "attribute_type"
+) -> DataFrame:
+    """Signups with the types (or campaigns) of install seen for the same attribution id on the same day.
 
-    A null id matches a null id.  The type is null where nothing matched.
+    A null id matches a null id.  The attribute is null where nothing matched.
 
-    Installs are reduced to at most one row per id, day and type before the
-    join, which keeps the join from multiplying rows.  An id shared by many
-    signups (the null id above all) is then split over tasks by adaptive
-    execution; that needs the join to shuffle the installs itself, so the
-    reduction must not leave them partitioned on just the join keys.
+    Installs are reduced to one row per id, day and attribute before the join,
+    which keeps the join from multiplying rows.  An id shared by many signups
+    (the null id above all) is then split over tasks by adaptive execution;
+    that needs the join to shuffle the installs itself, so the reduction must
+    not leave them partitioned on just the join keys.
     """
     installs = tagged_installs(organic, non_organic).select(
-        F.col("attribute_id").alias("install_id"), day_of("install_time").alias("install_day"), "attribute_type"
+        F.col("attribute_id").alias("install_id"), day_of("install_time").alias("install_day"), attribute
     )
     signups = users.select("user_id", "attribute_id", day_of("create_date").alias("create_date"))
     return null_safe_left_join(
         signups.filter(F.col("create_date").isNotNull()),
         installs.distinct(),
         [("attribute_id", "install_id"), ("create_date", "install_day")],
-    ).select("user_id", "create_date", "attribute_type")
+    ).select("user_id", "create_date", attribute)
 
 
 def signups_by_attribution(
