@@ -47,7 +47,8 @@ def mau_nru_series(mau: DataFrame, nru: DataFrame, start: str | None = None) ->
     Both inputs have one row per month, so the unpartitioned window sees a few
     hundred rows however large the facts are.
     """
-    active = mau.withColumn("is_latest", F.col("login_year_month") == F.max("login_year_month").over(Window.partitionBy()))
+    last_month = F.max("login_year_month").over(Window.partitionBy())
+    active = mau.withColumn("is_latest", F.col("login_year_month") == last_month)
     months = F.coalesce("login_year_month", "create_year_month")
     both = active.join(nru, F.col("login_year_month") == F.col("create_year_month"), "full")
     series = both.select(

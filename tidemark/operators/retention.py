@@ -41,7 +41,8 @@ def _with_signup_bit(activity: DataFrame, users: DataFrame | None) -> DataFrame:
     signups = one_row_per_user(users, "create_date").withColumn("create_date", day_of("create_date"))
     new_day = """CASE WHEN month = trunc(create_date, 'month')
                       THEN days & shiftleft(1L, dayofmonth(create_date) - 1) ELSE 0L END"""
-    return activity.join(signups, "user_id", "left").select("user_id", "month", "days", F.expr(new_day).alias("new_day"))
+    joined = activity.join(signups, "user_id", "left")
+    return joined.select("user_id", "month", "days", F.expr(new_day).alias("new_day"))
 
 
 def _months_ahead(n: int) -> range:
@@ -65,19 +66,15 @@ def _returned(n: int) -> str:
 
 
 def user_day_totals(
-    logins: DataFrame,
-    users: DataFrame | None = None,
-    offsets: Sequence[int] = OFFSETS,
-    user: str = "user_id",
-    date: str = "login_date",
+    months: DataFrame, users: DataFrame | None = None, offsets: Sequence[int] = OFFSETS
 ) -> DataFrame:
-    """Per login day: users, new users and how many of each came back.
+    """Per login day: users, new users and how many of each came back, from :func:`user_months`.
 
     ``first_all`` and ``first_returning`` count each user on the first day of
     the month on which they were active at all or as a returning user, so that
     their sum over a month is the month's distinct users.
     """
-    activity = _with_signup_bit(user_months(logins, user, date), users)
+    activity = _with_signup_bit(months, users)
     numbered = activity.withColumn("month_no", F.expr("year(month) * 12 + month(month)"))
     ahead = []
     for k in sorted({k for n in offsets for k in _months_ahead(n)}):
@@ -136,6 +133,34 @@ def _rates(offsets: Sequence[int]) -> list[Column]:
     return [ratio_or_zero(f"d{n}_retained", f"d{n}_eligible").alias(f"d{n}_ret") for n in offsets]
 
 
+def daily_rates(
+    totals: DataFrame,
+    offsets: Sequence[int] = OFFSETS,
+    obs_end: dt.date | None = None,
+    user_types: Mapping[str, str] = USER_TYPES,
+) -> DataFrame:
+    """Retention per day and user type from :func:`user_day_totals`."""
+    days = _by_user_type(totals, offsets, obs_end, user_types)
+    eligible = [f"d{n}_eligible" for n in offsets]
+    return days.select("login_date", "user_type", "dau", *eligible, *_rates(offsets))
+
+
+def monthly_rates(
+    totals: DataFrame,
+    offsets: Sequence[int] = OFFSETS,
+    obs_end: dt.date | None = None,
+    user_types: Mapping[str, str] = USER_TYPES,
+) -> DataFrame:
+    """Retention per month and user type from :func:`user_day_totals`."""
+    days = _by_user_type(totals, offsets, obs_end, user_types)
+    counts = [f"d{n}_{what}" for what in ("eligible", "retained") for n in offsets]
+    months = days.groupBy(month_key("login_date").alias("login_year_month"), "user_type").agg(
+        F.sum("mau").alias("mau"), F.sum("dau").alias("mau_not_unique"), *[F.sum(c).alias(c) for c in counts]
+    )
+    eligible = [f"d{n}_eligible" for n in offsets]
+    return months.select("login_year_month", "user_type", "mau", "mau_not_unique", *eligible, *_rates(offsets))
+
+
 def nday_retention_daily(
     logins: DataFrame,
     users: DataFrame | None = None,
@@ -149,9 +174,8 @@ def nday_retention_daily(
     ``users`` the first login is the signup.  A rate is 0 while day + n is not
     observed yet; ``dN_eligible`` is 0 there too.
     """
-    days = _by_user_type(user_day_totals(logins, users, offsets), offsets, obs_end, user_types)
-    eligible = [f"d{n}_eligible" for n in offsets]
-    return days.select("login_date", "user_type", "dau", *eligible, *_rates(offsets))
+    totals = user_day_totals(user_months(logins), users, offsets)
+    return daily_rates(totals, offsets, obs_end, user_types)
 
 
 def nday_retention_monthly(
@@ -165,13 +189,8 @@ def nday_retention_monthly(
 
     A rate is the retained over the eligible user-days of the month.
     """
-    days = _by_user_type(user_day_totals(logins, users, offsets), offsets, obs_end, user_types)
-    counts = [f"d{n}_{what}" for what in ("eligible", "retained") for n in offsets]
-    months = days.groupBy(month_key("login_date").alias("login_year_month"), "user_type").agg(
-        F.sum("mau").alias("mau"), F.sum("dau").alias("mau_not_unique"), *[F.sum(c).alias(c) for c in counts]
-    )
-    eligible = [f"d{n}_eligible" for n in offsets]
-    return months.select("login_year_month", "user_type", "mau", "mau_not_unique", *eligible, *_rates(offsets))
+    totals = user_day_totals(user_months(logins), users, offsets)
+    return monthly_rates(totals, offsets, obs_end, user_types)
 
 
 def retention_long(

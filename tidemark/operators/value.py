@@ -46,7 +46,10 @@ def _cohort_revenue(
 ) -> DataFrame:
     """Size and cumulative revenue per cohort and period; the signup month is a DATE."""
     members = one_row_per_user(users, "create_date", by, user=user).select(
-        F.col(user).alias("user_id"), day_of("create_date").alias("create_date"), by, month_start("create_date").alias("month")
+        F.col(user).alias("user_id"),
+        day_of("create_date").alias("create_date"),
+        by,
+        month_start("create_date").alias("month"),
     )
     members = members.filter(F.col("month") <= F.lit(obs_end))
     spend = user_daily_spend(orders, user, date, amount).filter(F.col("order_day") <= F.lit(obs_end))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.labels import count_text, month_text, percent_text
 from tidemark.functions.predicates import differs, month_between
 from tidemark.functions.timekeys import day_of, month_from_key, timestamp_of
-from tidemark.operators import activity, attribution, cohorts, ordering, sales
+from tidemark.operators import attribution, cohorts, ordering, sales
 from tidemark.plans import metrics
 from tidemark.plans import star_inputs as inputs
 from tidemark.plans.registry import ORACLES, query

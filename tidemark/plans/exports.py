@@ -1,7 +1,7 @@
 """All metric tables from the raw tables, written for other tools.
 
-The monthly tables share one reduced login table, so the raw logins are read
-once for all of them and once for retention.
+The raw logins are read once: they are reduced to a row per user and month with
+a bit per day, written, and every table about activity starts from there.
 """
 
 from __future__ import annotations
@@ -36,19 +36,20 @@ def load_raw_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: load_table(spark, root, name) for name in RAW_TABLES}
 
 
-def reduced_logins(spark: SparkSession, logins: DataFrame) -> DataFrame:
-    """One login per user and month, as a table in the shared scratch folder."""
-    path = scratch_path(spark, "monthly_logins")
-    monthly = activity.monthly_activity(logins).withColumnRenamed("login_month", "login_date")
-    write_mart(monthly, path)
-    return spark.read.schema(monthly.schema).parquet(path)
+def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared scratch folder: computed once, and safe from lost executors."""
+    path = scratch_path(spark, name)
+    write_mart(df, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def metric_tables(spark: SparkSession, raw: Mapping[str, DataFrame], settings: Settings) -> dict[str, DataFrame]:
     """Every metric table by name.  ``raw`` holds the tables of ``RAW_TABLES``."""
-    orders, logins, users, regions = raw["orders"], raw["login"], raw["users"], raw["user_region"]
+    orders, users, regions = raw["orders"], raw["users"], raw["user_region"]
     installs = raw["organic_install"], raw["non_organic_install"]
-    monthly = reduced_logins(spark, logins)
+    user_months = _written(spark, retention.user_months(raw["login"]), "user_months")
+    monthly = user_months.select("user_id", F.col("month").alias("login_date"))
+    day_totals = _written(spark, retention.user_day_totals(user_months, users), "user_day_totals")
     daily_cost = cost.daily_cost(raw["daily_cost"])
     mau, nru = activity.mau(monthly), activity.nru(users)
     mau_growth = growth.region_growth(activity.mau_by_region(monthly, regions), settings.ref_month)
@@ -80,8 +81,8 @@ def metric_tables(spark: SparkSession, raw: Mapping[str, DataFrame], settings: S
         "au_by_signup_month": by_signup_month,
         "cohort_return_rate": cohorts.cohort_return_rate(by_signup_month),
         "cohort_return_rate_by_region": cohorts.cohort_return_rate_by_region(monthly, users, regions),
-        "nday_retention_daily": retention.nday_retention_daily(logins, users, obs_end=settings.obs_end),
-        "nday_retention_monthly": retention.nday_retention_monthly(logins, users, obs_end=settings.obs_end),
+        "nday_retention_daily": retention.daily_rates(day_totals, obs_end=settings.obs_end),
+        "nday_retention_monthly": retention.monthly_rates(day_totals, obs_end=settings.obs_end),
     }
 
 
