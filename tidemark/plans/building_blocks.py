@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ from tidemark.session import scratch_path
 from tidemark.sources import tables
 from tidemark.sources.schemas import SCHEMAS
 
+LAST_EVENT_DAY = dt.date(2024, 1, 30)  # the events of this day are not complete
 AXIS_REGIONS = ("EUROPE", "ASIA", "AFRICA")
 
 
@@ -66,11 +68,14 @@ def tagged_installs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {INSTALLS} SELECT * FROM installs WHERE campaign IS DISTINCT FROM '5' AND attribute_id <> '1'")
+@query(f"""
+WITH {INSTALLS}
+SELECT * FROM installs
+WHERE campaign IS DISTINCT FROM '5' AND CAST(install_time AS DATE) IS DISTINCT FROM DATE '2024-01-30'""")
 def installs_outside_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An inequality that keeps rows without a campaign, and a second condition."""
+    """Installs outside one campaign, those without a campaign included, up to the day before the last."""
     installs = tagged_installs(spark, sf_dir)
-    return installs.filter(differs("campaign", "5") & (F.col("attribute_id") != "1"))
+    return installs.filter(differs("campaign", "5") & differs(day_of("install_time"), LAST_EVENT_DAY))
 
 
 @query(f"SELECT * FROM ({ORACLES['cohort_ltv']}) WHERE attribute_type = 'organic'")

@@ -12,9 +12,11 @@ SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Joins below keep one side unique on the key, so a hot key can be split
-    # on the other side without changing the result.
+    # Wherever a key may be hot, the join's other side has few rows per key, so
+    # the hot one can be split over tasks.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Without it, building a plan records the Python call site of every column.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
 }
 
