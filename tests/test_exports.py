@@ -56,6 +56,17 @@ def tables(spark, tmp_path_factory):
     return metric_tables(spark, load_raw_tables(spark, root), SETTINGS)
 
 
+def test_reduced_logins_are_not_shuffled_again(spark, tables):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tables["au_by_signup_month"]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(user_id") == 1, plan  # that of the users
+    assert "Bucketed: true" in plan
+
+
 def by(df, key, measure):
     return {r[key]: r.n for r in df.groupBy(key).agg(F.sum(measure).alias("n")).collect()}
 

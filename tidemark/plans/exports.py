@@ -1,7 +1,8 @@
 """All metric tables from the raw tables, written for other tools.
 
-The raw logins are read once: they are reduced to a row per user and month with
-a bit per day, written, and every table about activity starts from there.
+The raw logins are read and shuffled once: they are reduced to a row per user and
+month with a bit per day and written in buckets of users.  Every table about
+activity starts from there and joins the users without shuffling it again.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import activity, attribution, cohorts, cost, growth, retention, sales, value
 from tidemark.session import scratch_path
-from tidemark.sources.tables import load_table, write_csv, write_mart
+from tidemark.sources.tables import load_table, write_by_user, write_csv, write_mart
 
 RAW_TABLES = ("orders", "login", "users", "organic_install", "non_organic_install", "daily_cost", "user_region")
 
@@ -30,26 +31,25 @@ class Settings:
     regions: Sequence[str]  # columns of the shop by region table
     max_period: int = 12  # months of lifetime value
     series_start: str | None = None  # first month of the activity series
+    buckets: int | None = None  # of the reduced logins; the number of shuffle partitions if not given
 
 
 def load_raw_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: load_table(spark, root, name) for name in RAW_TABLES}
 
 
-def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared scratch folder: computed once, and safe from lost executors."""
-    path = scratch_path(spark, name)
-    write_mart(df, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def metric_tables(spark: SparkSession, raw: Mapping[str, DataFrame], settings: Settings) -> dict[str, DataFrame]:
     """Every metric table by name.  ``raw`` holds the tables of ``RAW_TABLES``."""
     orders, users, regions = raw["orders"], raw["users"], raw["user_region"]
     installs = raw["organic_install"], raw["non_organic_install"]
-    user_months = _written(spark, retention.user_months(raw["login"]), "user_months")
+    buckets = settings.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reduced = retention.user_months(raw["login"])
+    user_months = write_by_user(spark, reduced, scratch_path(spark, "user_months"), buckets)
     monthly = user_months.select("user_id", F.col("month").alias("login_date"))
-    day_totals = _written(spark, retention.user_day_totals(user_months, users), "user_day_totals")
+    totals = retention.user_day_totals(user_months, users)
+    totals_path = scratch_path(spark, "user_day_totals")
+    write_mart(totals, totals_path)
+    day_totals = spark.read.schema(totals.schema).parquet(totals_path)
     daily_cost = cost.daily_cost(raw["daily_cost"])
     mau, nru = activity.mau(monthly), activity.nru(users)
     mau_growth = growth.region_growth(activity.mau_by_region(monthly, regions), settings.ref_month)

@@ -49,6 +49,19 @@ def write_mart(df: DataFrame, path: str, month: str | None = None) -> None:
     df.hint("rebalance", month).write.mode("overwrite").partitionBy(month).parquet(path)
 
 
+def write_by_user(spark: SparkSession, df: DataFrame, path: str, buckets: int, user: str = "user_id") -> DataFrame:
+    """A bucketed table of ``df`` under ``path``: later groupings and joins on the user need no shuffle of it.
+
+    For tables with few rows per user.  A bucket is read by one task, so a
+    table of raw events, where one user may own a large part, does not belong here.
+    """
+    table = os.path.basename(path).replace("-", "_")
+    # Partitioned like the buckets, so that each task writes one file.
+    placed = df.repartition(buckets, user)
+    placed.write.bucketBy(buckets, user).sortBy(user).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def read_mart(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A mart with its declared column types; a month key stays text."""
     return spark.read.schema(schema).parquet(path)
