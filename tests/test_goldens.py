@@ -1,7 +1,8 @@
 """Metric tables replayed from short excerpts of published results."""
 
-from pyspark.sql import functions as F
+import datetime as dt
 
+from tidemark.operators.activity import au_by_signup, mau
 from tidemark.operators.cohorts import cohort_return_rate, rate_regional_cohorts
 from tidemark.operators.growth import region_growth
 
@@ -88,10 +89,52 @@ def test_region_growth_by_calendar_month_has_no_previous_after_a_gap(spark):
 
 
 def test_roll_up_to_signup_year_and_month(spark):
-    """Users have one signup month, so the cohorts of a month add up to its active users."""
-    counts = [("2022-05", c, ns[0]) for c, (ns, _) in COHORTS.items()]
-    total = spark.createDataFrame(counts, COUNTS).groupBy("login_year_month").agg(F.sum("user_cnt").alias("n"))
-    assert total.first().n == 163 + 317 + 236 + 298
+    """Users have one signup month, so the cohorts of a month add up to a year's and to all active users."""
+    active = {
+        "2021-07": 163,
+        "2021-08": 317,
+        "2021-09": 236,
+        "2021-10": 298,
+        "2021-11": 269,
+        "2021-12": 423,
+        "2022-01": 443,
+        "2022-02": 362,
+        "2022-03": 363,
+        "2022-04": 316,
+        "2022-05": 504,
+    }
+    users, logins, first = [], [], 0
+    for cohort, n in active.items():
+        signup = dt.date(int(cohort[:4]), int(cohort[5:]), 1)
+        users += [(u, signup) for u in range(first, first + n)]
+        first += n
+    logins = [(u, dt.date(2022, 5, 1 + u % 31)) for u, _ in users]
+    users = spark.createDataFrame(users, "user_id long, create_date date")
+    logins = spark.createDataFrame(logins, "user_id long, login_date date")
+    assert {r.create_year_month: r.user_cnt for r in au_by_signup(logins, users).collect()} == active
+    by_year = {r.create_year: r.user_cnt for r in au_by_signup(logins, users, "year").collect()}
+    assert by_year == {"2021": 1706, "2022": 1988}
+    assert mau(logins).first().login_user_cnt == 3694
+
+
+NRU_GROWTH = [
+    ("2022-05", 1, 2, None, None),
+    ("2022-06", 2, 7, 2, 2.5),
+    ("2022-08", 3, 1, 7, -0.8571),
+    ("2022-09", 4, 1, 1, 0.0),
+    ("2022-10", 5, 10, 1, 9.0),
+    ("2022-11", 6, 644, 10, 63.4),
+]
+
+
+def test_region_growth_of_signups(spark):
+    counts = [("영등포구-당산동5가", m, n) for m, _, n, _, _ in NRU_GROWTH]
+    counts = spark.createDataFrame(counts, "region string, create_year_month string, user_cnt long")
+    got = region_growth(counts, "2022-11", month="create_year_month").orderBy("rank_asc").collect()
+    assert [
+        (r.create_year_month, r.rank_asc, r.user_cnt, r.bef_1m_user_cnt, r.rate_of_change) for r in got
+    ] == NRU_GROWTH
+    assert {(r.ref_rate_of_change, r.user_group) for r in got} == {(63.4, "increase_30_more")}
 
 
 def test_regional_cohort_index(spark):

@@ -69,6 +69,9 @@ def test_scans_read_only_what_is_needed(spark):
         text = plan(sales.shop_region_sales_pivot(orders, regions, ["ASIA"], month="2001-07", shop="shop_id"))
     assert "GreaterThanOrEqual(o_orderdate,2001-07-01T00:00)" in text
     assert "LessThan(o_orderdate,2001-08-01T00:00)" in text
+    with conf(spark, spark__sql__maxMetadataStringLength="1000"):
+        text = plan(entry_points.queries()["mau_of_recent_months"](spark, SF_DIR))
+    assert "GreaterThanOrEqual(o_orderdate,2000-10-01T00:00)" in text
 
 
 def test_hot_shop_is_spread_over_its_payers(spark):

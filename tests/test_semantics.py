@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import count_text, growth_band, joined_key, month_text, percent_text, recode
-from tidemark.functions.predicates import cohort_complete, differs, month_between
+from tidemark.functions.predicates import cohort_complete, differs, in_months, month_between
 from tidemark.functions.ratios import growth, money_ratio, ratio, ratio_or_zero
 from tidemark.functions.timekeys import (
     add_days,
@@ -89,6 +89,9 @@ def test_month_range_is_inclusive(spark):
     months = spark.createDataFrame([("2021-12",), ("2022-01",), ("2022-02",), ("2022-03",)], "m string")
     assert [r.m for r in months.filter(month_between("m", "2022-01", "2022-02")).collect()] == ["2022-01", "2022-02"]
     assert months.filter(month_between("m")).count() == 4
+    days = spark.createDataFrame([(dt.datetime(2022, m, 28, 23),) for m in (1, 2, 3)], "t timestamp_ntz")
+    assert [r.t.month for r in days.filter(in_months("t", "2022-02", "2022-02")).collect()] == [2]
+    assert [r.t.month for r in days.filter(in_months("t", "2022-02")).collect()] == [2, 3]
 
 
 def test_incomplete_cohorts(spark):

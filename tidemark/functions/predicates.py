@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.timekeys import ColumnOrName, as_col
+from tidemark.functions.timekeys import ColumnOrName, as_col, month_from_key
 
 
 def differs(c: ColumnOrName, value) -> Column:
@@ -25,6 +25,20 @@ def month_between(c: ColumnOrName, first: str | None = None, last: str | None =
     return keep
 
 
+def in_months(date: ColumnOrName, first: str | None = None, last: str | None = None) -> Column:
+    """The same range on a date or timestamp column.
+
+    A range of plain values reaches the scan, which then skips files and row
+    groups; a filter on the month text of a finished table can not.
+    """
+    keep = F.lit(True)
+    if first is not None:
+        keep = keep & (as_col(date) >= month_from_key(F.lit(first)))
+    if last is not None:
+        keep = keep & (as_col(date) < F.add_months(month_from_key(F.lit(last)), 1))
+    return keep
+
+
 def cohort_complete(cohort_month: ColumnOrName, observed_to: dt.date, horizon: int) -> Column:
     """Has the cohort of a month (any date in it) been tracked for ``horizon`` months by ``observed_to``?"""
     last = observed_to.year * 12 + observed_to.month - 1 - horizon

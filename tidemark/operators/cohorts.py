@@ -1,7 +1,7 @@
 """Return rates of signup cohorts.
 
-The windows run over finished counts (cohorts by months, and by regions), never
-over facts.
+The windows run over finished counts, never over facts: a cohort has one row per
+month, and in the regional table at most one per month and region.
 """
 
 from __future__ import annotations

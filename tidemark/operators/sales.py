@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.predicates import in_months
 from tidemark.functions.ratios import total
 from tidemark.functions.timekeys import month_key, month_start
 from tidemark.operators.joins import one_row_per_user
@@ -75,8 +76,7 @@ def shop_region_sales_pivot(
     """
     dated = orders.filter(F.col(date).isNotNull() & F.col(shop).isNotNull() & F.col(user).isNotNull())
     if month is not None:
-        first_day = F.to_date(F.lit(month), "yyyy-MM")
-        dated = dated.filter((F.col(date) >= first_day) & (F.col(date) < F.add_months(first_day, 1)))
+        dated = dated.filter(in_months(date, month, month))
     per_payer = dated.groupBy(user, shop, month_start(date).alias("month")).agg(F.sum(amount).alias("paid"))
     located = per_payer.join(one_row_per_user(user_region, region, user=user), user)
     wide = located.groupBy("month", shop).pivot(region, list(regions)).agg(F.sum("paid"))

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import count_text, month_text, percent_text
-from tidemark.functions.predicates import differs, month_between
+from tidemark.functions.predicates import differs, in_months, month_between
 from tidemark.functions.timekeys import day_of, month_from_key, timestamp_of
-from tidemark.operators import attribution, cohorts, ordering, sales
+from tidemark.operators import activity, attribution, cohorts, ordering, sales
 from tidemark.plans import metrics
 from tidemark.plans import star_inputs as inputs
 from tidemark.plans.registry import ORACLES, query
@@ -89,6 +89,13 @@ def nru_of_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.nru(spark, sf_dir).filter(month_between("create_year_month", "1995-03", "1996-02"))
 
 
+@query(f"""
+SELECT * FROM ({ORACLES['mau']}) WHERE login_year_month >= '2000-10'""")
+def mau_of_recent_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The month range as a filter on the logins, where the scan can use it."""
+    return activity.mau(inputs.order_logins(spark, sf_dir).filter(in_months("login_date", "2000-10")))
+
+
 @query(f"""
 WITH {EVENT_USERS}, {INSTALLS},
 typed AS (
