@@ -83,6 +83,24 @@ def test_daily_against_brute_force_up_to_a_given_day(spark):
     } == {k: (v[1], v[2], v[3]) for k, v in expected.items()}
 
 
+def test_monthly_up_to_a_given_day(spark):
+    logins, signups = activity(6)
+    offsets, end = (1, 7, 30), dt.date(2024, 3, 17)
+    got = nday_retention_monthly(
+        spark.createDataFrame(logins, LOGIN), spark.createDataFrame(list(signups.items()), SIGNUP), offsets, end
+    )
+    expected = brute_force(logins, signups, offsets, end, lambda d: d.strftime("%Y-%m"))
+    assert {
+        (r.login_year_month, r.user_type): (
+            r.mau,
+            r.mau_not_unique,
+            [r[f"d{n}_eligible"] for n in offsets],
+            [r[f"d{n}_ret"] for n in offsets],
+        )
+        for r in got.collect()
+    } == expected
+
+
 def test_first_login_stands_for_the_signup(spark):
     logins, _ = activity(4)
     firsts = {}

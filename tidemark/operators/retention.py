@@ -161,6 +161,10 @@ def monthly_rates(
     return months.select("login_year_month", "user_type", "mau", "mau_not_unique", *eligible, *_rates(offsets))
 
 
+def _observed(logins: DataFrame, obs_end: dt.date | None) -> DataFrame:
+    return logins if obs_end is None else logins.filter(day_of("login_date") <= F.lit(obs_end))
+
+
 def nday_retention_daily(
     logins: DataFrame,
     users: DataFrame | None = None,
@@ -174,7 +178,7 @@ def nday_retention_daily(
     ``users`` the first login is the signup.  A rate is 0 while day + n is not
     observed yet; ``dN_eligible`` is 0 there too.
     """
-    totals = user_day_totals(user_months(logins), users, offsets)
+    totals = user_day_totals(user_months(_observed(logins, obs_end)), users, offsets)
     return daily_rates(totals, offsets, obs_end, user_types)
 
 
@@ -189,7 +193,7 @@ def nday_retention_monthly(
 
     A rate is the retained over the eligible user-days of the month.
     """
-    totals = user_day_totals(user_months(logins), users, offsets)
+    totals = user_day_totals(user_months(_observed(logins, obs_end)), users, offsets)
     return monthly_rates(totals, offsets, obs_end, user_types)
 
 
