@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from tidemark.operators.sales import shop_sales_located
 from tidemark.session import scratch_path
 from tidemark.sources import tables
 from tidemark.sources.schemas import SCHEMAS, STAR_SCHEMAS
@@ -51,6 +52,18 @@ def test_mart_is_split_by_month_and_read_by_month(spark):
     assert spark.read.parquet(path + "-flat").count() == 3
 
 
+def test_shop_table_without_bom_joins_finished_sums(spark, tmp_path):
+    text = (
+        "pickup_shop_name,region_1depth_name,region_2depth_name,region_3depth_name,h_code,x,y\n"
+        "가게(일호점),서울,양천구,목동,1147055000,37.5398954,126.881942\n"
+    )
+    (tmp_path / "pickup_shop.csv").write_text(text, encoding="utf-8")
+    shops = tables.load_table(spark, str(tmp_path), "pickup_shop")
+    sums = spark.createDataFrame([("가게(일호점)", 5, 2), ("가게(이호점)", 1, 1)], "pickup_shop_name string, sales int, pu int")
+    got = {r.pickup_shop_name: (r.sales, r.h_code, r.x) for r in shop_sales_located(sums, shops).collect()}
+    assert got == {"가게(일호점)": (5, 1147055000, 37.5398954), "가게(이호점)": (1, None, None)}
+
+
 def test_scratch_folder_is_the_shared_one(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
