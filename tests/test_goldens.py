@@ -2,9 +2,11 @@
 
 import datetime as dt
 
-from tidemark.operators.activity import au_by_signup, mau
-from tidemark.operators.cohorts import cohort_return_rate, rate_regional_cohorts
+from tidemark.operators.activity import au_by_signup, mau, mau_nru_series
+from tidemark.operators.cohorts import cohort_return_rate, cohort_return_rate_long, rate_regional_cohorts
 from tidemark.operators.growth import region_growth
+from tidemark.operators.retention import retention_long
+from tidemark.sources.schemas import SCHEMAS
 
 COUNTS = "login_year_month string, create_year_month string, user_cnt long"
 MONTHS = ["2022-05", "2022-06", "2022-07", "2022-08", "2022-09", "2022-10", "2022-11"]
@@ -160,3 +162,54 @@ def test_regional_cohort_index(spark):
     assert rates["c", "2022-06"] == 0.9111 and rates["d", "2022-06"] == 0.9583
     assert rates["c", "2022-09"] == 0.8815 and rates["d", "2022-09"] == 0.75 and rates["a", "2022-09"] == 0.5
     assert rates["e", "2022-07"] == 1.0  # its own first month, not the cohort's
+
+
+def test_activity_series_from_exported_tables(spark):
+    mau_rows = list(zip(MONTHS, [3694, 4404, 4647, 4375, 3971, 4095, 6352]))
+    nru_rows = [("2021-11", 415), ("2021-12", 566), ("2022-01", 595), ("2022-02", 491), ("2022-03", 461), ("2022-04", 379)]
+    nru_rows += list(zip(MONTHS, [512, 1077, 1079, 704, 619, 811, 2907]))
+    series = mau_nru_series(
+        spark.createDataFrame(mau_rows, SCHEMAS["mau"]), spark.createDataFrame(nru_rows, SCHEMAS["nru"]), "2022-01"
+    ).collect()
+    assert len(series) == 11
+    assert {r.year_month for r in series if r.is_latest} == {"2022-11"}
+    assert {r.year_month: r.mau for r in series}["2022-04"] is None
+    assert {r.year_month: (r.mau, r.nru) for r in series}["2022-05"] == (3694, 512)
+
+
+def test_retention_chart_table_from_an_exported_table(spark):
+    exported = [
+        ("2022-05", "신규유저", 497, 497, 0.344, 0.171, 0.175, 0.135),
+        ("2022-05", "재방문유저", 3472, 36597, 0.637, 0.644, 0.621, 0.534),
+        ("2022-11", "신규유저", 2890, 2890, 0.694, 0.530, 0.530, 0.000),
+    ]
+    table = spark.createDataFrame(exported, SCHEMAS["nday_retention_monthly"])
+    long = retention_long(table, user_type="신규유저").collect()
+    assert {(r.login_year_month, r.variable): r.value for r in long} == {
+        ("2022-05", "d1_ret"): 0.344,
+        ("2022-05", "d7_ret"): 0.171,
+        ("2022-05", "d14_ret"): 0.175,
+        ("2022-05", "d30_ret"): 0.135,
+        ("2022-11", "d1_ret"): 0.694,
+        ("2022-11", "d7_ret"): 0.530,
+        ("2022-11", "d14_ret"): 0.530,
+        ("2022-11", "d30_ret"): 0.0,
+    }
+    assert not any(r.reaches_threshold for r in long)
+
+
+def test_cohort_chart_table_from_an_exported_table(spark):
+    exported = [
+        ("2022-06", "2022-05", "2022", "M1", 258, 504, 0.5119),
+        ("2022-05", "2022-05", "2022", "M0", 504, 504, 1.0),
+        ("2022-05", "2021-07", "2021", "M0", 163, 163, 1.0),
+    ]
+    schema = SCHEMAS["cohort_return_rate"].replace("return_rate", "rate_of_change")
+    long = cohort_return_rate_long(spark.createDataFrame(exported, schema), "2022-05", rate="rate_of_change").collect()
+    assert [r.login_year_month for r in long] == ["2022-05", "2022-05", "2022-06", "2022-06"]
+    assert {(r.time_order, r.variable): r.value for r in long} == {
+        ("M0", "user_cnt"): 504.0,
+        ("M0", "rate_of_change"): 1.0,
+        ("M1", "user_cnt"): 258.0,
+        ("M1", "rate_of_change"): 0.5119,
+    }

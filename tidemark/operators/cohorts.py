@@ -41,11 +41,11 @@ def cohort_return_rate(counts: DataFrame, true_elapsed: bool = False) -> DataFra
     return rated.select(*COHORT_COLUMNS, ratio("user_cnt", "first_user_cnt").alias("return_rate"))
 
 
-def cohort_return_rate_long(rates: DataFrame, from_month: str) -> DataFrame:
+def cohort_return_rate_long(rates: DataFrame, from_month: str, rate: str = "return_rate") -> DataFrame:
     """Count and rate of the cohorts from ``from_month`` on, one row each."""
     kept = rates.filter(month_between("create_year_month", from_month))
     ids = ["create_year_month", "login_year_month", "create_year", "time_order"]
-    return melt(kept, ids, ["user_cnt", "return_rate"]).orderBy("create_year_month", "login_year_month")
+    return melt(kept, ids, ["user_cnt", rate]).orderBy("create_year_month", "login_year_month")
 
 
 def regional_cohort_counts(logins: DataFrame, users: DataFrame, user_region: DataFrame) -> DataFrame:
