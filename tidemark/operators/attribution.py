@@ -48,15 +48,10 @@ def attributed_signups(
     ).select("user_id", "create_date", attribute)
 
 
-def signups_by_attribution(
-    users: DataFrame,
-    organic: DataFrame,
-    non_organic: DataFrame,
-    grain: str = "day",
-    keep_unattributed: bool = False,
-    with_all: bool = False,
+def signup_counts(
+    attributed: DataFrame, grain: str = "day", keep_unattributed: bool = False, with_all: bool = False
 ) -> DataFrame:
-    """Distinct signups per day or month and attribute type, in that order.
+    """Distinct signups per day or month and attribute type, in that order, from :func:`attributed_signups`.
 
     Signups without a matching install are left out unless ``keep_unattributed``.
     ``with_all`` adds the type ``all``: a user of both types counts once there.
@@ -65,7 +60,6 @@ def signups_by_attribution(
         "day": (F.col("create_date"), "create_date"),
         "month": (month_start("create_date"), "create_year_month"),
     }[grain]
-    attributed = attributed_signups(users, organic, non_organic)
     if not keep_unattributed:
         attributed = attributed.filter(F.col("attribute_type").isNotNull())
     signups = attributed.select(period.alias(column), "attribute_type", "user_id")
@@ -80,3 +74,15 @@ def signups_by_attribution(
     if grain == "month":
         counts = counts.withColumn(column, month_key(column))
     return counts.orderBy(column, "attribute_type")
+
+
+def signups_by_attribution(
+    users: DataFrame,
+    organic: DataFrame,
+    non_organic: DataFrame,
+    grain: str = "day",
+    keep_unattributed: bool = False,
+    with_all: bool = False,
+) -> DataFrame:
+    """:func:`signup_counts` straight from the signup and install tables."""
+    return signup_counts(attributed_signups(users, organic, non_organic), grain, keep_unattributed, with_all)

@@ -16,7 +16,11 @@ ALL = "all"
 
 
 def user_daily_spend(orders: DataFrame, user: str, date: str, amount: str) -> DataFrame:
-    """Spend per user and day, so that a heavy buyer is a few rows before the join."""
+    """Spend per user and day.
+
+    The sums are shuffled once more for the join on the user.  In return a
+    heavy buyer, whatever part of all orders is theirs, is a row per day there.
+    """
     known = orders.filter(F.col(user).isNotNull() & F.col(date).isNotNull())
     return known.groupBy(F.col(user).alias("user_id"), day_of(date).alias("order_day")).agg(
         F.sum(amount).alias("paid")
@@ -33,18 +37,24 @@ def _with_all(df: DataFrame, by: str, keys: list[str], measure: str) -> DataFram
     return sets.filter(F.col("_label").isNotNull()).select(F.col("_label").alias(by), *keys, measure)
 
 
-def _cohort_revenue(
+def cohort_revenue(
     users: DataFrame,
     orders: DataFrame,
     max_period: int,
     obs_end: dt.date,
-    by: str,
-    with_all: bool,
+    by: str = "attribute_type",
+    with_all: bool = True,
     user: str = "user_id",
     date: str = "order_date",
     amount: str = "payment_amount",
 ) -> DataFrame:
-    """Size and cumulative revenue per cohort and period; the signup month is a DATE."""
+    """Size and cumulative revenue of each signup cohort by months since signup.
+
+    A cohort is a value of ``by`` and a signup ``month``, which is a DATE here.
+    The size counts all members, buyers or not.  Periods run from 0 to
+    ``max_period`` as far as they had begun by ``obs_end``; one without orders
+    repeats the last sum.
+    """
     members = one_row_per_user(users, "create_date", by, user=user).select(
         F.col(user).alias("user_id"),
         day_of("create_date").alias("create_date"),
@@ -73,6 +83,11 @@ def _cohort_revenue(
     return filled.select(by, "month", "ltv_period", "user_cnt", running.alias("revenue"))
 
 
+def with_ltv(revenue: DataFrame) -> DataFrame:
+    """Revenue per member, from :func:`cohort_revenue`; the month becomes ``yyyy-MM`` text."""
+    return revenue.select(revenue.columns[0], *_value_columns())
+
+
 def cohort_ltv(
     users: DataFrame,
     orders: DataFrame,
@@ -82,15 +97,11 @@ def cohort_ltv(
     with_all: bool = True,
     **columns: str,
 ) -> DataFrame:
-    """Cumulative spend of each signup cohort by months since signup.
+    """Cumulative spend per cohort member: :func:`cohort_revenue` with :func:`with_ltv`.
 
-    A cohort is a value of ``by`` and a signup month.  ``ltv`` divides by all
-    its members, buyers or not.  Periods run from 0 to ``max_period`` as far as
-    they had begun by ``obs_end``; one without orders repeats the last sum.
     ``columns`` renames the ``user``, ``date`` and ``amount`` of the orders.
     """
-    cohorts = _cohort_revenue(users, orders, max_period, obs_end, by, with_all, **columns)
-    return cohorts.select(by, *_value_columns())
+    return with_ltv(cohort_revenue(users, orders, max_period, obs_end, by, with_all, **columns))
 
 
 def _value_columns() -> list[Column]:
@@ -109,15 +120,18 @@ def cost_by_month(cost: DataFrame, *keys: str) -> DataFrame:
     return dated.groupBy(*keys, month_start("aggregate_date").alias("month")).agg(F.sum("cost").alias("cost"))
 
 
-def _roas(cohorts: DataFrame, cost: DataFrame, by: str, keys: list[str], obs_end: dt.date, horizon: int) -> DataFrame:
-    """ROAS of the cohorts tracked for at least ``horizon`` months.
+def with_roas(revenue: DataFrame, cost: DataFrame, keys: list[str], obs_end: dt.date, horizon: int = 1) -> DataFrame:
+    """LTV and ROAS of the cohorts tracked for at least ``horizon`` months, from :func:`cohort_revenue`.
 
-    The month is a DATE up to here: Spark copies the filter to the cost rows,
-    where comparing texts would mean formatting every single row.
+    ROAS is cumulative revenue over the cost of the signup month; with
+    ``campaign`` among the ``keys`` over the campaign's own cost.  The month is
+    a DATE up to here: Spark copies the filter to the cost rows, where comparing
+    texts would mean formatting every single row.
     """
-    closed = cohorts.filter(cohort_complete("month", obs_end, horizon))
-    rated = closed.join(cost, keys, "left")
-    return rated.select(by, *_value_columns(), "cost", money_ratio("revenue", "cost", 4).alias("roas"))
+    closed = revenue.filter(cohort_complete("month", obs_end, horizon))
+    spent = cost_by_month(cost, *[k for k in keys if k != "month"])
+    roas = money_ratio("revenue", "cost", 4).alias("roas")
+    return closed.join(spent, keys, "left").select(revenue.columns[0], *_value_columns(), "cost", roas)
 
 
 def roas_by_attribute(
@@ -133,8 +147,8 @@ def roas_by_attribute(
     Organic signups have no cost of their own; every type is set against the
     total cost of its signup month.
     """
-    cohorts = _cohort_revenue(users, orders, max_period, obs_end, "attribute_type", with_all=True)
-    return _roas(cohorts, cost_by_month(cost), "attribute_type", ["month"], obs_end, horizon)
+    revenue = cohort_revenue(users, orders, max_period, obs_end)
+    return with_roas(revenue, cost, ["month"], obs_end, horizon)
 
 
 def roas_by_campaign(
@@ -146,5 +160,5 @@ def roas_by_campaign(
     horizon: int = 1,
 ) -> DataFrame:
     """ROAS per campaign and signup month, against the campaign's own cost in that month."""
-    cohorts = _cohort_revenue(users, orders, max_period, obs_end, "campaign", with_all=False)
-    return _roas(cohorts, cost_by_month(cost, "campaign"), "campaign", ["campaign", "month"], obs_end, horizon)
+    revenue = cohort_revenue(users, orders, max_period, obs_end, by="campaign", with_all=False)
+    return with_roas(revenue, cost, ["campaign", "month"], obs_end, horizon)

@@ -3,6 +3,8 @@
 The raw logins are read and shuffled once: they are reduced to a row per user and
 month with a bit per day and written in buckets of users.  Every table about
 activity starts from there and joins the users without shuffling it again.
+Signups are matched with installs once, and orders with signups once per kind
+of cohort.
 """
 
 from __future__ import annotations
@@ -38,18 +40,30 @@ def load_raw_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: load_table(spark, root, name) for name in RAW_TABLES}
 
 
+def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A small table kept in the shared scratch folder, so that two metrics do not compute it twice."""
+    path = scratch_path(spark, name)
+    write_mart(df, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def metric_tables(spark: SparkSession, raw: Mapping[str, DataFrame], settings: Settings) -> dict[str, DataFrame]:
     """Every metric table by name.  ``raw`` holds the tables of ``RAW_TABLES``."""
     orders, users, regions = raw["orders"], raw["users"], raw["user_region"]
     installs = raw["organic_install"], raw["non_organic_install"]
     buckets = settings.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    reduced = retention.user_months(raw["login"])
-    user_months = write_by_user(spark, reduced, scratch_path(spark, "user_months"), buckets)
+
+    def by_user(df: DataFrame, name: str) -> DataFrame:
+        return write_by_user(spark, df, scratch_path(spark, name), buckets)
+
+    user_months = by_user(retention.user_months(raw["login"]), "user_months")
     monthly = user_months.select("user_id", F.col("month").alias("login_date"))
-    totals = retention.user_day_totals(user_months, users)
-    totals_path = scratch_path(spark, "user_day_totals")
-    write_mart(totals, totals_path)
-    day_totals = spark.read.schema(totals.schema).parquet(totals_path)
+    day_totals = _written(spark, retention.user_day_totals(user_months, users), "user_day_totals")
+    by_type = by_user(attribution.attributed_signups(users, *installs).distinct(), "signups_by_type")
+    by_campaign = attribution.attributed_signups(users, *installs, attribute="campaign")
+    revenue = _written(
+        spark, value.cohort_revenue(by_type, orders, settings.max_period, settings.obs_end), "cohort_revenue"
+    )
     daily_cost = cost.daily_cost(raw["daily_cost"])
     mau, nru = activity.mau(monthly), activity.nru(users)
     mau_growth = growth.region_growth(activity.mau_by_region(monthly, regions), settings.ref_month)
@@ -57,20 +71,19 @@ def metric_tables(spark: SparkSession, raw: Mapping[str, DataFrame], settings: S
         activity.nru_by_region(users, regions), settings.ref_month, month="create_year_month"
     )
     by_signup_month = activity.au_by_signup(monthly, users)
-    by_type = attribution.attributed_signups(users, *installs)
-    by_campaign = attribution.attributed_signups(users, *installs, attribute="campaign")
-    tracked = settings.max_period, settings.obs_end
     return {
         "shop_sales": sales.shop_sales(orders),
         "shop_sales_monthly": sales.shop_sales_monthly(orders),
         "shop_region_sales": sales.shop_region_sales_pivot(orders, regions, settings.regions, month=settings.ref_month),
         "daily_cost": daily_cost,
         "monthly_cost": cost.monthly_cost(daily_cost),
-        "signups_daily": attribution.signups_by_attribution(users, *installs),
-        "signups_monthly": attribution.signups_by_attribution(users, *installs, grain="month"),
-        "cohort_ltv": value.cohort_ltv(by_type, orders, *tracked),
-        "roas_by_attribute": value.roas_by_attribute(by_type, orders, raw["daily_cost"], *tracked),
-        "roas_by_campaign": value.roas_by_campaign(by_campaign, orders, raw["daily_cost"], *tracked),
+        "signups_daily": attribution.signup_counts(by_type),
+        "signups_monthly": attribution.signup_counts(by_type, grain="month"),
+        "cohort_ltv": value.with_ltv(revenue),
+        "roas_by_attribute": value.with_roas(revenue, raw["daily_cost"], ["month"], settings.obs_end),
+        "roas_by_campaign": value.roas_by_campaign(
+            by_campaign, orders, raw["daily_cost"], settings.max_period, settings.obs_end
+        ),
         "mau": mau,
         "nru": nru,
         "mau_nru_series": activity.mau_nru_series(mau, nru, settings.series_start),
