@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+import bench
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -45,5 +46,9 @@ def test_query_agrees_with_sql(spark, oracle, name):
     assert normal(df.select(*[f"`{c}`" for c in columns]).collect()) == normal(answer.fetchall())
 
 
+def test_bench_runs_registered_queries():
+    assert set(bench.HEADLINE) <= set(entry_points.queries())
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).columns[0] == "campaign"

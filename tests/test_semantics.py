@@ -1,7 +1,8 @@
 """Null, rounding and incomplete-window behaviour on small tables."""
 
 import datetime as dt
-from decimal import Decimal
+import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,6 +181,17 @@ def test_ratios(spark):
     }
 
 
+def test_ratios_round_half_away_from_zero_on_the_exact_quotient(spark):
+    rnd = random.Random(11)
+    bases = [2, 5, 8, 16, 32, 64, 80, 125, 160, 320, 400, 625, 800, 1600, 2000, 20000]
+    pairs = [(rnd.randrange(-5000, 5000), rnd.choice(bases)) for _ in range(1500)]
+    pairs += [(rnd.randrange(-(10**9), 10**9), rnd.randrange(1, 10**6)) for _ in range(1500)]
+    df = spark.createDataFrame(pairs, "top long, base long").select("top", "base", ratio("top", "base").alias("r"))
+    for row in df.collect():
+        exact = Decimal(row.top) / Decimal(row.base)
+        assert row.r == float(exact.quantize(Decimal("0.0001"), ROUND_HALF_UP)), row
+
+
 def test_growth_bands(spark):
     rates = spark.createDataFrame([(r,) for r in (None, -0.01, 0.0, 0.1, 0.11, 0.2, 0.3, 0.31)], "rate double")
     assert [r.band for r in rates.select(growth_band("rate").alias("band")).collect()] == [
