@@ -69,6 +69,10 @@ def rate_regional_cohorts(counts: DataFrame) -> DataFrame:
 
     ``time_order`` numbers the months in which the cohort was seen in any region.
     ``time_order_ranked`` ranks them over the rows of all regions and so leaves gaps.
+
+    The window over a cohort sees one row per month and region, not users.
+    Numbering the months apart and joining the numbers back would run the join
+    of logins and users twice.
     """
     in_cohort = Window.partitionBy("create_year_month").orderBy("login_year_month")
     in_region = Window.partitionBy("region", "create_year_month").orderBy("login_year_month")
