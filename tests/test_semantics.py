@@ -311,6 +311,15 @@ def test_ltv_counts_members_who_never_buy_and_fills_periods(spark):
     }
 
 
+def test_ltv_of_tables_with_other_column_names(spark):
+    users = spark.createDataFrame([(1, D(2024, 1, 1), "x")], "member long, create_date date, kind string")
+    orders = spark.createDataFrame([(1, at(5), 7.5)], "member long, at timestamp_ntz, paid_total double")
+    got = value.cohort_ltv(
+        users, orders, 0, D(2024, 1, 31), by="kind", with_all=False, user="member", date="at", amount="paid_total"
+    ).collect()
+    assert [(r.kind, r.create_year_month, r.revenue, r.ltv) for r in got] == [("x", "2024-01", 7.5, 7.5)]
+
+
 def test_roas_divides_by_cost_of_the_signup_month(spark):
     users = spark.createDataFrame(
         [(1, D(2024, 1, 1), "c1"), (2, D(2024, 2, 1), "c1"), (3, D(2024, 1, 1), "c2")],

@@ -99,7 +99,8 @@ def cohort_ltv(
 ) -> DataFrame:
     """Cumulative spend per cohort member: :func:`cohort_revenue` with :func:`with_ltv`.
 
-    ``columns`` renames the ``user``, ``date`` and ``amount`` of the orders.
+    ``columns`` may name the ``user`` column of both tables and the ``date`` and
+    ``amount`` columns of the orders.
     """
     return with_ltv(cohort_revenue(users, orders, max_period, obs_end, by, with_all, **columns))
 
