@@ -114,6 +114,13 @@ def test_first_login_stands_for_the_signup(spark):
     }
 
 
+def test_offsets_must_be_later_days(spark):
+    logins = spark.createDataFrame([(1, dt.date(2024, 1, 1))], LOGIN)
+    for offsets in ((), (0, 1), (-1,)):
+        with pytest.raises(ValueError, match="offsets"):
+            nday_retention_daily(logins, offsets=offsets)
+
+
 def test_only_the_exact_day_counts(spark):
     day = dt.date(2024, 2, 27)
     logins = [(1, day), (1, day + dt.timedelta(8)), (2, day), (2, day + dt.timedelta(7))]

@@ -74,6 +74,8 @@ def user_day_totals(
     the month on which they were active at all or as a returning user, so that
     their sum over a month is the month's distinct users.
     """
+    if not offsets or min(offsets) < 1:
+        raise ValueError(f"offsets must be days after the login, got {offsets!r}")
     activity = _with_signup_bit(months, users)
     numbered = activity.withColumn("month_no", F.expr("year(month) * 12 + month(month)"))
     ahead = []
