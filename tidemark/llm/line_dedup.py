@@ -6,6 +6,9 @@ stands on at least `min_sites` sites. One occurrence stays (`keep_first`): the f
 that no content vanishes from the corpus; repeats of that row keep it too. A null text stays null, an empty one
 empty. Rows with the same doc_id but other texts are told apart by a hash of the text.
 
+A line is identified by two 64-bit hashes with different seeds, together 128 bits, so that lines themselves are
+never shuffled.
+
 DataFrame functions only. Line hashes are reduced to sketches before the shuffle; the few candidate lines are then
 joined back, where a line that holds a third of all rows is split by the skew join. Texts are shuffled once, to
 meet the positions of their removed lines.
@@ -32,7 +35,7 @@ def _parts(text: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, site, line_no, line, line_hash) of every line that is not blank."""
+    """(doc_id, text_hash, site, line_no, line_hash, line_hash_2) of every line that is not blank."""
     rows = docs.select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
@@ -40,7 +43,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
         F.posexplode(_parts(F.col("text"))).alias("line_no", "raw"),
     )
     rows = rows.select("doc_id", "text_hash", "site", "line_no", F.trim("raw").alias("line")).where("line != ''")
-    return rows.withColumn("line_hash", F.xxhash64("line"))
+    hashes = F.xxhash64("line").alias("line_hash"), F.xxhash64(F.lit(1), F.col("line")).alias("line_hash_2")
+    return rows.select("doc_id", "text_hash", "site", "line_no", *hashes)
 
 
 def line_spread(lines: DataFrame, lg_k: int = LG_K) -> DataFrame:
@@ -60,9 +64,11 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -
     candidates = line_spread(lines, lg_k).where(F.col("sites_estimate") >= min_sites - margin)
     candidates = candidates.select("line_hash", (F.col("sites_estimate") <= min_sites + margin).alias("near"))
     found = lines.join(candidates, "line_hash")
-    per_site = found.groupBy("line_hash", "line", "near", "site").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    counted = per_site.groupBy("line_hash", "line", "near").agg(F.count("*").alias("sites"), F.min("first").alias("first"))
-    chosen = counted.where(~F.col("near") | (F.col("sites") >= min_sites)).select("line_hash", "line", "sites", "first")
+    per_site = found.groupBy("line_hash", "line_hash_2", "near", "site").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    counted = per_site.groupBy("line_hash", "line_hash_2", "near").agg(F.count("*").alias("sites"), F.min("first").alias("first"))
+    chosen = counted.where(~F.col("near") | (F.col("sites") >= min_sites)).select(
+        "line_hash", "line_hash_2", "sites", "first"
+    )
     return chosen, found
 
 
@@ -71,7 +77,7 @@ def remove_boilerplate(
 ) -> DataFrame:
     """The documents with boilerplate lines taken out of `text`, with n_lines (not blank, before) and n_removed."""
     chosen, found = boilerplate(docs, min_sites, lg_k)
-    hits = found.join(chosen, ["line_hash", "line"])
+    hits = found.join(chosen, ["line_hash", "line_hash_2"])
     if keep_first:
         hits = hits.where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
     gone = hits.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).agg(
