@@ -1,4 +1,4 @@
 """All queries of this subpackage: importing the operators fills the registry."""
 
-from tidemark.llm import decontaminate, line_dedup, token_count, warc  # noqa: F401
+from tidemark.llm import decontaminate, line_dedup, sentencepiece_scan, token_count, warc  # noqa: F401
 from tidemark.llm.registry import ORACLES, QUERIES  # noqa: F401
