@@ -32,10 +32,11 @@ from tidemark.llm.registry import register
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Code points from which a text is split, and of each chunk.
-CHUNK = 16_384
+CHUNK = 32_768
 #: Matrices combined at once.
 FAN = 64
 REMEMBERED_WORDS = 300_000
+REMEMBERED_PAIRS = 2_000_000
 SPACE = "▁"
 #: The state before the first piece; ids of code points without a piece are below it.
 START = -1
@@ -56,7 +57,13 @@ class Model:
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in ids if sp.is_byte(i)}
         self.unknown_id = sp.unk_id()
         self.longest = max(map(len, self.ids))
-        self.heads = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.trie: dict = {}
+        for piece, i in self.ids.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[None] = i
+        self.size = [len(p) for p in self.pieces]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("a piece reaches over the start of a word")
         self.out = {i: bytes([b]) for b, i in self.byte_ids.items()}
@@ -66,11 +73,12 @@ class Model:
         self.forget()
 
     def forget(self) -> None:
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, np.ndarray] = {}
+        self.fits: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"fits": {}, "words": {}}
+        return self.__dict__ | {"fits": {}, "words": {}, "words_before": {}}
 
     def merged(self, text: str) -> list[str]:
         """The model's own procedure: merge the best pair, the leftmost of equals, until none is a piece."""
@@ -88,46 +96,72 @@ class Model:
     def compatible(self, a: int, b: int) -> bool:
         if a < 0 or b < 0:
             return True
-        known = self.fits.get((a, b))
+        known = self.fits.get(a << 32 | b)
         if known is None:
+            if len(self.fits) >= REMEMBERED_PAIRS:
+                self.fits.clear()
             left, right = self.pieces[a], self.pieces[b]
-            known = self.fits[a, b] = self.merged(left + right) == [left, right]
+            known = self.fits[a << 32 | b] = self.merged(left + right) == [left, right]
         return known
 
-    def paths(self, text: str, begin: int, end: int, piece: int) -> dict[int, tuple[int, int, int]]:
-        """place -> (start, piece, pieces so far) of the one piece that can end there, after `piece` ends at `begin`.
+    def matches(self, text: str, at: int) -> list[int]:
+        """The pieces that start at a place, from short to long; the code point itself if it is no piece."""
+        out, node = [], self.trie
+        for c in text[at : at + self.longest]:
+            node = node.get(c)
+            if node is None:
+                break
+            i = node.get(None)
+            if i is not None:
+                out.append(i)
+        if text[at] not in self.ids:
+            out.insert(0, -2 - ord(text[at]))
+        return out
+
+    def paths(self, text: str, begin: int, end: int, piece: int) -> dict[int, tuple[int, int]]:
+        """place -> (start, piece) of the one piece that can end there, after `piece` ends at `begin`.
 
         Pieces start before `end` and may reach beyond it.
         """
-        found = {begin: (-1, piece, 0)}
+        found = {begin: (-1, piece)}
         for at in range(begin, end):
-            if at not in found:
-                continue
-            last, n = found[at][1], found[at][2] + 1
-            alone = True
-            for to in range(at + 1, min(at + self.longest, len(text)) + 1):
-                part = text[at:to]
-                if part not in self.heads:
-                    break
-                i = self.ids.get(part)
-                if i is not None:
-                    alone = alone and to > at + 1
+            if at in found:
+                last = found[at][1]
+                for i in self.matches(text, at):
                     if self.compatible(last, i):
-                        found[to] = (at, i, n)
-            if alone and text[at] not in self.ids:
-                found[at + 1] = (at, -2 - ord(text[at]), n)
+                        found[at + (self.size[i] if i >= 0 else 1)] = (at, i)
         return found
 
+    def path(self, text: str) -> list[int]:
+        """The pieces of a whole word: the same path as by `paths`, searched from long pieces to short ones."""
+        at, last, end, options = 0, START, len(text), self.matches(text, 0)
+        dead, trail, out = set(), [], []
+        while at < end:
+            while options:
+                i = options.pop()
+                to = at + (self.size[i] if i >= 0 else 1)
+                if to not in dead and self.compatible(last, i):
+                    trail.append((at, last, options))
+                    out.append(i)
+                    at, last = to, i
+                    options = self.matches(text, at) if at < end else []
+                    break
+            else:
+                dead.add(at)
+                at, last, options = trail.pop()
+                out.pop()
+        return out
+
     @staticmethod
-    def trace(found: dict[int, tuple[int, int, int]], begin: int, end: int) -> list[int]:
+    def trace(found: dict[int, tuple[int, int]], begin: int, end: int) -> list[int]:
         out = []
         while end > begin:
-            end, piece, _ = found[end]
+            end, piece = found[end]
             out.append(piece)
         return out[::-1]
 
-    def plain(self, pieces: list[int]) -> np.ndarray:
-        """Ids of pieces: a code point without a piece becomes its bytes, or unknown if the model has no bytes."""
+    def plain(self, pieces: list[int]) -> bytes:
+        """Ids of pieces, 4 bytes each: a code point without a piece becomes its bytes, or unknown if the model has no bytes."""
         out: list[int] = []
         for i in pieces:
             if i >= 0:
@@ -136,16 +170,18 @@ class Model:
                 out += [self.byte_ids[b] for b in chr(-2 - i).encode("utf-8", "surrogatepass")]
             elif not out or out[-1] != self.unknown_id:
                 out.append(self.unknown_id)
-        return np.array(out, np.int32)
+        return np.array(out, np.int32).tobytes()
 
-    def word(self, text: str) -> np.ndarray:
+    def word(self, text: str) -> bytes:
         """The ids of a whole word, remembered."""
         ids = self.words.get(text)
         if ids is None:
-            ids = self.plain(self.trace(self.paths(text, 0, len(text), START), 0, len(text)))
+            ids = self.words_before.get(text)
+            if ids is None:
+                ids = self.plain(self.path(text))
             if len(text) <= 64:
                 if len(self.words) >= REMEMBERED_WORDS:
-                    self.words.clear()
+                    self.words_before, self.words = self.words, {}
                 self.words[text] = ids
         return ids
 
@@ -153,7 +189,7 @@ class Model:
         """The ids of a text that is short enough for one piece of work."""
         if not text:
             return np.empty(0, np.int32)
-        return np.concatenate([self.word(w) for w in WORDS.findall(escaped(text))])
+        return np.frombuffer(b"".join(map(self.word, WORDS.findall(escaped(text)))), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
@@ -184,46 +220,35 @@ def states_before(model: Model, text: str, at: int) -> list[tuple[int, int]]:
 
 
 def matrix(model: Model, text: str, begin: int, end: int, last: bool) -> list[tuple[int, int, int, int, float]]:
-    """(piece, overhang, piece, overhang, weight) from states at `begin` to states at `end`; weight is minus the pieces.
+    """(piece, overhang, piece, overhang, weight): the finite entries from states at `begin` to states at `end`.
 
-    `text` has the chunk and as many code points around it as the longest piece has.
+    `text` has the chunk and as many code points around it as the longest piece has. Words inside the chunk always
+    have a path, so only its two ends are searched.
     """
     words = [m.start() for m in WORD_START.finditer(text, begin, end + 1)]
 
-    def leaving(found: dict) -> list[tuple[int, int, int]]:
-        at_end = [(p, to - end, n) for to, (start, p, n) in found.items() if to >= end and start < end]
+    def leaving(found: dict) -> list[tuple[int, int]]:
+        at_end = [(p, to - end) for to, (start, p) in found.items() if to >= end and start < end]
         return [x for x in at_end if not last or x[1] == 0]
 
-    middle, tail = 0, []
-    if words:
-        for a, b in zip(words[:-1], words[1:]):
-            middle += len(model.trace(model.paths(text[a:b], 0, b - a, START), 0, b - a)) if b - a > 64 else len(model.word(text[a:b]))
-        if words[-1] < end:
-            tail = leaving(model.paths(text, words[-1], end, START))
+    tail = []
+    if words and words[-1] < end:
+        tail = leaving(model.paths(text, words[-1], end, START))
+    elif len(words) > 1:  # the chunk ends where a word starts
+        tail = [(model.path(text[words[-2] : words[-1]])[-1], 0)]
     out = []
     for piece, over in states_before(model, text, begin):
         at = begin + over
-        if at > end or not words:
+        if not words or at > end:
             if at >= end:  # the piece stands across the whole chunk
                 if not last or at == end:
                     out.append((piece, over, piece, at - end, 0.0))
-                continue
-            out += [(piece, over, p, o, -float(n)) for p, o, n in leaving(model.paths(text, at, end, piece))]
-            continue
-        first = words[0]
-        if at > first:
-            continue
-        found = model.paths(text, at, first, piece)
-        if first not in found:
-            continue
-        n = found[first][2] + middle
-        if words[-1] < end:
-            out += [(piece, over, p, o, -float(n + more)) for p, o, more in tail]
-        elif len(words) == 1:  # the chunk ends where the word starts
-            out.append((piece, over, found[first][1], 0, -float(n)))
-        else:
-            a, b = words[-2:]
-            out.append((piece, over, model.trace(model.paths(text[a:b], 0, b - a, START), 0, b - a)[-1], 0, -float(n)))
+            else:
+                out += [(piece, over, p, o, 0.0) for p, o in leaving(model.paths(text, at, end, piece))]
+        elif at <= words[0]:
+            found = model.paths(text, at, words[0], piece)
+            if words[0] in found:
+                out += [(piece, over, p, o, 0.0) for p, o in tail or [(found[words[0]][1], 0)]]
     return out
 
 
@@ -243,7 +268,7 @@ def chunk_ids(model: Model, text: str, begin: int, end: int, entry: tuple[int, i
             out.append(model.plain(model.trace(model.paths(text, a, end, START), a, b)))
         else:
             out.append(model.word(text[a:b]))
-    return np.concatenate(out), at, stop
+    return np.frombuffer(b"".join(out), np.int32), at, stop
 
 
 KEY = ["key_id", "key_hash"]
