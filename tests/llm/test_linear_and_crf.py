@@ -1,0 +1,94 @@
+"""The chain against all labellings, gradients by differences, held-out accuracy, odd rows."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.llm import quality, toxicity
+from tidemark.llm.common import read
+from tidemark.llm.linear import auc, fit_logistic, sigmoid
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_marginals_against_all_labellings():
+    rng = np.random.default_rng(0)
+    counts = np.array([3, 0, 1, 5, 3])
+    emission, chain = rng.normal(size=12), rng.normal(size=(2, 2))
+    chance, moves, logz = quality.marginals(emission, chain, counts)
+    at, total = 0, np.zeros((2, 2))
+    for k, n in enumerate(counts):
+        weight, good, pairs = 0.0, np.zeros(n), np.zeros((2, 2))
+        for y in itertools.product((0, 1), repeat=int(n)) if n else ():
+            w = np.exp(sum(emission[at + i] for i in range(n) if y[i]) + sum(chain[a, b] for a, b in zip(y, y[1:])))
+            weight += w
+            good += w * np.array(y)
+            for a, b in zip(y, y[1:]):
+                pairs[a, b] += w
+        if n:
+            assert np.allclose(chance[at : at + n], good / weight) and np.isclose(logz[k], np.log(weight))
+            total += pairs / weight
+        at += n
+    assert np.allclose(moves, total)
+
+
+def test_line_numbers_do_not_depend_on_the_batch():
+    texts = ["a b b c.\n\n  \nLine two | x |", "", "\n", "ünï 12 ###\r\nend", "word " * 500]
+    together = quality.line_numbers([t.encode() for t in texts])
+    alone = [quality.line_numbers([t.encode()]) for t in texts]
+    assert np.allclose(together[0], np.concatenate([a[0] for a in alone]))
+    assert together[2].tolist() == [2, 0, 0, 2, 1]
+
+
+def test_logistic_and_auc():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 3))
+    y = (rng.random(400) < sigmoid(x @ [2, -1, 0] + 0.5)).astype(float)
+    rows, cols = np.repeat(np.arange(400), 3), np.tile(np.arange(3), 400)
+    w, b = fit_logistic(rows, cols, x.ravel(), y, 3, 1e-3, 3000)
+    error = sigmoid(x @ w + b) - y
+    assert np.abs(x.T @ error / 400 + 1e-3 * w).max() < 1e-6 and abs(error.mean()) < 1e-6
+    s = np.round(rng.random(50), 1)
+    z = rng.integers(0, 2, 50)
+    pairs = [(a > b) + (a == b) / 2 for a in s[z == 1] for b in s[z == 0]]
+    assert np.isclose(auc(s, z), np.mean(pairs))
+
+
+def test_grams_against_slices():
+    texts = ["Hello", "", "héllo wörld", "ab", "a\0bcd" * 3]
+    for k, t in enumerate(texts):
+        plain = {t.lower().replace("\0", " ")[i : i + n] for n in toxicity.SIZES for i in range(len(t) - n + 1)}
+        alone = toxicity.present([t])[1]
+        text, bucket = toxicity.present(texts)
+        assert np.array_equal(bucket[text == k], alone) and len(alone) == len(plain)
+
+
+@pytest.mark.parametrize("query, label", [(quality.op1_quality, "quality"), (toxicity.op9_toxicity, "toxic")])
+def test_held_out(spark, query, label):
+    out = query(spark, SF)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"]
+    known = out.where("held_out").join(read(spark, SF, "labels"), "doc_id").select("score", F.col(label).alias("y")).collect()
+    assert auc(np.array([r.score for r in known]), np.array([r.y for r in known])) > 0.9
+    assert out.count() == read(spark, SF, "documents").count()
+
+
+@pytest.mark.parametrize("apply, label", [(quality.quality, "quality"), (toxicity.toxicity, "toxic")])
+def test_odd_rows(spark, apply, label):
+    rng = random.Random(6)
+    schema = T.StructType([T.StructField(c, t) for c, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("score", T.StringType()))])
+    rows = [(k, " ".join(rng.choices(["good", "words", "here"] if k % 2 else ["###", "bad|", "moron"], k=9)), "own") for k in range(60)]
+    rows += [(100, None, None), (101, "", None), (None, "x", None), (102, "long line " * 50_000, None), (3, rows[3][1], None)]
+    docs = spark.createDataFrame(rows, schema)
+    marks = [(k, k % 2, None) for k in range(60)] + [(k, None, None) for k in (3, 100)] + [(None, 1, "q")]
+    labels = spark.createDataFrame(marks, f"doc_id long, {label} int, text string")
+    out = apply(docs, labels).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
+    assert [r.held_out for r in out if r.doc_id is None] == [None]
+    empty = apply(docs.limit(0), labels).collect()
+    assert empty == []
+    unlabelled = apply(docs, labels.limit(0)).collect()
+    assert len(unlabelled) == len(rows) and all(0 <= r.score <= 1 for r in unlabelled)
