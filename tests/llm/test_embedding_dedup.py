@@ -1,0 +1,68 @@
+"""Links and components against all pairs; crowds larger than a window; odd vectors."""
+
+import math
+
+import numpy as np
+
+from tidemark.llm import embedding_dedup as ed
+
+SCHEMA = "vec_id long, embedding array<float>, label int, node string"
+
+
+def plain(rows):
+    good = []
+    for k, (_, v, label, _) in enumerate(rows):
+        ok = v is not None and label is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
+        good.append(np.array(v, np.float32).astype(float) if ok else None)
+    n, root = len(rows), list(range(len(rows)))
+    links = [0] * n
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            a, b = good[i], good[j]
+            if a is None or b is None or rows[i][2] != rows[j][2] or len(a) != len(b):
+                continue
+            if a @ b / math.sqrt((a @ a) * (b @ b)) >= ed.COSINE:
+                links[i] += 1
+                links[j] += 1
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    ids = [r[0] for r in rows]
+    groups = {}
+    for k in range(n):
+        groups.setdefault(top(k), []).append(ids[k])
+    least = {k: min((i for i in g if i is not None), default=None) for k, g in groups.items()}
+    return sorted((ids[k] if ids[k] is not None else -1, links[k], least[top(k)] or -1) for k in range(n))
+
+
+def check(spark, rows):
+    out = ed.near_duplicates(spark.createDataFrame(rows, SCHEMA), passes=6).collect()
+    got = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id or -1) for r in out)
+    assert got == plain(rows)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in out)
+
+
+def test_crowd_and_neighbours(spark):
+    rng = np.random.default_rng(10)
+    rows, base = [], rng.normal(size=(60, 32))
+    for v in base:
+        for _ in range(rng.integers(1, 5)):
+            rows.append(v + rng.normal(size=32) * rng.choice([0.0, 0.03, 0.15, 0.2]))
+    crowd = rng.normal(size=32)
+    rows += [crowd + rng.normal(size=32) * 0.08 for _ in range(700)]
+    rows += [crowd] * 90
+    data = [(k + 1, [float(x) for x in v], int(k % 7 == 0), "own") for k, v in enumerate(rows)]
+    check(spark, data)
+
+
+def test_odd_vectors(spark):
+    v, inf, nan = [1.0, 2.0, 3.0], float("inf"), float("nan")
+    data = [(1, v, 1), (2, v, 2), (3, v, None), (4, None, 1), (5, [0.0] * 3, 1), (6, [], 1), (7, [1.0, None, 3.0], 1)]
+    data += [(8, [nan, 1.0, 1.0], 1), (9, [inf, 1.0, 1.0], 1), (10, [2.0, 4.0, 6.0], 1), (11, [1.0, 2.0], 1), (12, [-1.0, -2.0, -3.0], 1)]
+    data += [(13, v, 1), (13, v, 1), (None, v, 2), (None, [5.0, 0.0, 0.0], 3), (14, [1e30, 2e30, 3e30], 1)]
+    check(spark, [(*r, "own") for r in data])
+    assert ed.near_duplicates(spark.createDataFrame([], SCHEMA), passes=2).collect() == []

@@ -1,4 +1,4 @@
 """All queries of this subpackage: importing the operators fills the registry."""
 
-from tidemark.llm import decontaminate, jaccard_join, line_dedup, quality, sentencepiece_scan, token_count, toxicity, warc  # noqa: F401
+from tidemark.llm import decontaminate, embedding_dedup, jaccard_join, line_dedup, quality, sentencepiece_scan, token_count, toxicity, warc  # noqa: F401
 from tidemark.llm.registry import ORACLES, QUERIES  # noqa: F401
