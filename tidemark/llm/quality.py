@@ -15,13 +15,15 @@ null where the doc_id is.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read
+from tidemark.llm.common import map_arrow, read
 from tidemark.llm.hashing import mix, word_hashes
 from tidemark.llm.linear import fit_logistic, sigmoid
 from tidemark.llm.registry import register
@@ -236,6 +238,17 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def keep_rows(docs: DataFrame, model) -> DataFrame:
+    """The rows whose text scores at least 0.5 by a broadcast Model, all columns as they are."""
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(scores(model.value, texts) >= 0.5))
+
+    return map_arrow(docs, good, docs.schema)
+
+
 @register("op1_quality")
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
