@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch; texts can be 100 KB and more, so that a batch stays at some MB.
 BATCH_ROWS = 256
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +25,7 @@ def map_arrow(
 ) -> DataFrame:
     """mapInArrow in batches that stay small however long the texts are."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 

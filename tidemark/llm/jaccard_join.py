@@ -6,18 +6,18 @@ same number of partitions, so many that every similar partner has at least one p
 elements, and not none; its content is a signature. A set just below a band's end also takes the next band's
 signatures. Where a set has too few partitions with elements for that promise, it signs its empty ones too.
 
-Texts with the same set are one node from the start. Signatures held by two nodes or more are kept. In each such
-bucket the smallest node meets the others; the pairs pass an exact filter (sizes, and parities of the elements by hash
-bits, which differ in no more places than the sets do) and are then verified on the sets. Verified pairs are merged
-into components. Of a bucket that still holds several components, all pairs across components follow if it has at most
-SMALL nodes. Nodes of larger unsettled buckets get stronger signatures: partitions with room for one difference, cut
-in four, of which each three make a signature (second level of PartEnum). If some of those buckets are still large and
-unsettled, more and more of their nodes, 4, 8, 16, ..., meet all others until every pair of components has met: exact,
-and only reached by data made for it. So no bucket is capped or dropped.
+Texts with the same set are one node from the start. Signatures held by two nodes or more are kept. In a bucket of at
+most SMALL nodes all pairs meet, in a larger one the smallest node meets the others; the pairs pass an exact filter
+(sizes, and parities of the elements by hash bits, which differ in no more places than the sets do) and are then
+verified on the sets. Verified pairs are merged into components. Nodes of larger buckets that still hold several components
+get stronger signatures: partitions with room for one difference, cut in four, of which each three make a signature
+(second level of PartEnum). If some of those buckets are still large and unsettled, more and more of their nodes, 4,
+16, 64, ..., meet all others until every pair of components has met: exact, and only reached by data made for it. So
+no bucket is capped or dropped.
 
 A null or empty text, or one without words, has no shingles, links with nothing and is its own component; a null
 doc_id belongs to the component of its set if others have it, else its component is null. Rows that repeat a doc_id
-are one vertex. Shuffles carry hashes and node ids; texts are shuffled once, for the nodes of candidate pairs.
+are one vertex. Shuffles carry hashes and node ids; texts are read again for the nodes of candidate pairs, whose ids are sent if few.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Nodes up to which a bucket's remaining pairs are all met.
 SMALL = 16
+#: Ids (with nodes, 16 bytes a row) that are broadcast rather than joined by a shuffle of the texts.
+MOST_SENT = 1_000_000
 #: 64-bit words of the parity sketch.
 PARITY_WORDS = 16
 _ODD = [np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64) for k in range(1, SHINGLE + 1)]
@@ -138,16 +140,19 @@ def with_sets(docs: DataFrame) -> DataFrame:
 
 
 def signed(texts: DataFrame, strong: bool, percent: int) -> DataFrame:
-    """(sig, node) of every signature of (text)."""
+    """(sig, node) of every signature of (text); a task signs a node once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             sigs, nodes = [], []
             for h in shingle_sets([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]):
-                if len(h):
+                node = _set_hash(h) if len(h) else None
+                if node is not None and node not in seen:
+                    seen.add(node)
                     own = signatures(h, strong, percent)
                     sigs.append(own.view(np.int64))
-                    nodes.append(np.full(len(own), _set_hash(h)))
+                    nodes.append(np.full(len(own), node))
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, nodes)], ["sig", "node"])
 
@@ -155,9 +160,38 @@ def signed(texts: DataFrame, strong: bool, percent: int) -> DataFrame:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """The (sig, node) whose signature two nodes or more have, once each."""
-    many = rows.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    return rows.join(many.select("sig"), "sig").distinct()
+    """The (sig, node) whose signature two nodes or more have, once each: rows are shuffled once, sorted, and streamed."""
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((2, 0), np.int64)  # the last row of the batch before
+        told = False  # whether that row has been passed on
+        for batch in batches:
+            sig, node = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns))
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            if not new.all():
+                sig, node = sig[new], node[new]
+            same = sig[1:] == sig[:-1]
+            keep = np.zeros(len(sig), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            if told:
+                keep[0] = False
+            told = bool(keep[-1]) or (told and len(sig) == 1)
+            held = np.stack([sig[-1:], node[-1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep])], ["sig", "node"])
+
+    spark = rows.sparkSession
+    ordered = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sig").sortWithinPartitions("sig", "node")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")  # of 16 bytes; the limit of bytes stays
+    return ordered.mapInArrow(repeated, "sig bigint, node bigint")
+
+
+def with_texts(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
+    """The documents of some doc_ids: those are broadcast if they are at most MOST_SENT, else both sides are shuffled."""
+    ids = stored(ids, "ids")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return own.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "doc_id")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -182,7 +216,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), mine, found], ["node", "own", "hashes"])
 
     # a doc_id may have rows with other texts: only the set that the node stands for counts
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("node", "text")
+    texts = with_texts(docs, wanted).select("node", "text")
     sets = map_arrow(texts, rows, "node bigint, own bigint, hashes array<bigint>").where("node = own").drop("own")
     sets = stored(sets.dropDuplicates(["node"]), "sets")
     left = close.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("h_a")), "a")
@@ -218,9 +252,13 @@ class _Groups:
         return known.join(spread.where("low != high").select("sig", "n"), "sig")
 
 
-def _star(rows: DataFrame) -> DataFrame:
-    low = rows.groupBy("sig").agg(F.min("node").alias("a"))
-    return rows.join(low, "sig").where("node != a").select("a", F.col("node").alias("b")).distinct()
+def _first_pairs(rows: DataFrame, small: int) -> DataFrame:
+    """All pairs of buckets of at most `small` nodes; in larger ones the smallest node with every other."""
+    sizes = rows.groupBy("sig").agg(F.min("node").alias("a"), F.count("*").alias("n"))
+    star = rows.join(sizes.where(F.col("n") > small), "sig").where("node != a").select("a", F.col("node").alias("b"))
+    few = rows.join(sizes.where(F.col("n") <= small).select("sig"), "sig")
+    two = few.select("sig", F.col("node").alias("a")).join(few.select("sig", F.col("node").alias("b")), "sig").where("a < b")
+    return star.unionByName(two.select("a", "b")).distinct()
 
 
 def _across(rows: DataFrame, firsts: Column | None = None) -> DataFrame:
@@ -263,20 +301,14 @@ def components(docs: DataFrame, percent: int = PERCENT, small: int = SMALL) -> D
     groups = _Groups(nodes, docs, percent)
     texts = docs.where(F.col("doc_id").isNotNull())
     weak = stored(shared(signed(texts, False, percent)), "signatures")
-    groups.meet(_star(weak))
-    left = stored(groups.unsettled(weak), "unsettled")
-    groups.meet(_across(left.where(F.col("n") <= small)))
-    large = groups.unsettled(left.where(F.col("n") > small).select("sig", "node"))
-    large = stored(large.where(F.col("n") > small).select("node").distinct(), "large-nodes")
+    groups.meet(_first_pairs(weak, small))
+    large = stored(groups.unsettled(weak).where(F.col("n") > small).select("node").distinct(), "large-nodes")
     if not large.isEmpty():
-        ids = large.join(nodes, "node").select("node", F.col("one").alias("doc_id"))
-        own = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(ids, "doc_id").select("text")
-        strong = shared(signed(own, True, percent)).join(large, "node", "left_semi").select("sig", "node")
-        strong = stored(strong, "signatures")
-        groups.meet(_star(strong))
-        left = stored(groups.unsettled(strong), "unsettled")
-        groups.meet(_across(left.where(F.col("n") <= small)))
-        last = groups.unsettled(left.where(F.col("n") > small).select("sig", "node"))
+        ids = large.join(nodes, "node").select(F.col("one").alias("doc_id"))
+        strong = shared(signed(with_texts(docs, ids).select("text"), True, percent)).join(large, "node", "left_semi")
+        strong = stored(strong.select("sig", "node"), "signatures")
+        groups.meet(_first_pairs(strong, small))
+        last = stored(groups.unsettled(strong).where(F.col("n") > small), "unsettled")
         if not last.isEmpty():
             _settle_large(groups, last)
     # from nodes to documents: rows of one doc_id are one vertex, which may tie several nodes
