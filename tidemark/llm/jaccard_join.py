@@ -6,10 +6,10 @@ same number of partitions, so many that every similar partner has at least one p
 elements, and not none; its content is a signature. A set just below a band's end also takes the next band's
 signatures. Where a set has too few partitions with elements for that promise, it signs its empty ones too.
 
-Texts with the same set are one node from the start. Signatures held by two nodes or more are kept. In a bucket of at
-most SMALL nodes all pairs meet, in a larger one the smallest node meets the others; the pairs pass an exact filter
-(sizes, and parities of the elements by hash bits, which differ in no more places than the sets do) and are then
-verified on the sets. Verified pairs are merged into components. Nodes of larger buckets that still hold several components
+Texts with the same set are one node from the start. Signatures held by two nodes or more are kept. In each bucket
+the smallest node meets the others; if several components are left in a bucket of at most SMALL nodes, all pairs across
+them meet. Pairs pass an exact filter
+(sizes, and parities of the elements by hash bits, which differ in no more places than the sets do) and are then verified on the sets. Verified pairs are merged into components. Nodes of larger buckets that still hold several components
 get stronger signatures: partitions with room for one difference, cut in four, of which each three make a signature
 (second level of PartEnum). If some of those buckets are still large and unsettled, more and more of their nodes, 4,
 16, 64, ..., meet all others until every pair of components has met: exact, and only reached by data made for it. So
@@ -252,6 +252,12 @@ class _Groups:
         return known.join(spread.where("low != high").select("sig", "n"), "sig")
 
 
+def _star(rows: DataFrame) -> DataFrame:
+    """The smallest node of each bucket with every other."""
+    low = rows.groupBy("sig").agg(F.min("node").alias("a"))
+    return rows.join(low, "sig").where("node != a").select("a", F.col("node").alias("b")).distinct()
+
+
 def _first_pairs(rows: DataFrame, small: int) -> DataFrame:
     """All pairs of buckets of at most `small` nodes; in larger ones the smallest node with every other."""
     sizes = rows.groupBy("sig").agg(F.min("node").alias("a"), F.count("*").alias("n"))
@@ -301,8 +307,11 @@ def components(docs: DataFrame, percent: int = PERCENT, small: int = SMALL) -> D
     groups = _Groups(nodes, docs, percent)
     texts = docs.where(F.col("doc_id").isNotNull())
     weak = stored(shared(signed(texts, False, percent)), "signatures")
-    groups.meet(_first_pairs(weak, small))
-    large = stored(groups.unsettled(weak).where(F.col("n") > small).select("node").distinct(), "large-nodes")
+    groups.meet(_star(weak))
+    left = stored(groups.unsettled(weak), "unsettled")
+    groups.meet(_across(left.where(F.col("n") <= small)))
+    large = groups.unsettled(left.where(F.col("n") > small).select("sig", "node"))
+    large = stored(large.select("node").distinct(), "large-nodes")
     if not large.isEmpty():
         ids = large.join(nodes, "node").select(F.col("one").alias("doc_id"))
         strong = shared(signed(with_texts(docs, ids).select("text"), True, percent)).join(large, "node", "left_semi")
