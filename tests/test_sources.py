@@ -55,13 +55,13 @@ def test_mart_is_split_by_month_and_read_by_month(spark):
 def test_shop_table_without_bom_joins_finished_sums(spark, tmp_path):
     text = (
         "pickup_shop_name,region_1depth_name,region_2depth_name,region_3depth_name,h_code,x,y\n"
-        "가게(일호점),서울,양천구,목동,1147055000,37.5398954,126.881942\n"
+        "가게(일호점),가나시,다라구,마바동,9900000001,11.5,22.25\n"
     )
     (tmp_path / "pickup_shop.csv").write_text(text, encoding="utf-8")
     shops = tables.load_table(spark, str(tmp_path), "pickup_shop")
     sums = spark.createDataFrame([("가게(일호점)", 5, 2), ("가게(이호점)", 1, 1)], "pickup_shop_name string, sales int, pu int")
     got = {r.pickup_shop_name: (r.sales, r.h_code, r.x) for r in shop_sales_located(sums, shops).collect()}
-    assert got == {"가게(일호점)": (5, 1147055000, 37.5398954), "가게(이호점)": (1, None, None)}
+    assert got == {"가게(일호점)": (5, 9900000001, 11.5), "가게(이호점)": (1, None, None)}
 
 
 def test_scratch_folder_is_the_shared_one(spark):
@@ -71,3 +71,23 @@ def test_scratch_folder_is_the_shared_one(spark):
 @pytest.mark.parametrize("schema", [*SCHEMAS.values(), *STAR_SCHEMAS.values()])
 def test_schemas_parse(spark, schema):
     assert spark.createDataFrame([], schema).columns
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "login.csv").write_text("extra,user_id,login_date\nx,7,2022-05-01\n,8,\n")
+    df = tables.load_table(spark, str(tmp_path), "login")
+    assert [f.strip().split()[0] for f in SCHEMAS["login"].split(",")] == df.columns
+    assert sorted((r.user_id, str(r.login_date)) for r in df.collect()) == [(7, "2022-05-01"), (8, "None")]
+
+
+@pytest.mark.parametrize("row", ["2022-05-01,x", "not-a-date,1"])
+def test_bad_values_raise(spark, tmp_path, row):
+    (tmp_path / "login.csv").write_text(f"login_date,user_id\n2022-05-01,1\n{row}\n")
+    with pytest.raises(Exception, match="is no"):
+        tables.load_table(spark, str(tmp_path), "login").collect()
+
+
+def test_missing_column_raises(spark, tmp_path):
+    (tmp_path / "login.csv").write_text("login_date,user\n2022-05-01,1\n")
+    with pytest.raises(ValueError, match="user_id"):
+        tables.load_table(spark, str(tmp_path), "login")

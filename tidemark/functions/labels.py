@@ -50,8 +50,9 @@ def recode(c: ColumnOrName, labels: Mapping[str, str]) -> Column:
 
 
 def joined_key(*parts: ColumnOrName) -> Column:
-    """``a-b`` key of several text columns."""
-    return F.concat_ws("-", *[as_col(p) for p in parts])
+    """``a-b`` key of several text columns; null where one of them is."""
+    first, *rest = [as_col(p) for p in parts]
+    return F.concat(first, *[F.concat(F.lit("-"), p) for p in rest])
 
 
 def period_label(index: ColumnOrName) -> Column:

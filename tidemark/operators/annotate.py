@@ -26,6 +26,8 @@ def annotate_periods(series: DataFrame, periods: DataFrame, at: str | Column) ->
     Each period is written out as its days, which turns the range condition
     into an equality.  Spark then hashes on the day and needs no nested loop.
     """
+    # A period that ends before it begins has no days; sequence would count them backwards.
+    periods = periods.filter(F.col("first_day") <= F.col("last_day"))
     noted = periods.select(F.explode(F.sequence("first_day", "last_day")).alias("_noted_day"), "note")
     dated = series.withColumn("_day", day_of(at))
     joined = dated.join(noted, F.col("_day") == F.col("_noted_day"), "left")

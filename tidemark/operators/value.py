@@ -40,7 +40,7 @@ def _with_all(df: DataFrame, by: str, keys: list[str], measure: str) -> DataFram
 def cohort_revenue(
     users: DataFrame,
     orders: DataFrame,
-    max_period: int,
+    max_period: int | None,
     obs_end: dt.date,
     by: str = "attribute_type",
     with_all: bool = True,
@@ -51,9 +51,9 @@ def cohort_revenue(
     """Size and cumulative revenue of each signup cohort by months since signup.
 
     A cohort is a value of ``by`` and a signup ``month``, which is a DATE here.
-    The size counts all members, buyers or not.  Periods run from 0 to
-    ``max_period`` as far as they had begun by ``obs_end``; one without orders
-    repeats the last sum.
+    The size counts all members, buyers or not.  Periods run from 0 to the last
+    one that had begun by ``obs_end``, or to ``max_period`` where one is given;
+    one without orders repeats the last sum.
     """
     members = one_row_per_user(users, "create_date", by, user=user).select(
         F.col(user).alias("user_id"),
@@ -66,7 +66,11 @@ def cohort_revenue(
     # Orders before the signup are not the cohort's; equal days are.
     bought = members.join(spend, "user_id").filter(F.col("order_day") >= F.col("create_date"))
     period = months_elapsed("month", "order_day").alias("ltv_period")
-    revenue = bought.select(by, "month", period, "paid").filter(F.col("ltv_period") <= max_period)
+    revenue = bought.select(by, "month", period, "paid")
+    last_period = months_elapsed("month", F.lit(obs_end))
+    if max_period is not None:
+        revenue = revenue.filter(F.col("ltv_period") <= max_period)
+        last_period = F.least(F.lit(max_period), last_period)
     revenue = revenue.groupBy(by, "month", "ltv_period").agg(F.sum("paid").alias("paid"))
     sizes = members.groupBy(by, "month").agg(F.count("*").alias("user_cnt"))
     if with_all:
@@ -75,7 +79,6 @@ def cohort_revenue(
     else:
         sizes = sizes.filter(F.col(by).isNotNull())
 
-    last_period = F.least(F.lit(max_period), months_elapsed("month", F.lit(obs_end)))
     periods = sizes.withColumn("ltv_period", F.explode(F.sequence(F.lit(0), last_period)))
     so_far = Window.partitionBy(by, "month").orderBy("ltv_period").rowsBetween(Window.unboundedPreceding, 0)
     filled = periods.join(revenue, [by, "month", "ltv_period"], "left")
@@ -91,7 +94,7 @@ def with_ltv(revenue: DataFrame) -> DataFrame:
 def cohort_ltv(
     users: DataFrame,
     orders: DataFrame,
-    max_period: int,
+    max_period: int | None,
     obs_end: dt.date,
     by: str = "attribute_type",
     with_all: bool = True,
@@ -139,7 +142,7 @@ def roas_by_attribute(
     users: DataFrame,
     orders: DataFrame,
     cost: DataFrame,
-    max_period: int,
+    max_period: int | None,
     obs_end: dt.date,
     horizon: int = 1,
 ) -> DataFrame:
@@ -156,7 +159,7 @@ def roas_by_campaign(
     users: DataFrame,
     orders: DataFrame,
     cost: DataFrame,
-    max_period: int,
+    max_period: int | None,
     obs_end: dt.date,
     horizon: int = 1,
 ) -> DataFrame:

@@ -31,7 +31,7 @@ class Settings:
     ref_month: str  # month whose growth names a region's band
     obs_end: dt.date  # last observed day
     regions: Sequence[str]  # columns of the shop by region table
-    max_period: int = 12  # months of lifetime value
+    max_period: int | None = None  # months of lifetime value, all that were observed unless given
     series_start: str | None = None  # first month of the activity series
     buckets: int | None = None  # of the reduced logins; the number of shuffle partitions if not given
 

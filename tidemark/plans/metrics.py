@@ -38,7 +38,8 @@ from tidemark.plans.sql_parts import (
 )
 
 REF_MONTH = "2001-07"
-MAX_PERIOD = 12
+#: Months for which a campaign cohort must have been tracked.
+HORIZON = 12
 WORLD_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 EVENT_PERIODS = (
     (dt.date(2024, 1, 5), dt.date(2024, 1, 9), "shop opening"),
@@ -171,7 +172,7 @@ bought AS (
 ltv AS (
     SELECT c.grp, {month('c.m')} AS create_year_month, CAST(n AS INTEGER) AS ltv_period, c.user_cnt,
            coalesce(sum(b.paid), 0) AS revenue
-    FROM cohort c JOIN range(0, {MAX_PERIOD + 1}) r(n) ON n <= date_diff('month', c.m, DATE '{inputs.OBS_END}')
+    FROM (SELECT *, unnest(range(0, date_diff('month', m, DATE '{inputs.OBS_END}') + 1)) AS n FROM cohort) c
     LEFT JOIN bought b ON b.grp = c.grp AND b.m = c.m AND b.p <= n
     GROUP BY 1, 2, 3, 4)"""
 
@@ -199,7 +200,7 @@ SELECT grp AS attribute_type, create_year_month, ltv_period, user_cnt, CAST(reve
 FROM ltv""")
 def cohort_ltv(spark: SparkSession, sf_dir: str) -> DataFrame:
     users, orders = inputs.segment_users(spark, sf_dir), inputs.orders(spark, sf_dir)
-    return value.cohort_ltv(users, orders, MAX_PERIOD, inputs.OBS_END)
+    return value.cohort_ltv(users, orders, None, inputs.OBS_END)
 
 
 @query(_roas_sql("attribute_type", True, "", 1))
@@ -208,20 +209,20 @@ def roas_by_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
         inputs.segment_users(spark, sf_dir),
         inputs.orders(spark, sf_dir),
         inputs.cost(spark, sf_dir),
-        MAX_PERIOD,
+        None,
         inputs.OBS_END,
     )
 
 
-@query(_roas_sql("campaign", False, "campaign", MAX_PERIOD))
+@query(_roas_sql("campaign", False, "campaign", HORIZON))
 def roas_by_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return value.roas_by_campaign(
         inputs.segment_users(spark, sf_dir),
         inputs.orders(spark, sf_dir),
         inputs.campaign_cost(spark, sf_dir),
-        MAX_PERIOD,
+        None,
         inputs.OBS_END,
-        horizon=MAX_PERIOD,
+        horizon=HORIZON,
     )
 
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidemark.sources.schemas import SCHEMAS
 
@@ -23,9 +25,28 @@ def list_files(spark: SparkSession, root: str, suffix: str = ".csv") -> DataFram
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A headed CSV file, or all ``.csv`` files of a folder, with a given schema."""
-    reader = spark.read.schema(schema).option("header", True).option("encoding", "UTF-8")
-    return reader.option("pathGlobFilter", "*.csv").csv(path)
+    """The columns of a schema from a headed CSV file, or from all ``.csv`` files of a folder.
+
+    Columns are found by the names of the header, in any order and among
+    others; a missing one raises here, a text that its type cannot hold raises
+    when it is read.  Files of a folder must have the same header.
+    """
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("enforceSchema", False)
+    texts = reader.option("pathGlobFilter", "*.csv").csv(path)
+    texts = texts.toDF(*[c.removeprefix(BOM) for c in texts.columns])
+    wanted = StructType.fromDDL(schema)
+    missing = [f.name for f in wanted if f.name not in texts.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    # An ANSI cast also where the session is set otherwise: null only for null.
+    return texts.select(*[_strict(f).alias(f.name) for f in wanted])
+
+
+def _strict(field: StructField) -> Column:
+    text = F.col(f"`{field.name}`")
+    value = text.try_cast(field.dataType)
+    bad = F.raise_error(F.concat(F.lit(f"{field.name} is no {field.dataType.simpleString()}: "), text))
+    return F.when(text.isNotNull() & value.isNull(), bad.cast(field.dataType)).otherwise(value)
 
 
 def load_table(spark: SparkSession, root: str, name: str) -> DataFrame:
