@@ -106,7 +106,8 @@ def links(nodes: DataFrame, cosine: float, passes: int, window: int) -> DataFram
         reach = F.floor((F.col("place") - window) / BLOCK)
         each = placed.withColumn("block", F.explode(F.sequence(F.greatest(reach, F.lit(0)), block)))
         each = each.withColumn("own", F.col("block") == block)
-        some = each.groupBy("block").applyInPandas(_windows(window, cosine), "a bigint, b bigint")
+        # each pass is a plan of its own, so that the driver never holds all of them as one
+        some = stored(each.groupBy("block").applyInPandas(_windows(window, cosine), "a bigint, b bigint"), "links")
         found = some if found is None else found.unionByName(some)
     return found.distinct()
 
