@@ -244,9 +244,9 @@ def find_contamination(
     return places.join(merged, ["segment", "place"], "left").drop("segment", "place")
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The verdict of each document: contaminated if at least a twentieth of its words are inside phrases of items."""
-    found = find_contamination(docs, items)
+    found = find_contamination(docs, items, block_words=block_words)
     ids = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<bigint>")), lambda x: x.cast("string")))
     n_hit = F.greatest(F.size("words"), F.lit(0)).cast("long")
     n_hit = F.when(F.col("words").isNull(), F.lit(0)).otherwise(n_hit).cast("long")
