@@ -19,7 +19,7 @@ from tidemark.functions.timekeys import (
     timestamp_of,
     year_key,
 )
-from tidemark.operators import activity, annotate, attribution, cost, ordering, profile, sales, value
+from tidemark.operators import activity, annotate, attribution, cohorts, cost, ordering, profile, sales, value
 from tidemark.operators.joins import one_row_per_user
 from tidemark.operators.reshape import melt
 
@@ -128,15 +128,31 @@ def test_shop_region_pivot(spark, rows):
     regions = spark.createDataFrame([(1, "north"), (1, "north"), (2, "south"), (9, "else")], "user_id long, region string")
     wide = sales.shop_region_sales_pivot(orders, regions, ["north", "south", "west"], month="2024-01")
     assert rows(wide) == [
-        {"order_year_month": "2024-01", "pickup_shop_name": "x", "north": 3, "south": 4, "west": None},
-        {"order_year_month": "2024-01", "pickup_shop_name": "y", "north": None, "south": None, "west": None},
+        {"order_year_month": "2024-01", "pickup_shop_name": "x", "north": 3, "south": 4, "west": None, "other": None},
+        {"order_year_month": "2024-01", "pickup_shop_name": "y", "north": None, "south": None, "west": None, "other": 5},
     ]
     filled = sales.shop_region_sales_pivot(orders, regions, ["north", "west"], fill_zero=True)
-    assert {(r.order_year_month, r.pickup_shop_name): (r.north, r.west) for r in filled.collect()} == {
-        ("2024-01", "x"): (3, 0),
-        ("2024-02", "x"): (8, 0),
-        ("2024-01", "y"): (0, 0),
+    assert {(r.order_year_month, r.pickup_shop_name): (r.north, r.west, r.other) for r in filled.collect()} == {
+        ("2024-01", "x"): (3, 0, 4),
+        ("2024-02", "x"): (8, 0, 0),
+        ("2024-01", "y"): (0, 0, 5),
     }
+    # payers without a region count too: each shop's row adds up to its sales
+    few = sales.shop_region_sales_pivot(orders, regions.filter("user_id = 1"), ["north"], fill_zero=True)
+    got = few.groupBy("pickup_shop_name").agg(F.sum(F.col("north") + F.col("other")).alias("sales"))
+    assert rows(got) == rows(sales.shop_sales(orders), "pickup_shop_name", "sales")
+
+
+def test_users_without_a_region_count_as_unknown(spark, rows):
+    users = spark.createDataFrame([(1, D(2024, 1, 1)), (2, D(2024, 1, 5)), (3, D(2024, 1, 9))], "user_id long, create_date date")
+    regions = spark.createDataFrame([(1, "north"), (2, None)], "user_id long, region string")
+    logins = users.selectExpr("user_id", "create_date as login_date")
+    for counts in (
+        activity.mau_by_region(logins, regions),
+        activity.nru_by_region(users, regions),
+        cohorts.regional_cohort_counts(logins, users, regions),
+    ):
+        assert {r.region: r.user_cnt for r in counts.collect()} == {"north": 1, "unknown": 2}
 
 
 def test_cost_sums_rows_of_a_day(spark, rows):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.labels import joined_key
 from tidemark.functions.predicates import month_between
 from tidemark.functions.timekeys import day_of, month_key, month_start, year_key
-from tidemark.operators.joins import one_row_per_user
+from tidemark.operators.joins import one_row_per_user, with_region
 
 
 def monthly_activity(logins: DataFrame, user: str = "user_id", date: str = "login_date") -> DataFrame:
@@ -79,15 +79,13 @@ def user_regions(users: DataFrame, *parts: str, user: str = "user_id") -> DataFr
 
 
 def mau_by_region(logins: DataFrame, user_region: DataFrame) -> DataFrame:
-    """Distinct active users per region and month."""
-    located = monthly_activity(logins).join(one_row_per_user(user_region, "region"), "user_id")
-    counts = located.filter(F.col("region").isNotNull()).groupBy("region", "login_month").count()
+    """Distinct active users per region and month; users without a region count under ``unknown``."""
+    counts = with_region(monthly_activity(logins), user_region).groupBy("region", "login_month").count()
     return counts.select("region", month_key("login_month").alias("login_year_month"), F.col("count").alias("user_cnt"))
 
 
 def nru_by_region(users: DataFrame, user_region: DataFrame) -> DataFrame:
-    """Distinct signups per region and month."""
+    """Distinct signups per region and month; users without a region count under ``unknown``."""
     signups = one_row_per_user(users, "create_date").withColumn("month", month_start("create_date"))
-    located = signups.join(one_row_per_user(user_region, "region"), "user_id")
-    counts = located.filter(F.col("region").isNotNull() & F.col("month").isNotNull()).groupBy("region", "month").count()
+    counts = with_region(signups.filter(F.col("month").isNotNull()), user_region).groupBy("region", "month").count()
     return counts.select("region", month_key("month").alias("create_year_month"), F.col("count").alias("user_cnt"))

@@ -14,7 +14,7 @@ from tidemark.functions.predicates import month_between
 from tidemark.functions.ratios import ratio
 from tidemark.functions.timekeys import month_from_key, month_key, month_start, months_elapsed
 from tidemark.operators.activity import monthly_activity
-from tidemark.operators.joins import one_row_per_user
+from tidemark.operators.joins import one_row_per_user, with_region
 from tidemark.operators.reshape import melt
 
 COHORT_COLUMNS = ("login_year_month", "create_year_month", "create_year", "time_order", "user_cnt", "first_user_cnt")
@@ -49,12 +49,11 @@ def cohort_return_rate_long(rates: DataFrame, from_month: str, rate: str = "retu
 
 
 def regional_cohort_counts(logins: DataFrame, users: DataFrame, user_region: DataFrame) -> DataFrame:
-    """Distinct active users per region, signup month and login month."""
-    regions = one_row_per_user(user_region, "region")
+    """Distinct active users per region, signup month and login month; ``unknown`` holds users without a region."""
     signups = one_row_per_user(users, "create_date").withColumn("create_month", month_start("create_date"))
     # Both user tables are already partitioned by user here, and so is the result.
-    cohorts = signups.join(regions, "user_id").select("user_id", "region", "create_month")
-    members = cohorts.filter(F.col("region").isNotNull() & F.col("create_month").isNotNull())
+    dated = signups.filter(F.col("create_month").isNotNull())
+    members = with_region(dated, user_region).select("user_id", "region", "create_month")
     counts = monthly_activity(logins).join(members, "user_id").groupBy("region", "create_month", "login_month").count()
     return counts.select(
         "region",

@@ -25,6 +25,16 @@ def one_row_per_user(users: DataFrame, *attributes: str, user: str = "user_id")
     return smallest.select(user, *[F.col(f"_row.{a}").alias(a) for a in attributes])
 
 
+#: The region of users for whom none is known.
+UNKNOWN_REGION = "unknown"
+
+
+def with_region(rows: DataFrame, user_region: DataFrame, user: str = "user_id", region: str = "region") -> DataFrame:
+    """``rows`` with the region of their user, ``unknown`` where there is none, so that parts add up to the whole."""
+    located = rows.join(one_row_per_user(user_region, region, user=user), user, "left")
+    return located.withColumn(region, F.coalesce(region, F.lit(UNKNOWN_REGION)))
+
+
 def null_safe_left_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> DataFrame:
     """Left outer equi-join on ``(left, right)`` column pairs where null matches null.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.predicates import in_months
 from tidemark.functions.ratios import total
 from tidemark.functions.timekeys import month_key, month_start
-from tidemark.operators.joins import one_row_per_user
+from tidemark.operators.joins import with_region
 from tidemark.operators.reshape import melt
 
 
@@ -67,10 +67,13 @@ def shop_region_sales_pivot(
     date: str = "order_date",
     user: str = "user_id",
     region: str = "region",
+    rest: str | None = "other",
 ) -> DataFrame:
     """Sales per month and shop with a column per region of the payer.
 
-    A cell is null, or 0 with ``fill_zero``, where nothing was sold.  Orders are
+    The column ``rest`` holds the sales to all other payers, of a region that is
+    not listed or not known, so that a row adds up to the shop's sales; None
+    leaves it out.  A cell is null, or 0 with ``fill_zero``, where nothing was sold.  Orders are
     summed per payer before they meet the region table, so a payer or a shop
     with many orders does not make a large join partition.
     """
@@ -78,7 +81,9 @@ def shop_region_sales_pivot(
     if month is not None:
         dated = dated.filter(in_months(date, month, month))
     per_payer = dated.groupBy(user, shop, month_start(date).alias("month")).agg(F.sum(amount).alias("paid"))
-    located = per_payer.join(one_row_per_user(user_region, region, user=user), user)
-    wide = located.groupBy("month", shop).pivot(region, list(regions)).agg(F.sum("paid"))
-    named = wide.select(month_key("month").alias("order_year_month"), shop, *[F.col(f"`{r}`") for r in regions])
-    return named.na.fill(0, list(regions)) if fill_zero else named
+    listed = F.when(F.col(region).isin(list(regions)), F.col(region)).otherwise(F.lit(rest))
+    located = with_region(per_payer, user_region, user, region).withColumn(region, listed)
+    columns = list(regions) if rest is None or rest in regions else [*regions, rest]
+    wide = located.groupBy("month", shop).pivot(region, columns).agg(F.sum("paid"))
+    named = wide.select(month_key("month").alias("order_year_month"), shop, *[F.col(f"`{c}`") for c in columns])
+    return named.na.fill(0, columns) if fill_zero else named

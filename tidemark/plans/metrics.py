@@ -77,19 +77,22 @@ def shop_sales_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(spark, sf_dir, sales.shop_sales_monthly(inputs.shop_orders(spark, sf_dir), shop="shop_id"))
 
 
+PIVOT_CASES = {r: f"r_name = '{r}'" for r in WORLD_REGIONS} | {
+    "other": f"r_name IS NULL OR r_name NOT IN {WORLD_REGIONS}"
+}
 PIVOT_COLUMNS = ", ".join(
-    f"CAST(sum(CASE WHEN r_name = '{r}' THEN payment_amount END) AS DOUBLE) AS \"{r}\"" for r in WORLD_REGIONS
+    f"CAST(sum(CASE WHEN {case} THEN payment_amount END) AS DOUBLE) AS \"{c}\"" for c, case in PIVOT_CASES.items()
 )
 FILLED_COLUMNS = ", ".join(
-    f"CAST(coalesce(sum(CASE WHEN r_name = '{r}' THEN payment_amount END), 0) AS DOUBLE) AS \"{r}\""
-    for r in WORLD_REGIONS
+    f"CAST(coalesce(sum(CASE WHEN {case} THEN payment_amount END), 0) AS DOUBLE) AS \"{c}\""
+    for c, case in PIVOT_CASES.items()
 )
 
 
 @query(f"""
 WITH {SALES}, {USER_REGION}
 SELECT {month('order_date')} AS order_year_month, pickup_shop_name, {PIVOT_COLUMNS}
-FROM sales JOIN user_region USING (user_id) GROUP BY 1, 2""")
+FROM sales LEFT JOIN user_region USING (user_id) GROUP BY 1, 2""")
 def shop_region_sales_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, regions = inputs.shop_orders(spark, sf_dir), inputs.user_world_region(spark, sf_dir)
     return _named(spark, sf_dir, sales.shop_region_sales_pivot(orders, regions, WORLD_REGIONS, shop="shop_id"))
@@ -98,7 +101,7 @@ def shop_region_sales_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {SALES}, {USER_REGION}
 SELECT {month('order_date')} AS order_year_month, shop_region AS pickup_shop_name, {FILLED_COLUMNS}
-FROM sales JOIN user_region USING (user_id) WHERE {month('order_date')} = '{REF_MONTH}' GROUP BY 1, 2""")
+FROM sales LEFT JOIN user_region USING (user_id) WHERE {month('order_date')} = '{REF_MONTH}' GROUP BY 1, 2""")
 def shop_region_sales_pivot_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, regions = inputs.shop_region_orders(spark, sf_dir), inputs.user_world_region(spark, sf_dir)
     return sales.shop_region_sales_pivot(orders, regions, WORLD_REGIONS, month=REF_MONTH, fill_zero=True)
@@ -284,10 +287,12 @@ def au_by_signup_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- regional growth --------------------------------------------------------
 
-MAU_REGION_SQL = f"""SELECT region, {month('login_date')} AS ym, count(DISTINCT user_id) AS user_cnt
-    FROM logins JOIN user_region USING (user_id) GROUP BY 1, 2"""
-NRU_REGION_SQL = f"""SELECT region, {month('create_date')} AS ym, count(DISTINCT user_id) AS user_cnt
-    FROM users JOIN user_region USING (user_id) GROUP BY 1, 2"""
+MAU_REGION_SQL = f"""SELECT coalesce(region, 'unknown') AS region, {month('login_date')} AS ym,
+           count(DISTINCT user_id) AS user_cnt
+    FROM logins LEFT JOIN user_region USING (user_id) GROUP BY 1, 2"""
+NRU_REGION_SQL = f"""SELECT coalesce(region, 'unknown') AS region, {month('create_date')} AS ym,
+           count(DISTINCT user_id) AS user_cnt
+    FROM users LEFT JOIN user_region USING (user_id) GROUP BY 1, 2"""
 
 
 def _growth_ctes(counts: str, prefix: str = "", calendar: bool = False) -> str:
@@ -401,9 +406,9 @@ def cohort_return_rate_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {ORDER_LOGINS}, {ORDER_USERS}, {USER_REGION},
 counts AS (
-    SELECT region, {month('login_date')} AS login_year_month, {month('create_date')} AS create_year_month,
-           count(DISTINCT user_id) AS user_cnt
-    FROM logins JOIN users USING (user_id) JOIN user_region USING (user_id) GROUP BY 1, 2, 3),
+    SELECT coalesce(region, 'unknown') AS region, {month('login_date')} AS login_year_month,
+           {month('create_date')} AS create_year_month, count(DISTINCT user_id) AS user_cnt
+    FROM logins JOIN users USING (user_id) LEFT JOIN user_region USING (user_id) GROUP BY 1, 2, 3),
 firsts AS (SELECT region, create_year_month, min(login_year_month) AS m, arg_min(user_cnt, login_year_month) AS n
            FROM counts GROUP BY 1, 2)
 SELECT c.region, login_year_month, c.create_year_month, substr(c.create_year_month, 1, 4) AS create_year,
