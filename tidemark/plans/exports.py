@@ -3,8 +3,8 @@
 The raw logins are read and shuffled once: they are reduced to a row per user and
 month with a bit per day and written in buckets of users.  Every table about
 activity starts from there and joins the users without shuffling it again.
-Signups are matched with installs once, and orders with signups once per kind
-of cohort.
+Signups are matched with installs once per attribute (type, campaign), and
+orders with signups once per kind of cohort.
 """
 
 from __future__ import annotations
