@@ -111,3 +111,25 @@ def test_odd_rows(spark):
     assert got[9, 4] == got[9, 5] == got[10, 5] == 9
     assert got[11, 1] == got[12, 1] == 11
     assert jj.components(docs.limit(0)).collect() == []
+
+
+def test_wide_parities_never_exceed_the_differences(spark):
+    """Long sets of one or two bands: the sketch differs in at most as many places as the sets, and in many if they are apart."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.jaccard_join import wide_apart, wide_parities
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    rows = []
+    for n, m, shared in [(2000, 2100, 1900), (4000, 4200, 4000), (2040, 2060, 1000), (3000, 3000, 3000), (5000, 5000, 0)]:
+        pool = rng.integers(0, 2**63, n + m - shared, dtype=np.uint64)
+        rows.append((wide_parities(pool[:n]), wide_parities(pool[n - shared :]), n + m - 2 * shared))
+    assert len(rows[1][0]) * 2 == len(rows[1][1])
+    assert wide_parities(pool[:1000]) is None
+    found = spark.createDataFrame(rows, "p array<bigint>, q array<bigint>, d int")
+    got = [tuple(r) for r in found.select(wide_apart(F.col("p"), F.col("q")), "d").collect()]
+    assert all(k <= d for k, d in got)
+    assert got[3][0] == 0 and all(k > 0.4 * d for k, d in got[:2])
+    none = found.select(wide_apart(F.col("p"), F.lit(None).cast("array<bigint>")).alias("k"))
+    assert none.where("k is not null").isEmpty()

@@ -53,9 +53,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet into the shared folder and read again: cuts the lineage."""
+    """The rows written as Parquet into the shared folder and read again: cuts the lineage.
+
+    The shuffle files of the write go as soon as it ends; what reads the rows later starts from the table.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,9 +8,9 @@ signatures. Where a set has too few partitions with elements for that promise, i
 
 Texts with the same set are one node from the start. Signatures held by two nodes or more are kept. In each bucket
 the smallest node meets the others; if several components are left in a bucket of at most SMALL nodes, all pairs across
-them meet. Pairs pass an exact filter
-(sizes, and parities of the elements by hash bits, which differ in no more places than the sets do) and are then verified on the sets. Verified pairs are merged into components. Nodes of larger buckets that still hold several components
-get stronger signatures: partitions with room for one difference, cut in four, of which each three make a signature
+them meet. Pairs pass an exact filter (sizes, and parities of the elements by hash bits, which differ in no more places
+than the sets do; long sets have a bit per element) and are then verified on the sets, each pair once. Verified pairs
+are merged into components. Nodes of larger buckets that still hold several components get stronger signatures: partitions with room for one difference, cut in four, of which each three make a signature
 (second level of PartEnum). If some of those buckets are still large and unsettled, more and more of their nodes, 4,
 16, 64, ..., meet all others until every pair of components has met: exact, and only reached by data made for it. So
 no bucket is capped or dropped.
@@ -108,19 +108,38 @@ def signatures(h: np.ndarray, strong: bool, percent: int = PERCENT) -> np.ndarra
     return np.unique(np.concatenate(out))
 
 
-def parities(h: np.ndarray) -> list[int]:
-    """For each of 1024 hash values of ten bits, whether an odd number of elements has it; as 64-bit words."""
-    bits = np.bincount((h & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+def parities(h: np.ndarray, words: int = PARITY_WORDS) -> list[int]:
+    """For each value of the low bits of a hash (1024 values), whether an odd number of elements has it; as 64-bit words."""
+    bits = np.bincount((h & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
+def wide_parities(h: np.ndarray) -> list[int] | None:
+    """Parities by one to two hash values per element, for sets so large that nearly all of the 1024 differ by chance."""
+    words = 2 ** len(h).bit_length() // 64
+    return parities(h, words) if words > PARITY_WORDS else None
+
+
+def wide_apart(p: Column, q: Column) -> Column:
+    """The places in which two wide parities differ, the longer one folded to the length of the shorter; null if one is null."""
+    words = F.least(F.size(p), F.size(q))
+
+    def folded(x: Column) -> Column:
+        halves = F.zip_with(F.slice(x, F.lit(1), words), F.slice(x, words + 1, words), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(x) > words, halves).otherwise(x)
+
+    differing = F.zip_with(folded(p), folded(q), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    count = F.aggregate(differing, F.lit(0), lambda total, n: total + n)
+    return F.when(p.isNotNull() & q.isNotNull(), count)
+
+
 def _set_hash(h: np.ndarray) -> int:
     """A 64-bit hash of a set: the node that stands for all texts with this set."""
     return int(mix(mix(h).sum(dtype=np.uint64)[None] + np.uint64(len(h))).view(np.int64)[0])
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, parity) of every document; node is null without shingles."""
+    """(doc_id, n_shingles, node, parity, wide) of every document; node is null without shingles."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,11 +150,12 @@ def with_sets(docs: DataFrame) -> DataFrame:
                     pa.array([len(h) for h in sets], pa.int64()),
                     pa.array([_set_hash(h) if len(h) else None for h in sets], pa.int64()),
                     pa.array([parities(h) if len(h) else None for h in sets], pa.list_(pa.int64())),
+                    pa.array([wide_parities(h) for h in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "node", "parity"],
+                ["doc_id", "n_shingles", "node", "parity", "wide"],
             )
 
-    schema = "doc_id bigint, n_shingles bigint, node bigint, parity array<bigint>"
+    schema = "doc_id bigint, n_shingles bigint, node bigint, parity array<bigint>, wide array<bigint>"
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), rows, schema)
 
 
@@ -194,8 +214,8 @@ def with_texts(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFra
     return own.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "doc_id")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of distinct pairs that are similar: filtered by size and parities, then by the sets."""
+def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The (a, b, doc_a, doc_b) of distinct pairs that may be similar by their sizes and parities."""
     side = lambda c: nodes.select(
         F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"), F.col("one").alias(f"doc_{c}")
     )
@@ -203,8 +223,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int)
     apart = sum((F.bit_count(F.col("p_a")[k].bitwiseXOR(F.col("p_b")[k])) for k in range(PARITY_WORDS)), F.lit(0))
     total = F.col("n_a") + F.col("n_b")
     close = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    close = close.where(apart * (100 + percent) <= total * (100 - percent)).select("a", "b", "doc_a", "doc_b")
-    close = stored(close, "pairs")
+    close = close.where(apart * (100 + percent) <= total * (100 - percent)).drop("p_a", "p_b")
+    large = lambda c: nodes.where("wide is not null").select(F.col("node").alias(c), F.col("wide").alias(f"w_{c}"))
+    close = close.join(large("a"), "a", "left").join(large("b"), "b", "left")
+    apart = F.coalesce(wide_apart(F.col("w_a"), F.col("w_b")), F.lit(0))
+    return close.where(apart * (100 + percent) <= total * (100 - percent)).select("a", "b", "doc_a", "doc_b")
+
+
+def verified(close: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of stored pairs (a, b, doc_a, doc_b) that are similar, by their sets."""
     wanted = close.select(F.col("a").alias("node"), F.col("doc_a").alias("doc_id"))
     wanted = wanted.unionByName(close.select(F.col("b").alias("node"), F.col("doc_b").alias("doc_id"))).distinct()
 
@@ -231,16 +258,25 @@ class _Groups:
 
     def __init__(self, nodes: DataFrame, docs: DataFrame, percent: int) -> None:
         self.nodes, self.docs, self.percent = nodes, docs, percent
-        self.links: DataFrame | None = None
+        self.met: DataFrame | None = None  # all have a < b
         self.components: DataFrame | None = None
 
     def meet(self, pairs: DataFrame) -> None:
-        """Verifies pairs and merges what they link."""
-        found = verified(pairs, self.nodes, self.docs, self.percent)
-        if self.links is not None:
+        """Verifies the pairs that have not met before and merges what they link."""
+        close = near(pairs, self.nodes, self.percent)
+        if self.met is not None:
+            close = close.join(self.met, ["a", "b"], "left_anti")
+        close = stored(close, "pairs")
+        if self.met is not None and close.isEmpty():
+            return
+        met = close.select("a", "b")
+        self.met = met if self.met is None else self.met.unionByName(met)
+        found = stored(verified(close, self.docs, self.percent), "links")
+        if self.components is not None:
+            if found.isEmpty():
+                return
             found = found.unionByName(self.components.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        self.links = found
-        self.components = connected_components(found)
+        self.components = stored(connected_components(found), "components")
 
     def unsettled(self, rows: DataFrame) -> DataFrame:
         """(sig, node, component, n) of the buckets that hold several components; n: their nodes."""
@@ -301,7 +337,7 @@ def components(docs: DataFrame, percent: int = PERCENT, small: int = SMALL) -> D
     sets = stored(with_sets(docs), "shingle-sets")
     nodes = sets.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     nodes = nodes.groupBy("node").agg(
-        F.min("doc_id").alias("one"), F.max("n_shingles").alias("n_shingles"), F.first("parity").alias("parity")
+        F.min("doc_id").alias("one"), F.max("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"), F.first("wide").alias("wide")
     )
     nodes = stored(nodes, "nodes")
     groups = _Groups(nodes, docs, percent)
@@ -336,7 +372,7 @@ def components(docs: DataFrame, percent: int = PERCENT, small: int = SMALL) -> D
         lowest.select(F.hash("component").alias("h"), "component", "component_id"), ["h", "component"]
     )
     return (
-        sets.drop("parity")
+        sets.drop("parity", "wide")
         .join(ids.select("node", "component_id"), "node", "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     )
