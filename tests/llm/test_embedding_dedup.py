@@ -66,3 +66,36 @@ def test_odd_vectors(spark):
     data += [(13, v, 1), (13, v, 1), (None, v, 2), (None, [5.0, 0.0, 0.0], 3), (14, [1e30, 2e30, 3e30], 1)]
     check(spark, [(*r, "own") for r in data])
     assert ed.near_duplicates(spark.createDataFrame([], SCHEMA), passes=2).collect() == []
+
+
+def test_large_clustered_label(spark):
+    """Vectors that share a direction: sign bits are equal for most, and a window covers little of the label."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=64) * 5 + rng.normal(size=(4000, 64))
+    twins = base[:300] + rng.normal(size=(300, 64)) * 0.8
+    x = np.concatenate([base, twins]).astype(np.float32).astype(float)
+    data = [(k + 1, [float(a) for a in v], 1, "own") for k, v in enumerate(x)]
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    near = x @ x.T >= ed.COSINE
+    np.fill_diagonal(near, False)
+    low = np.arange(len(x))
+    before = None
+    while before is None or (low != before).any():
+        before, low = low, np.minimum(low, np.where(near, low, len(x)).min(1))
+    want = [(k + 1, int(n), int(c) + 1) for k, (n, c) in enumerate(zip(near.sum(1), low))]
+    assert near.sum() > 400
+    out = ed.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == want
+
+
+def test_meetings_of_small_parts(spark):
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(80, 16)) * np.linspace(3, 0.2, 16)
+    data = [(k + 1, [float(x) for x in v], k % 2, "own") for k, v in enumerate(base)]
+    want = plain(data)
+    nodes = spark.createDataFrame([(i, label, 16, v, 1) for i, v, label, _ in data], "node long, label long, d int, v array<double>, copies long")
+    for part in (7, 1000):
+        met = ed.all_links(nodes, ed.COSINE, part)
+        counts = {r.node: r.more for r in met.groupBy("node").sum("more").withColumnRenamed("sum(more)", "more").collect()}
+        found = {r.node: r.component for r in ed.connected_components(met.selectExpr("node as a", "low as b")).collect()}
+        assert [(i, counts.get(i, 0), found.get(i, i)) for i, _, _ in want] == want

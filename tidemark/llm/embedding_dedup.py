@@ -1,17 +1,19 @@
-"""Near-duplicate vectors by sorted passes over random projections.
-
-Equal vectors of a label are one node with a count. In each pass a node gets a key of random sign bits; nodes are put
-in the lexicographic order of label and key, and each is compared with the next `window` nodes of its label by exact
-cosine. Pairs at or above the threshold are links; the links of all passes are merged into components. A crowd of near
-copies is longer than a window, but its neighbours in the order chain it together. Then the exact number of links
-of every vector is counted inside its component, in blocks of at most BLOCK nodes met two at a time, so that no
-component, however large, is gathered in one task, and no window caps a count.
-
-The order is made by range partitions and their sizes: a block of the order and the nodes after it go to one task, so
-neither a label nor a key that holds a third of all rows is gathered in one place. Vectors that are null, zero, of a
-null label, or hold a null or a non-finite component link with nothing and are kept as their own component. A null
-vec_id is compared like others; a component's id is its smallest vec_id that is not null, or null. Rows that repeat
-a vec_id are separate vectors.
+"""Near-duplicate vectors: all pairs of a label, in blocks.
+
+Equal vectors of a label are one node with a count. The nodes of a label and dimension are dealt into parts of about
+PART nodes, and each part meets itself and every other part once, by exact cosine. So no pair is missed, whatever the
+shape of a label, and no label, however large, is gathered in one task. A meeting gives the links of each of its nodes
+as a number, and the node with the smallest one it reaches there, so that a crowd of near copies is never written out
+as pairs. The work grows with the square of a label's nodes.
+
+With `passes` the links are searched in sorted passes over random projections instead, whose work grows with the
+nodes, but which miss pairs: most of them in a large label whose vectors share a direction. In each pass a node gets a
+key of random sign bits; nodes are put in the lexicographic order of label and key, and each is compared with the next
+`window` nodes of its label. Links are then counted inside the components found, in blocks of at most BLOCK nodes.
+
+Vectors that are null, zero, of a null label, or hold a null or a non-finite component link with nothing and are kept
+as their own component. A null vec_id is compared like others; a component's id is its smallest vec_id that is not
+null, or null. Rows that repeat a vec_id are separate vectors.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ from tidemark.llm.common import connected_components, read, stored
 from tidemark.llm.registry import register
 
 COSINE = 0.98
-PASSES = 12
+#: Nodes of a label that meet as many others at a time.
+PART = 2048
 BITS = 60
 WINDOW = 40
-#: Nodes of the order in a task, and of a component that meet at a time.
+#: In passes: nodes of the order in a task, and of a component that meet at a time.
 BLOCK = 512
 SEED = 11
 
@@ -112,21 +115,27 @@ def links(nodes: DataFrame, cosine: float, passes: int, window: int) -> DataFram
     return found.distinct()
 
 
+def _near(left: pd.DataFrame, right: pd.DataFrame, same: bool, cosine: float) -> np.ndarray:
+    """Which rows of the left are linked with which of the right; same: both are the same rows."""
+    a, b = unit(left["v"]), unit(right["v"])
+    near = a @ b.T
+    # the product is only a filter: pairs near the threshold are computed like all others
+    edge = np.argwhere(np.abs(near - cosine) < 1e-9)
+    if len(edge):
+        near[edge[:, 0], edge[:, 1]] = (a[edge[:, 0]] * b[edge[:, 1]]).sum(1)
+    near = near >= cosine
+    if same:
+        np.fill_diagonal(near, False)
+    return near
+
+
 def _blocks(cosine: float):
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         one, two = pdf["i"].iloc[0], pdf["j"].iloc[0]
         left, right = pdf[pdf["part"] == one], pdf[pdf["part"] == two]
         if len(left) and len(right):
-            near = unit(left["v"]) @ unit(right["v"]).T
-            # the product is only a filter: pairs near the threshold are computed like all others
-            edge = np.argwhere(np.abs(near - cosine) < 1e-9)
-            if len(edge):
-                a, b = unit(left["v"]), unit(right["v"])
-                near[edge[:, 0], edge[:, 1]] = (a[edge[:, 0]] * b[edge[:, 1]]).sum(1)
-            near = near >= cosine
-            if one == two:
-                np.fill_diagonal(near, False)
+            near = _near(left, right, one == two, cosine)
             out.append(pd.DataFrame({"node": left["node"], "more": near @ right["copies"].to_numpy()}))
             if one != two:
                 out.append(pd.DataFrame({"node": right["node"], "more": near.T @ left["copies"].to_numpy()}))
@@ -149,10 +158,63 @@ def link_counts(members: DataFrame, cosine: float) -> DataFrame:
     return some.groupBy("node").agg(F.sum("more").alias("more"))
 
 
+def _lowest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes and the smallest node that each reaches over the links between left and right."""
+    nodes = np.unique(np.concatenate([left, right]))
+    a, b = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
+    low = np.arange(len(nodes))
+    while True:
+        new = low.copy()
+        new[a] = np.minimum(new[a], np.where(near, low[b], len(nodes)).min(1))
+        new[b] = np.minimum(new[b], np.where(near, low[a][:, None], len(nodes)).min(0))
+        new = new[new]
+        if (new == low).all():
+            return nodes, nodes[low]
+        low = new
+
+
+def _meetings(cosine: float):
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"node": [], "more": [], "low": []}, dtype=np.int64)
+        one, two = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = pdf[pdf["part"] == one], pdf[pdf["part"] == two]
+        if not (len(left) and len(right)):
+            return none
+        near = _near(left, right, one == two, cosine)
+        rows, columns = near.any(1), near.any(0)
+        if not rows.any():
+            return none
+        near, left, right = near[rows][:, columns], left[rows], right[columns]
+        nodes, low = _lowest(near, left["node"].to_numpy(), right["node"].to_numpy())
+        more = np.zeros(len(nodes), np.int64)
+        more[np.searchsorted(nodes, left["node"])] += near @ right["copies"].to_numpy()
+        if one != two:
+            more[np.searchsorted(nodes, right["node"])] += near.T @ left["copies"].to_numpy()
+        return pd.DataFrame({"node": nodes, "more": more, "low": low})
+
+    return meet
+
+
+def all_links(nodes: DataFrame, cosine: float, part: int = PART) -> DataFrame:
+    """(node, more, low) of each meeting of two parts: a node's linked vectors there, and the smallest node it reaches.
+
+    nodes: (node, label, d, v, copies).
+    """
+    sizes = nodes.groupBy("label", "d").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    dealt = nodes.join(sizes, ["label", "d"])
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # each part meets itself and every other part once
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    met = met.select("label", "d", "i", "j", "part", "node", "copies", "v")
+    met = met.groupBy("label", "d", "i", "j").applyInPandas(_meetings(cosine), "node bigint, more bigint, low bigint")
+    return stored(met, "links")
+
+
 def near_duplicates(
-    embeddings: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW
+    embeddings: DataFrame, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
+    """(vec_id, n_links, component_id, kept) of every row; approximate where a number of passes is given."""
     rows = embeddings.select(
         F.col("vec_id").cast("long"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v")
     )
@@ -160,8 +222,13 @@ def near_duplicates(
     good = usable(rows)
     nodes = good.groupBy("label", "v").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min("vec_id").alias("one"))
     nodes = stored(nodes.withColumn("d", F.size("v")), "vector-nodes")
-    found = connected_components(links(nodes.select("node", "label", "d", "v"), cosine, passes, window))
-    more = link_counts(nodes.join(found, "node").select("node", "component", "copies", "v"), cosine)
+    if passes is None:
+        met = all_links(nodes.select("node", "label", "d", "v", "copies"), cosine)
+        found = connected_components(met.select(F.col("node").alias("a"), F.col("low").alias("b")))
+        more = met.groupBy("node").agg(F.sum("more").alias("more"))
+    else:
+        found = connected_components(links(nodes.select("node", "label", "d", "v"), cosine, passes, window))
+        more = link_counts(nodes.join(found, "node").select("node", "component", "copies", "v"), cosine)
     whole = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = whole.groupBy("component").agg(F.min("one").alias("component_id"))
     whole = whole.join(lowest, "component").join(more, "node", "left")
