@@ -138,3 +138,22 @@ def test_every_table_is_exported(spark, tables, tmp_path):
     # all the others can be computed
     for name in set(tables) - set(small):
         assert tables[name].columns
+
+
+def test_cohorts_hold_the_signups_of_each_install(spark):
+    day = dt.date(2022, 5, 3)
+    noon = dt.datetime(2022, 5, 3, 12)
+    raw = {name: rows[:0] for name, rows in raw_rows().items()}
+    raw["users"] = [(1, day, "both"), (2, day, None), (3, day, None), (4, day, "two")]
+    raw["organic_install"] = [(noon, "both"), (noon, None)]
+    raw["non_organic_install"] = [(noon, "both", "c1"), (noon, None, "c1"), (noon, "two", "c1"), (noon, "two", "c2")]
+    raw["orders"] = [(noon, "shop a", Decimal("10.00"), u) for u in (1, 2, 4)]
+    raw["daily_cost"] = [(day, c, Decimal("5.00")) for c in ("c1", "c2")]
+    tables = metric_tables(spark, {name: spark.createDataFrame(rows, SCHEMAS[name]) for name, rows in raw.items()}, SETTINGS)
+    signups = {r.attribute_type: r.user_cnt for r in tables["signups_monthly"].collect()}
+    ltv = {r.attribute_type: (r.user_cnt, float(r.revenue)) for r in tables["cohort_ltv"].filter("ltv_period = 0").collect()}
+    assert ltv == {"organic": (3, 20.0), "non_organic": (4, 30.0), "all": (4, 30.0)}
+    assert signups == {k: n for k, (n, _) in ltv.items() if k != "all"}
+    roas = tables["roas_by_campaign"].filter("ltv_period = 0").collect()
+    # signups with a null id have no campaign
+    assert {(r.campaign, r.user_cnt, float(r.revenue)) for r in roas} == {("c1", 2, 20.0), ("c2", 1, 10.0)}

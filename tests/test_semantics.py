@@ -336,6 +336,18 @@ def test_ltv_of_tables_with_other_column_names(spark):
     assert [(r.kind, r.create_year_month, r.revenue, r.ltv) for r in got] == [("x", "2024-01", 7.5, 7.5)]
 
 
+def test_user_with_two_kinds_of_install_is_in_both_cohorts(spark):
+    users = spark.createDataFrame(
+        [(1, D(2024, 1, 10), "organic"), (1, D(2024, 1, 10), "non_organic"), (1, D(2024, 1, 10), "non_organic"), (2, D(2024, 1, 5), "organic")],
+        "user_id long, create_date date, attribute_type string",
+    )
+    orders = spark.createDataFrame([(1, at(12), Decimal("10")), (2, at(12), Decimal("4"))], ORDER)
+    got = value.cohort_ltv(users, orders, max_period=None, obs_end=D(2024, 1, 31)).collect()
+    assert {(r.attribute_type, r.user_cnt, float(r.revenue)) for r in got} == {
+        ("organic", 2, 14.0), ("non_organic", 1, 10.0), ("all", 2, 14.0)
+    }
+
+
 def test_roas_divides_by_cost_of_the_signup_month(spark):
     users = spark.createDataFrame(
         [(1, D(2024, 1, 1), "c1"), (2, D(2024, 2, 1), "c1"), (3, D(2024, 1, 1), "c2")],

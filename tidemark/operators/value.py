@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.predicates import cohort_complete
 from tidemark.functions.ratios import money_ratio
 from tidemark.functions.timekeys import day_of, month_key, month_start, months_elapsed
-from tidemark.operators.joins import one_row_per_user
 
 ALL = "all"
 
@@ -27,14 +26,23 @@ def user_daily_spend(orders: DataFrame, user: str, date: str, amount: str) -> Da
     )
 
 
-def _with_all(df: DataFrame, by: str, keys: list[str], measure: str) -> DataFrame:
-    """Sums of ``measure`` per ``by`` and ``keys``, and over all of ``by`` under the label ``all``.
+def cohort_members(users: DataFrame, by: str, with_all: bool, user: str = "user_id") -> DataFrame:
+    """A row per user and value of ``by`` with the first signup day, and with ``with_all`` one per user under ``all``.
 
-    Users are unique here, so both measures (people and spend) add up.
+    A user with installs of two kinds is in the cohorts of both and once in
+    ``all``, as in the signup counts.  A null ``by`` counts in ``all`` only.
     """
-    label = F.when(F.grouping(by) == 1, ALL).otherwise(F.col(by)).alias("_label")
-    sets = df.groupingSets([[by, *keys], keys], by, *keys).agg(label, F.sum(measure).alias(measure))
-    return sets.filter(F.col("_label").isNotNull()).select(F.col("_label").alias(by), *keys, measure)
+    known = users.filter(F.col(user).isNotNull()).select(
+        F.col(user).alias("user_id"), day_of("create_date").alias("create_date"), by
+    )
+    first = F.min("create_date").alias("create_date")
+    if with_all:
+        label = F.when(F.grouping(by) == 1, ALL).otherwise(F.col(by)).alias("_label")
+        members = known.groupingSets([["user_id", by], ["user_id"]], "user_id", by).agg(label, first)
+        members = members.select("user_id", "create_date", F.col("_label").alias(by))
+    else:
+        members = known.groupBy("user_id", by).agg(first)
+    return members.filter(F.col(by).isNotNull())
 
 
 def cohort_revenue(
@@ -51,16 +59,13 @@ def cohort_revenue(
     """Size and cumulative revenue of each signup cohort by months since signup.
 
     A cohort is a value of ``by`` and a signup ``month``, which is a DATE here.
+    Its members are those of :func:`cohort_members`, so that cohorts of
+    different values may share users and revenue.
     The size counts all members, buyers or not.  Periods run from 0 to the last
     one that had begun by ``obs_end``, or to ``max_period`` where one is given;
     one without orders repeats the last sum.
     """
-    members = one_row_per_user(users, "create_date", by, user=user).select(
-        F.col(user).alias("user_id"),
-        day_of("create_date").alias("create_date"),
-        by,
-        month_start("create_date").alias("month"),
-    )
+    members = cohort_members(users, by, with_all, user).withColumn("month", month_start("create_date"))
     members = members.filter(F.col("month") <= F.lit(obs_end))
     spend = user_daily_spend(orders, user, date, amount).filter(F.col("order_day") <= F.lit(obs_end))
     # Orders before the signup are not the cohort's; equal days are.
@@ -73,11 +78,6 @@ def cohort_revenue(
         last_period = F.least(F.lit(max_period), last_period)
     revenue = revenue.groupBy(by, "month", "ltv_period").agg(F.sum("paid").alias("paid"))
     sizes = members.groupBy(by, "month").agg(F.count("*").alias("user_cnt"))
-    if with_all:
-        revenue = _with_all(revenue, by, ["month", "ltv_period"], "paid")
-        sizes = _with_all(sizes, by, ["month"], "user_cnt")
-    else:
-        sizes = sizes.filter(F.col(by).isNotNull())
 
     periods = sizes.withColumn("ltv_period", F.explode(F.sequence(F.lit(0), last_period)))
     so_far = Window.partitionBy(by, "month").orderBy("ltv_period").rowsBetween(Window.unboundedPreceding, 0)

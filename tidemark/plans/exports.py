@@ -60,7 +60,9 @@ def metric_tables(spark: SparkSession, raw: Mapping[str, DataFrame], settings: S
     monthly = user_months.select("user_id", F.col("month").alias("login_date"))
     day_totals = _written(spark, retention.user_day_totals(user_months, users), "user_day_totals")
     by_type = by_user(attribution.attributed_signups(users, *installs).distinct(), "signups_by_type")
-    by_campaign = attribution.attributed_signups(users, *installs, attribute="campaign")
+    # a null id names no install, so it leads to no campaign
+    with_id = users.filter(F.col("attribute_id").isNotNull())
+    by_campaign = attribution.attributed_signups(with_id, *installs, attribute="campaign")
     revenue = _written(
         spark, value.cohort_revenue(by_type, orders, settings.max_period, settings.obs_end), "cohort_revenue"
     )
