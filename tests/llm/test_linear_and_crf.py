@@ -92,3 +92,15 @@ def test_odd_rows(spark, apply, label):
     assert empty == []
     unlabelled = apply(docs, labels.limit(0)).collect()
     assert len(unlabelled) == len(rows) and all(0 <= r.score <= 1 for r in unlabelled)
+
+
+def test_quality_means_the_same_under_caps(spark, monkeypatch):
+    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+    texts = [r.text or "" for r in docs.select("text").collect()] + [""]
+    whole = quality.train(docs, labels)
+    monkeypatch.setattr(quality, "MOST_GOOD", 30)
+    monkeypatch.setattr(quality, "MOST_BAD", 30)
+    capped = quality.train(docs, labels)
+    a, b = quality.scores(whole, texts), quality.scores(capped, texts)
+    assert capped.prior == whole.prior and b[-1] == a[-1]
+    assert abs(b.mean() - a.mean()) < 0.05

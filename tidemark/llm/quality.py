@@ -8,8 +8,9 @@ lengths of the lines, and turned into a chance by a logistic curve fitted on the
 
 Labels are learned from rows whose crc32 of the doc_id as text leaves a remainder mod 3 other than 1, on at most
 MOST_GOOD and MOST_BAD documents of each class of at most MOST_LINES lines, taken in the order of a hash of the
-doc_id. Scoring takes all lines of all rows, which never leave their partition. A null or empty text, or one of blank lines, has no
-lines; its score is the share of good documents among those fitted on. Rows without a label are scored only; held_out is
+doc_id. The classes are weighed back to their counts among all the rows to learn from, so that a score means the same at
+every size of the table. Scoring takes all lines of all rows, which never leave their partition. A null or empty text, or
+one of blank lines, has no lines; its score is the share of good documents among those rows. Rows without a label are scored only; held_out is
 null where the doc_id is.
 """
 
@@ -111,10 +112,13 @@ def with_neighbours(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def marginals(emission: np.ndarray, chain: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(
+    emission: np.ndarray, chain: np.ndarray, counts: np.ndarray, weight: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(chance of good for each line, expected transitions summed, log of the sum over all labellings by text).
 
-    emission: the score of good of each line (bad has 0); chain[a, b]: the score of b after a. Texts are walked side by
+    emission: the score of good of each line (bad has 0); chain[a, b]: the score of b after a; weight: of each line in
+    the sum of transitions. Texts are walked side by
     side, longest first, one line of each at a time.
     """
     total = int(counts.sum())
@@ -144,7 +148,8 @@ def marginals(emission: np.ndarray, chain: np.ndarray, counts: np.ndarray) -> tu
     inner[begin] = False
     at = np.flatnonzero(inner)
     both = forward[at - 1][:, :, None] + chain[None] + (scores[at] + backward[at])[:, None, :] - logz[of[at]][:, None, None]
-    moves = np.exp(both).sum(0)
+    share = np.ones(total) if weight is None else weight
+    moves = (np.exp(both) * share[at][:, None, None]).sum(0)
     return chance, moves, logz
 
 
@@ -159,9 +164,14 @@ class Model:
     prior: float
 
 
-def fit(texts: list[bytes], y: np.ndarray) -> Model:
-    """The model of labelled texts; without one of the classes, every score is near that class's share."""
-    prior = float((y.sum() + 1) / (len(y) + 2))
+def fit(texts: list[bytes], y: np.ndarray, totals: dict[int, int] | None = None) -> Model:
+    """The model of labelled texts; without one of the classes, every score is near that class's share.
+
+    totals: documents of each class that the texts stand for, the texts themselves unless given.
+    """
+    own = {c: int((y == c).sum()) for c in (0, 1)}
+    totals = own if totals is None else totals
+    prior = float((totals[1] + 1) / (totals[0] + totals[1] + 2))
     x, length, counts = line_numbers(texts)
     x = with_neighbours(x, counts)
     if not len(x) or len(set(y.tolist())) < 2:
@@ -174,14 +184,18 @@ def fit(texts: list[bytes], y: np.ndarray) -> Model:
     label = np.repeat(y, counts).astype(float)
     doc = np.repeat(np.arange(len(counts)), counts)
     same = doc[1:] == doc[:-1]
+    # each class weighs as in all the documents it stands for
+    weight = np.where(y == 1, totals[1] / own[1], totals[0] / own[0])
+    weight = weight / weight.mean()
+    of_line = np.repeat(weight, counts)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (label[:-1][same].astype(int), label[1:][same].astype(int)), 1)
+    np.add.at(seen, (label[:-1][same].astype(int), label[1:][same].astype(int)), of_line[1:][same])
     w, chain = np.zeros(x.shape[1]), np.zeros((2, 2))
     m, s = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
-    n = len(label)
+    n = of_line.sum()
     for k in range(1, STEPS + 1):
-        chance, moves, _ = marginals(x @ w, chain, counts)
-        gradient = np.concatenate([x.T @ (chance - label) / n + L2 * w, ((moves - seen) / n + L2_CHAIN * chain).ravel()])
+        chance, moves, _ = marginals(x @ w, chain, counts, of_line)
+        gradient = np.concatenate([x.T @ ((chance - label) * of_line) / n + L2 * w, ((moves - seen) / n + L2_CHAIN * chain).ravel()])
         m, s = 0.9 * m + 0.1 * gradient, 0.999 * s + 0.001 * gradient**2
         move = 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.999**k)) + 1e-8)
         w, chain = w - move[:-4], chain - move[-4:].reshape(2, 2)
@@ -189,7 +203,8 @@ def fit(texts: list[bytes], y: np.ndarray) -> Model:
     some = counts > 0
     evidence = _evidence(model, x, length, counts)[some]
     rows = np.arange(len(evidence))
-    slope, shift = fit_logistic(rows, np.zeros_like(rows), evidence, y[some].astype(float), 1, 1e-6, 2000)
+    even = weight[some] / weight[some].mean()
+    slope, shift = fit_logistic(rows, np.zeros_like(rows), evidence, y[some].astype(float), 1, 1e-6, 2000, even)
     model.slope, model.shift = float(slope[0]), shift
     return model
 
@@ -223,7 +238,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     few_lines = docs.where(F.size(F.split(F.coalesce("text", F.lit("")), "\n")) <= MOST_LINES)
     keep = ~held_out(F.col("doc_id"), 3, 1)
     sample = labelled_sample(few_lines, labels, "quality", keep, {1: MOST_GOOD, 0: MOST_BAD})
-    return fit([t.encode("utf-8", "surrogatepass") for t, _ in sample], np.array([y for _, y in sample], int))
+    learnable = labels.where(keep).select("doc_id", F.col("quality").cast("int").alias("y")).where("y in (0, 1)").distinct()
+    # of all rows to learn from, however long, so that neither the caps nor the lines move the classes
+    found = docs.select("doc_id").join(learnable, "doc_id").groupBy("y").count().collect()
+    totals = {0: 0, 1: 0} | {r["y"]: r["count"] for r in found}
+    return fit([t.encode("utf-8", "surrogatepass") for t, _ in sample], np.array([y for _, y in sample], int), totals)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
