@@ -31,21 +31,28 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return found.withColumn("n_chars", changed).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with `row`, a 64-bit hash of doc_id and text: rows without an id, or that share one, are told apart."""
+    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; one row of it if it is repeated."""
-    found = jaccard_join.components(docs)
-    gone = found.where("component_id is not null and doc_id != component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    # rows without an id are no one's representative; of repeated rows of an id one stays
-    with_id = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return with_id.unionByName(kept.where("doc_id is null"))
+    """The row with the smallest doc_id of each group of near duplicates, a null id after all others; repeated rows once."""
+    rows = keyed(docs)
+    found = jaccard_join.components(rows.select(F.col("row").alias("doc_id"), "text"))
+    found = stored(found.where("component_id is not null").select(F.col("doc_id").alias("row"), "component_id").distinct(), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    first = rows.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(F.min(order).alias("first"))
+    gone = found.select("row").join(first.select("first.row"), "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule does not name."""
-    found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(bad, "doc_id", "left_anti")
+    rows = keyed(docs)
+    found = decontaminate.contamination(rows.select(F.col("row").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(bad, "row", "left_anti").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
