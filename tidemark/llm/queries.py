@@ -1,6 +1,7 @@
 """All queries of this subpackage: importing the operators fills the registry."""
 
 from tidemark.llm import (  # noqa: F401
+    conversation_repair,
     decontaminate,
     embedding_dedup,
     jaccard_join,
