@@ -39,11 +39,10 @@ def in_months(date: ColumnOrName, first: str | None = None, last: str | None = N
     return keep
 
 
-def cohort_complete(cohort_month: ColumnOrName, observed_to: dt.date, horizon: int) -> Column:
+def cohort_complete(cohort_month: ColumnOrName, observed_to: dt.date | Column, horizon: int) -> Column:
     """Has the cohort of a month (any date in it) been tracked for ``horizon`` months by ``observed_to``?"""
-    last = observed_to.year * 12 + observed_to.month - 1 - horizon
-    following = dt.date((last + 1) // 12, (last + 1) % 12 + 1, 1)
-    return as_col(cohort_month) < F.lit(following)
+    following = F.add_months(F.trunc(F.lit(observed_to), "month"), 1 - horizon)
+    return as_col(cohort_month) < following
 
 
 def reaches(rate: ColumnOrName, threshold: float) -> Column:

@@ -60,3 +60,9 @@ def months_elapsed(start: ColumnOrName, end: ColumnOrName) -> Column:
 
 def add_days(c: ColumnOrName, n: int) -> Column:
     return F.date_add(as_col(c), n)
+
+
+def end_of_last_full_month(last_day: ColumnOrName) -> Column:
+    """The last day of the last month that ended by ``last_day``: that day itself if it ends its month."""
+    day = day_of(last_day)
+    return F.when(F.last_day(day) == day, day).otherwise(F.date_sub(F.trunc(day, "month"), 1))

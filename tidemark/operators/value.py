@@ -9,9 +9,20 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import cohort_complete
 from tidemark.functions.ratios import money_ratio
-from tidemark.functions.timekeys import day_of, month_key, month_start, months_elapsed
+from tidemark.functions.timekeys import day_of, end_of_last_full_month, month_key, month_start, months_elapsed
+from tidemark.operators.attribution import attributed_signups
 
 ALL = "all"
+#: A written day, or a column without rows of its own such as :func:`observed_to` gives.
+Day = dt.date | Column
+
+
+def observed_to(orders: DataFrame, date: str = "order_date") -> Column:
+    """The end of the last full month of orders, as a scalar subquery: Spark finds it while the plan runs.
+
+    Where there are no dated orders it is null, and then no cohort was observed.
+    """
+    return orders.agg(end_of_last_full_month(F.max(day_of(date))).alias("observed_to")).scalar()
 
 
 def user_daily_spend(orders: DataFrame, user: str, date: str, amount: str) -> DataFrame:
@@ -49,7 +60,7 @@ def cohort_revenue(
     users: DataFrame,
     orders: DataFrame,
     max_period: int | None,
-    obs_end: dt.date,
+    obs_end: Day,
     by: str = "attribute_type",
     with_all: bool = True,
     user: str = "user_id",
@@ -79,7 +90,8 @@ def cohort_revenue(
     revenue = revenue.groupBy(by, "month", "ltv_period").agg(F.sum("paid").alias("paid"))
     sizes = members.groupBy(by, "month").agg(F.count("*").alias("user_cnt"))
 
-    periods = sizes.withColumn("ltv_period", F.explode(F.sequence(F.lit(0), last_period)))
+    observed = sizes.withColumn("_last", last_period).filter(F.col("_last") >= 0)
+    periods = observed.withColumn("ltv_period", F.explode(F.sequence(F.lit(0), F.col("_last")))).drop("_last")
     so_far = Window.partitionBy(by, "month").orderBy("ltv_period").rowsBetween(Window.unboundedPreceding, 0)
     filled = periods.join(revenue, [by, "month", "ltv_period"], "left")
     running = F.sum(F.coalesce("paid", F.lit(0))).over(so_far)
@@ -95,7 +107,7 @@ def cohort_ltv(
     users: DataFrame,
     orders: DataFrame,
     max_period: int | None,
-    obs_end: dt.date,
+    obs_end: Day,
     by: str = "attribute_type",
     with_all: bool = True,
     **columns: str,
@@ -124,7 +136,7 @@ def cost_by_month(cost: DataFrame, *keys: str) -> DataFrame:
     return dated.groupBy(*keys, month_start("aggregate_date").alias("month")).agg(F.sum("cost").alias("cost"))
 
 
-def with_roas(revenue: DataFrame, cost: DataFrame, keys: list[str], obs_end: dt.date, horizon: int = 1) -> DataFrame:
+def with_roas(revenue: DataFrame, cost: DataFrame, keys: list[str], obs_end: Day, horizon: int = 1) -> DataFrame:
     """LTV and ROAS of the cohorts tracked for at least ``horizon`` months, from :func:`cohort_revenue`.
 
     ROAS is cumulative revenue over the cost of the signup month; with
@@ -143,7 +155,7 @@ def roas_by_attribute(
     orders: DataFrame,
     cost: DataFrame,
     max_period: int | None,
-    obs_end: dt.date,
+    obs_end: Day,
     horizon: int = 1,
 ) -> DataFrame:
     """ROAS per attribute type and signup month: cumulative revenue over the month's cost.
@@ -160,9 +172,54 @@ def roas_by_campaign(
     orders: DataFrame,
     cost: DataFrame,
     max_period: int | None,
-    obs_end: dt.date,
+    obs_end: Day,
     horizon: int = 1,
 ) -> DataFrame:
     """ROAS per campaign and signup month, against the campaign's own cost in that month."""
     revenue = cohort_revenue(users, orders, max_period, obs_end, by="campaign", with_all=False)
     return with_roas(revenue, cost, ["campaign", "month"], obs_end, horizon)
+
+
+def install_cohorts(
+    users: DataFrame, organic: DataFrame, non_organic: DataFrame, attribute: str = "attribute_type"
+) -> DataFrame:
+    """(user_id, create_date, attribute) of the signups that an install was found for, a row per value.
+
+    A user with installs of two types or campaigns that day has a row for each.
+    A null id stands for no one install, so it leads to no campaign; it keeps its type.
+    """
+    if attribute == "campaign":
+        users = users.filter(F.col("attribute_id").isNotNull())
+    matched = attributed_signups(users, organic, non_organic, attribute)
+    return matched.filter(F.col(attribute).isNotNull()).distinct()
+
+
+def cohort_ltv_by_install(
+    users: DataFrame,
+    organic: DataFrame,
+    non_organic: DataFrame,
+    orders: DataFrame,
+    max_period: int | None = None,
+    obs_end: Day | None = None,
+) -> DataFrame:
+    """:func:`cohort_ltv` of the signups by the type of their installs, and of all that have one under ``all``.
+
+    The sizes are those of ``signup_counts(..., grain="month", with_all=True)``.
+    """
+    members = install_cohorts(users, organic, non_organic)
+    return cohort_ltv(members, orders, max_period, observed_to(orders) if obs_end is None else obs_end)
+
+
+def roas_by_install_campaign(
+    users: DataFrame,
+    organic: DataFrame,
+    non_organic: DataFrame,
+    orders: DataFrame,
+    cost: DataFrame,
+    max_period: int | None = None,
+    obs_end: Day | None = None,
+    horizon: int = 1,
+) -> DataFrame:
+    """:func:`roas_by_campaign` of the signups by the campaigns of their installs."""
+    members = install_cohorts(users, organic, non_organic, "campaign")
+    return roas_by_campaign(members, orders, cost, max_period, observed_to(orders) if obs_end is None else obs_end, horizon)

@@ -27,6 +27,8 @@ from tidemark.plans.sql_parts import (
     EVENT_LOGINS,
     EVENT_USERS,
     INSTALLS,
+    OBS_END,
+    OBSERVED,
     ORDER_LOGINS,
     ORDER_USERS,
     SALES,
@@ -158,24 +160,31 @@ def signups_daily_with_unattributed(spark: SparkSession, sf_dir: str) -> DataFra
 # --- lifetime value and return on ad spend ----------------------------------
 
 
-def _ltv_ctes(by: str, with_all: bool) -> str:
-    """Sizes, cumulative revenue and periods of the cohorts, summed straight from the orders."""
+SPEND = "spend AS (SELECT o_custkey AS user_id, o_orderdate AS order_date, CAST(o_totalprice AS DECIMAL(18,2)) AS amount FROM orders)"
+LATER_SPEND = SPEND.replace("o_orderdate AS", f"o_orderdate + INTERVAL {inputs.LATER_YEARS} YEAR AS")
+
+
+def _ltv_ctes(by: str, with_all: bool, users: str = SEGMENT_USERS, spend: str = SPEND) -> str:
+    """Sizes, cumulative revenue and periods of the cohorts, summed straight from the orders.
+
+    ``users`` may hold a user several times, with different values of ``by``.
+    """
     groups = f"SELECT user_id, create_date, {by} AS grp FROM users"
     if with_all:
-        groups += " UNION ALL SELECT user_id, create_date, 'all' FROM users"
-    return f"""{SEGMENT_USERS},
+        groups += " UNION SELECT user_id, create_date, 'all' FROM users"
+    return f"""{users}, {spend}, {OBSERVED},
 members AS (SELECT *, date_trunc('month', create_date) AS m
-            FROM ({groups}) WHERE date_trunc('month', create_date) <= DATE '{inputs.OBS_END}'),
+            FROM ({groups}) WHERE date_trunc('month', create_date) <= {OBS_END}),
 cohort AS (SELECT grp, m, count(*) AS user_cnt FROM members GROUP BY 1, 2),
 bought AS (
-    SELECT grp, m, date_diff('month', m, o_orderdate) AS p, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS paid
-    FROM members JOIN orders ON o_custkey = user_id
-    WHERE CAST(o_orderdate AS DATE) >= create_date AND CAST(o_orderdate AS DATE) <= DATE '{inputs.OBS_END}'
+    SELECT grp, m, date_diff('month', m, order_date) AS p, sum(amount) AS paid
+    FROM members JOIN spend USING (user_id)
+    WHERE CAST(order_date AS DATE) >= create_date AND CAST(order_date AS DATE) <= {OBS_END}
     GROUP BY 1, 2, 3),
 ltv AS (
     SELECT c.grp, {month('c.m')} AS create_year_month, CAST(n AS INTEGER) AS ltv_period, c.user_cnt,
            coalesce(sum(b.paid), 0) AS revenue
-    FROM (SELECT *, unnest(range(0, date_diff('month', m, DATE '{inputs.OBS_END}') + 1)) AS n FROM cohort) c
+    FROM (SELECT *, unnest(range(0, date_diff('month', m, {OBS_END}) + 1)) AS n FROM cohort) c
     LEFT JOIN bought b ON b.grp = c.grp AND b.m = c.m AND b.p <= n
     GROUP BY 1, 2, 3, 4)"""
 
@@ -183,50 +192,77 @@ ltv AS (
 LTV_VALUE = half_up(cents("revenue"), "user_cnt * 100", 2)
 
 
-def _roas_sql(by: str, with_all: bool, cost_key: str, horizon: int) -> str:
+def _ltv_sql(by: str, ctes: str) -> str:
+    return f"""
+WITH {ctes}
+SELECT grp AS {by}, create_year_month, ltv_period, user_cnt, CAST(revenue AS DOUBLE) AS revenue, {LTV_VALUE} AS ltv
+FROM ltv"""
+
+
+def _roas_sql(by: str, ctes: str, cost_key: str, horizon: int, cost: str = COST, digits: int = 4) -> str:
     keys, match = ("", "") if not cost_key else (f"{cost_key},", f" AND s.{cost_key} = l.grp")
     group = "1, 2" if cost_key else "1"
-    closed = f"date_diff('month', CAST(l.create_year_month || '-01' AS DATE), DATE '{inputs.OBS_END}') >= {horizon}"
+    closed = f"date_diff('month', CAST(l.create_year_month || '-01' AS DATE), {OBS_END}) >= {horizon}"
     return f"""
-WITH {_ltv_ctes(by, with_all)}, {COST},
+WITH {ctes}, {cost},
 spent AS (SELECT {keys} {month('aggregate_date')} AS ym, sum(cost) AS cost FROM cost GROUP BY {group})
 SELECT grp AS {by}, create_year_month, ltv_period, user_cnt, CAST(revenue AS DOUBLE) AS revenue,
-       {LTV_VALUE} AS ltv, CAST(s.cost AS DOUBLE) AS cost, {half_up(cents('revenue', 4), cents('s.cost', 4), 4)} AS roas
+       {LTV_VALUE} AS ltv, CAST(s.cost AS DOUBLE) AS cost,
+       {half_up(cents('revenue', digits), cents('s.cost', digits), 4)} AS roas
 FROM ltv l LEFT JOIN spent s ON s.ym = l.create_year_month{match}
 WHERE {closed}"""
 
 
-@query(f"""
-WITH {_ltv_ctes('attribute_type', True)}
-SELECT grp AS attribute_type, create_year_month, ltv_period, user_cnt, CAST(revenue AS DOUBLE) AS revenue,
-       {LTV_VALUE} AS ltv
-FROM ltv""")
+@query(_ltv_sql("attribute_type", _ltv_ctes("attribute_type", True)))
 def cohort_ltv(spark: SparkSession, sf_dir: str) -> DataFrame:
     users, orders = inputs.segment_users(spark, sf_dir), inputs.orders(spark, sf_dir)
-    return value.cohort_ltv(users, orders, None, inputs.OBS_END)
+    return value.cohort_ltv(users, orders, None, value.observed_to(orders))
 
 
-@query(_roas_sql("attribute_type", True, "", 1))
+@query(_roas_sql("attribute_type", _ltv_ctes("attribute_type", True), "", 1))
 def roas_by_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return value.roas_by_attribute(
-        inputs.segment_users(spark, sf_dir),
-        inputs.orders(spark, sf_dir),
-        inputs.cost(spark, sf_dir),
-        None,
-        inputs.OBS_END,
-    )
+    orders = inputs.orders(spark, sf_dir)
+    users, cost_rows = inputs.segment_users(spark, sf_dir), inputs.cost(spark, sf_dir)
+    return value.roas_by_attribute(users, orders, cost_rows, None, value.observed_to(orders))
 
 
-@query(_roas_sql("campaign", False, "campaign", HORIZON))
+@query(_roas_sql("campaign", _ltv_ctes("campaign", False), "campaign", HORIZON))
 def roas_by_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return value.roas_by_campaign(
-        inputs.segment_users(spark, sf_dir),
-        inputs.orders(spark, sf_dir),
-        inputs.campaign_cost(spark, sf_dir),
-        None,
-        inputs.OBS_END,
-        horizon=HORIZON,
-    )
+    orders = inputs.orders(spark, sf_dir)
+    users, cost_rows = inputs.segment_users(spark, sf_dir), inputs.campaign_cost(spark, sf_dir)
+    return value.roas_by_campaign(users, orders, cost_rows, None, value.observed_to(orders), horizon=HORIZON)
+
+
+def _install_users(attribute: str) -> str:
+    """CTE ``users``: the signups with each type or campaign of their installs."""
+    signups = EVENT_USERS.replace("users AS", "signups AS", 1)
+    return f"""{signups}, {INSTALLS},
+users AS (
+    SELECT DISTINCT user_id, create_date, {attribute} FROM signups JOIN installs
+    ON signups.attribute_id = installs.attribute_id AND create_date = CAST(install_time AS DATE)
+    WHERE {attribute} IS NOT NULL)"""
+
+
+CLICK_COST = """cost AS (
+    SELECT CAST(ts AS DATE) AS aggregate_date, json_extract_string(props, '$.k') AS campaign, CAST(value AS DECIMAL(18,2)) AS cost
+    FROM events WHERE event_type = 'click')"""
+
+
+def _signups_and_installs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    installs = inputs.organic_installs(spark, sf_dir), inputs.non_organic_installs(spark, sf_dir)
+    return inputs.event_users(spark, sf_dir), *installs
+
+
+@query(_ltv_sql("attribute_type", _ltv_ctes("attribute_type", True, _install_users("attribute_type"), LATER_SPEND)))
+def cohort_ltv_by_install(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cohorts whose members overlap: a user may have organic and paid installs of the signup day."""
+    return value.cohort_ltv_by_install(*_signups_and_installs(spark, sf_dir), inputs.later_orders(spark, sf_dir))
+
+
+@query(_roas_sql("campaign", _ltv_ctes("campaign", False, _install_users("campaign"), LATER_SPEND), "campaign", HORIZON, CLICK_COST, 2))
+def roas_by_install_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, spent = inputs.later_orders(spark, sf_dir), inputs.click_cost(spark, sf_dir)
+    return value.roas_by_install_campaign(*_signups_and_installs(spark, sf_dir), orders, spent, horizon=HORIZON)
 
 
 # --- active and new users ---------------------------------------------------

@@ -34,6 +34,11 @@ COST = """cost AS (
     SELECT CAST(l_shipdate AS DATE) AS aggregate_date,
            CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(l_discount AS DECIMAL(4,2)) AS cost, c_mktsegment AS campaign
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey)"""
+#: The end of the last full month of the orders, which the CTEs of the cohorts call (order_date, user_id, amount).
+OBSERVED = """observed AS (
+    SELECT CASE WHEN last_day(d) = d THEN d ELSE CAST(date_trunc('month', d) AS DATE) - 1 END AS obs_end
+    FROM (SELECT max(CAST(order_date AS DATE)) AS d FROM spend))"""
+OBS_END = "(SELECT obs_end FROM observed)"
 
 
 def month(c: str) -> str:

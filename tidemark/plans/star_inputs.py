@@ -7,15 +7,14 @@ the source and are kept as exact decimals.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.activity import user_regions
 from tidemark.sources.schemas import STAR_SCHEMAS
 
-OBS_END = dt.date(2001, 7, 31)  # last day of the last full month of orders
+#: The orders lie as many years before the events as this; moved, they are what the events' users spent later.
+LATER_YEARS = 29
 ORGANIC_SEGMENT = "HOUSEHOLD"
 
 
@@ -100,6 +99,12 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def later_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders moved to the years from the first events on."""
+    moved = F.col("order_date") + F.make_ym_interval(F.lit(LATER_YEARS))
+    return orders(spark, sf_dir).withColumn("order_date", moved)
+
+
 def order_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A login for each order: 80 months of activity."""
     return read(spark, sf_dir, "orders").select(
@@ -182,3 +187,13 @@ def campaign_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     owned = owners.join(segments, "o_custkey").select("l_orderkey", "campaign")
     return lines.join(owned, "l_orderkey").select("aggregate_date", "campaign", "cost")
+
+
+def click_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cost row for each click of a campaign."""
+    clicks = read(spark, sf_dir, "events").filter(F.col("event_type") == "click")
+    return clicks.select(
+        F.to_date("ts").alias("aggregate_date"),
+        F.get_json_object("props", "$.k").alias("campaign"),
+        _amount(_hundredths("value"), 2).alias("cost"),
+    )
