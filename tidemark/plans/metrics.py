@@ -15,6 +15,7 @@ from tidemark.operators import (
     cohorts,
     cost,
     growth,
+    intervals,
     profile,
     retention,
     sales,
@@ -52,6 +53,14 @@ ORDER_PERIODS = (
     (dt.date(1995, 12, 15), dt.date(1996, 4, 15), "falling"),
     (dt.date(2001, 6, 1), dt.date(2001, 8, 31), "closing"),
 )
+OPEN_PERIODS = (
+    (None, dt.date(2024, 1, 6), "before the campaign"),
+    (dt.date(2024, 1, 5), dt.date(2024, 1, 12), "campaign"),
+    (dt.date(2024, 1, 21), None, "third week on"),
+    (dt.date(2024, 1, 9), dt.date(2024, 1, 8), "ends before it begins"),
+)
+MONTH_PERIODS = (("1995-12", "1996-04", "falling"), ("1996-03", "1999-10", "long"), (None, "1995-02", "start"), ("2001-06", None, "closing"))
+INDEX_PERIODS = (("M+0", "M+2", "trial"), ("M+2", "M+5", "habit"), ("M+24", None, "loyal"))
 
 
 # --- sales and cost ---------------------------------------------------------
@@ -548,15 +557,22 @@ def retention_long_new_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- annotated series and profiles ------------------------------------------
 
 
-def _periods_sql(periods: tuple) -> str:
-    rows = ", ".join(f"(DATE '{first}', DATE '{last}', '{note}')" for first, last, note in periods)
-    return f"periods(first_day, last_day, note) AS (VALUES {rows})"
+def _periods_sql(periods: tuple, kind: str = "DATE") -> str:
+    end = lambda x: "NULL" if x is None else f"{kind} '{x}'"
+    rows = ", ".join(f"({end(first)}, {end(last)}, '{note}')" for first, last, note in periods)
+    return f"periods(first_end, last_end, note) AS (VALUES {rows})"
+
+
+def _in_period(at: str, end: str = "{}") -> str:
+    """Does a period hold ``at``?  ``end`` turns a period's end into what is compared; a null end is open."""
+    first, last = end.format("first_end"), end.format("last_end")
+    return f"({at} >= {first} OR first_end IS NULL) AND ({at} <= {last} OR last_end IS NULL)"
 
 
 @query(f"""
 WITH {EVENT_LOGINS}, {_periods_sql(EVENT_PERIODS)},
 days AS (SELECT login_date, count(DISTINCT user_id) AS dau FROM logins GROUP BY 1)
-SELECT login_date, dau, note FROM days LEFT JOIN periods ON login_date BETWEEN first_day AND last_day""")
+SELECT login_date, dau, note FROM days LEFT JOIN periods ON login_date BETWEEN first_end AND last_end""")
 def period_annotated_dau(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = activity.dau(inputs.event_logins(spark, sf_dir))
     return annotate.annotate_periods(days, annotate.period_table(spark, EVENT_PERIODS), "login_date")
@@ -565,13 +581,61 @@ def period_annotated_dau(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {ORDER_LOGINS}, {_periods_sql(ORDER_PERIODS)}, a AS ({MAU_SQL})
 SELECT login_year_month, login_user_cnt, note
-FROM a LEFT JOIN periods ON CAST(login_year_month || '-01' AS DATE) BETWEEN first_day AND last_day""")
+FROM a LEFT JOIN periods ON CAST(login_year_month || '-01' AS DATE) BETWEEN first_end AND last_end""")
 def period_annotated_mau(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = activity.mau(inputs.order_logins(spark, sf_dir))
     periods = annotate.period_table(spark, ORDER_PERIODS)
     return annotate.annotate_periods(months, periods, month_from_key("login_year_month"))
 
 
+@query(f"""
+WITH {EVENT_LOGINS}, {_periods_sql(OPEN_PERIODS)},
+days AS (SELECT login_date, count(DISTINCT user_id) AS dau FROM logins GROUP BY 1)
+SELECT login_date, dau, note FROM days LEFT JOIN periods ON {_in_period('login_date')}""")
+def dau_in_open_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = activity.dau(inputs.event_logins(spark, sf_dir))
+    return annotate.annotate_periods(days, annotate.period_table(spark, OPEN_PERIODS), "login_date")
+
+
+@query(f"""
+WITH {ORDER_LOGINS}, {_periods_sql(MONTH_PERIODS, '')}, a AS ({MAU_SQL})
+SELECT login_year_month, login_user_cnt, note FROM a LEFT JOIN periods ON {_in_period('login_year_month')}""")
+def mau_in_month_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    months = activity.mau(inputs.order_logins(spark, sf_dir))
+    periods = annotate.period_table(spark, MONTH_PERIODS, "month")
+    return annotate.annotate_periods(months, periods, "login_year_month", "month")
+
+
+INDEX = "CAST(replace({}, 'M', '') AS INTEGER)"
+
+
+@query(f"""
+WITH {_cohort_ctes(ELAPSED_INDEX)}, {_periods_sql(INDEX_PERIODS, '')}
+SELECT create_year_month, time_order, return_rate, note
+FROM rates LEFT JOIN periods ON {_in_period(INDEX.format('time_order'), INDEX)}""")
+def cohort_return_in_index_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The months since signup that the cohort chart marks."""
+    rates = cohorts.cohort_return_rate(_au(spark, sf_dir), true_elapsed=True)
+    periods = annotate.period_table(spark, INDEX_PERIODS, "index")
+    noted = annotate.annotate_periods(rates, periods, "time_order", "index")
+    return noted.select("create_year_month", "time_order", "return_rate", "note")
+
+
+@query(f"""
+WITH {INSTALLS}, {EVENT_LOGINS},
+days AS (SELECT DISTINCT login_date FROM logins),
+spans AS (SELECT campaign, CAST(min(install_time) AS DATE) AS a, CAST(max(install_time) AS DATE) AS b
+          FROM installs WHERE campaign IS NOT NULL GROUP BY 1)
+SELECT login_date, count(campaign) AS running FROM days LEFT JOIN spans ON login_date BETWEEN a AND b GROUP BY 1""")
+def campaigns_running_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Campaigns between their first and last install, for each day: periods that the data give, and that overlap."""
+    installs = inputs.non_organic_installs(spark, sf_dir).filter(F.col("campaign").isNotNull())
+    spans = installs.groupBy("campaign").agg(F.min("install_time").alias("a"), F.max("install_time").alias("b"))
+    days = inputs.event_logins(spark, sf_dir).select("login_date").distinct()
+    at, first, last = map(intervals.day_position, ("login_date", "a", "b"))
+    return intervals.interval_join(days, spans, at, first, last).groupBy("login_date").agg(F.count("campaign").alias("running"))
+
+
 EVENT_COLUMNS = {
     "event_id": "bigint",
     "ts": "timestamp_ntz",
