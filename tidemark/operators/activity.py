@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import joined_key
@@ -21,17 +21,26 @@ def monthly_activity(logins: DataFrame, user: str = "user_id", date: str = "logi
     return known.select(F.col(user).alias("user_id"), month_start(date).alias("login_month")).distinct()
 
 
-def mau(logins: DataFrame, user: str = "user_id", date: str = "login_date") -> DataFrame:
-    """Distinct active users per month."""
+def _users(user: str, approximate: float | None) -> Column:
+    """Distinct users, or about that many with the relative standard error ``approximate``."""
+    return F.count_distinct(user) if approximate is None else F.approx_count_distinct(user, approximate)
+
+
+def mau(
+    logins: DataFrame, user: str = "user_id", date: str = "login_date", approximate: float | None = None
+) -> DataFrame:
+    """Distinct active users per month; ``approximate`` names a relative error to allow instead of exact counts."""
     dated = logins.filter(F.col(date).isNotNull())
-    counts = dated.groupBy(month_start(date).alias("month")).agg(F.count_distinct(user).alias("login_user_cnt"))
+    counts = dated.groupBy(month_start(date).alias("month")).agg(_users(user, approximate).alias("login_user_cnt"))
     return counts.select(month_key("month").alias("login_year_month"), "login_user_cnt")
 
 
-def dau(logins: DataFrame, user: str = "user_id", date: str = "login_date") -> DataFrame:
-    """Distinct active users per day."""
+def dau(
+    logins: DataFrame, user: str = "user_id", date: str = "login_date", approximate: float | None = None
+) -> DataFrame:
+    """Distinct active users per day; ``approximate`` as for :func:`mau`."""
     dated = logins.filter(F.col(date).isNotNull())
-    return dated.groupBy(day_of(date).alias("login_date")).agg(F.count_distinct(user).alias("dau"))
+    return dated.groupBy(day_of(date).alias("login_date")).agg(_users(user, approximate).alias("dau"))
 
 
 def nru(users: DataFrame, user: str = "user_id", date: str = "create_date") -> DataFrame:

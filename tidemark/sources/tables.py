@@ -83,6 +83,6 @@ def write_by_user(spark: SparkSession, df: DataFrame, path: str, buckets: int, u
     return spark.table(table)
 
 
-def read_mart(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_mart(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """A mart with its declared column types; a month key stays text."""
     return spark.read.schema(schema).parquet(path)
