@@ -24,6 +24,23 @@ def list_files(spark: SparkSession, root: str, suffix: str = ".csv") -> DataFram
     return files.select("path", "length")
 
 
+def read_texts(spark: SparkSession, path: str, exact: bool = False) -> DataFrame:
+    """All columns of a headed CSV file, or of all ``.csv`` files of a folder, as texts; ``exact`` keeps outer spaces."""
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("enforceSchema", False)
+    reader = reader.option("pathGlobFilter", "*.csv").option("escape", '"' if exact else "\\")
+    texts = reader.csv(path)
+    return texts.toDF(*[c.removeprefix(BOM) for c in texts.columns])
+
+
+def wanted_fields(columns: list[str], schema: str, path: str) -> list[StructField]:
+    """The fields of a schema, all of which must be among the columns found."""
+    wanted = list(StructType.fromDDL(schema))
+    missing = [f.name for f in wanted if f.name not in columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return wanted
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The columns of a schema from a headed CSV file, or from all ``.csv`` files of a folder.
 
@@ -31,18 +48,13 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     others; a missing one raises here, a text that its type cannot hold raises
     when it is read.  Files of a folder must have the same header.
     """
-    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("enforceSchema", False)
-    texts = reader.option("pathGlobFilter", "*.csv").csv(path)
-    texts = texts.toDF(*[c.removeprefix(BOM) for c in texts.columns])
-    wanted = StructType.fromDDL(schema)
-    missing = [f.name for f in wanted if f.name not in texts.columns]
-    if missing:
-        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    texts = read_texts(spark, path)
     # An ANSI cast also where the session is set otherwise: null only for null.
-    return texts.select(*[_strict(f).alias(f.name) for f in wanted])
+    return texts.select(*[strict(f).alias(f.name) for f in wanted_fields(texts.columns, schema, path)])
 
 
-def _strict(field: StructField) -> Column:
+def strict(field: StructField) -> Column:
+    """The value of a text column with the name of a field; a text that the type cannot hold raises."""
     text = F.col(f"`{field.name}`")
     value = text.try_cast(field.dataType)
     bad = F.raise_error(F.concat(F.lit(f"{field.name} is no {field.dataType.simpleString()}: "), text))
