@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,12 @@ def tagged_installs(organic: DataFrame, non_organic: DataFrame) -> DataFrame:
 
 
 def attributed_signups(
-    users: DataFrame, organic: DataFrame, non_organic: DataFrame, attribute: str = "attribute_type"
+    users: DataFrame, organic: DataFrame, non_organic: DataFrame, attribute: str | Sequence[str] = "attribute_type"
 ) -> DataFrame:
-    """Signups with the types (or campaigns) of install seen for the same attribution id on the same day.
+    """Signups with the types (or campaigns, or both) of install seen for the same attribution id on the same day.
 
     A null id matches a null id.  The attribute is null where nothing matched.
+    ``attribute_id`` among the attributes is that of the signup.
 
     Installs are reduced to one row per id, day and attribute before the join,
     which keeps the join from multiplying rows.  An id shared by many signups
@@ -37,15 +40,18 @@ def attributed_signups(
     that needs the join to shuffle the installs itself, so the reduction must
     not leave them partitioned on just the join keys.
     """
+    attributes = [attribute] if isinstance(attribute, str) else list(attribute)
     installs = tagged_installs(organic, non_organic).select(
-        F.col("attribute_id").alias("install_id"), day_of("install_time").alias("install_day"), attribute
+        F.col("attribute_id").alias("install_id"),
+        day_of("install_time").alias("install_day"),
+        *[a for a in attributes if a != "attribute_id"],
     )
     signups = users.select("user_id", "attribute_id", day_of("create_date").alias("create_date"))
     return null_safe_left_join(
         signups.filter(F.col("create_date").isNotNull()),
         installs.distinct(),
         [("attribute_id", "install_id"), ("create_date", "install_day")],
-    ).select("user_id", "create_date", attribute)
+    ).select("user_id", "create_date", *attributes)
 
 
 def signup_counts(

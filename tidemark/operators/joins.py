@@ -29,12 +29,30 @@ def one_row_per_user(users: DataFrame, *attributes: str, user: str = "user_id")
 UNKNOWN_REGION = "unknown"
 
 
-def with_region(rows: DataFrame, user_region: DataFrame, user: str = "user_id", region: str = "region") -> DataFrame:
-    """``rows`` with the region of their user, ``unknown`` where there is none, so that parts add up to the whole."""
-    located = rows.join(one_row_per_user(user_region, region, user=user), user, "left")
+def with_region(
+    rows: DataFrame, user_region: DataFrame, user: str = "user_id", region: str = "region", splittable: bool = False
+) -> DataFrame:
+    """``rows`` with the region of their user, ``unknown`` where there is none, so that parts add up to the whole.
+
+    ``splittable`` is for rows that are not reduced per user yet.
+    """
+    places = one_row_per_user(user_region, region, user=user)
+    located = splittable_join(rows, places, user, "left") if splittable else rows.join(places, user, "left")
     return located.withColumn(region, F.coalesce(region, F.lit(UNKNOWN_REGION)))
 
 
+def splittable_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Equi-join on ``key``, to which ``right`` adds its other columns, with a shuffle of its own on both sides.
+
+    Where a side comes out of an aggregate on the key, Spark would join it as it
+    lies, and adaptive execution could not split a key that holds many rows of
+    the other side.  The key in another form makes it shuffle what comes out.
+    """
+    own = left.withColumn("_key", F.struct(key))
+    other = right.withColumn("_other_key", F.struct(key)).drop(key)
+    return own.join(other, F.col("_key") == F.col("_other_key"), how).drop("_key", "_other_key")
+
+
 def null_safe_left_join(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]]) -> DataFrame:
     """Left outer equi-join on ``(left, right)`` column pairs where null matches null.
 

@@ -73,16 +73,16 @@ def shop_region_sales_pivot(
 
     The column ``rest`` holds the sales to all other payers, of a region that is
     not listed or not known, so that a row adds up to the shop's sales; None
-    leaves it out.  A cell is null, or 0 with ``fill_zero``, where nothing was sold.  Orders are
-    summed per payer before they meet the region table, so a payer or a shop
-    with many orders does not make a large join partition.
+    leaves it out.  A cell is null, or 0 with ``fill_zero``, where nothing was sold.  Orders meet
+    the region table as they are: a sum per payer, shop and month before would
+    reduce little and cost a shuffle more.  A payer with many orders is split.
     """
     dated = orders.filter(F.col(date).isNotNull() & F.col(shop).isNotNull() & F.col(user).isNotNull())
     if month is not None:
         dated = dated.filter(in_months(date, month, month))
-    per_payer = dated.groupBy(user, shop, month_start(date).alias("month")).agg(F.sum(amount).alias("paid"))
+    sold = dated.select(user, shop, month_start(date).alias("month"), F.col(amount).alias("paid"))
     listed = F.when(F.col(region).isin(list(regions)), F.col(region)).otherwise(F.lit(rest))
-    located = with_region(per_payer, user_region, user, region).withColumn(region, listed)
+    located = with_region(sold, user_region, user, region, splittable=True).withColumn(region, listed)
     columns = list(regions) if rest is None or rest in regions else [*regions, rest]
     wide = located.groupBy("month", shop).pivot(region, columns).agg(F.sum("paid"))
     named = wide.select(month_key("month").alias("order_year_month"), shop, *[F.col(f"`{c}`") for c in columns])

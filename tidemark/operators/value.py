@@ -11,6 +11,7 @@ from tidemark.functions.predicates import cohort_complete
 from tidemark.functions.ratios import money_ratio
 from tidemark.functions.timekeys import day_of, end_of_last_full_month, month_key, month_start, months_elapsed
 from tidemark.operators.attribution import attributed_signups
+from tidemark.operators.joins import splittable_join
 
 ALL = "all"
 #: A written day, or a column without rows of its own such as :func:`observed_to` gives.
@@ -25,16 +26,19 @@ def observed_to(orders: DataFrame, date: str = "order_date") -> Column:
     return orders.agg(end_of_last_full_month(F.max(day_of(date))).alias("observed_to")).scalar()
 
 
+def user_spend(orders: DataFrame, user: str, date: str, amount: str) -> DataFrame:
+    """(user_id, order_day, paid): a row per order of a known user and day."""
+    known = orders.filter(F.col(user).isNotNull() & F.col(date).isNotNull())
+    return known.select(F.col(user).alias("user_id"), day_of(date).alias("order_day"), F.col(amount).alias("paid"))
+
+
 def user_daily_spend(orders: DataFrame, user: str, date: str, amount: str) -> DataFrame:
-    """Spend per user and day.
+    """Spend per user and day, to be stored in buckets of users where several tables start from it.
 
-    The sums are shuffled once more for the join on the user.  In return a
-    heavy buyer, whatever part of all orders is theirs, is a row per day there.
+    A heavy buyer, whatever part of all orders is theirs, is a row per day there.
     """
-    known = orders.filter(F.col(user).isNotNull() & F.col(date).isNotNull())
-    return known.groupBy(F.col(user).alias("user_id"), day_of(date).alias("order_day")).agg(
-        F.sum(amount).alias("paid")
-    )
+    spend = user_spend(orders, user, date, amount)
+    return spend.groupBy("user_id", "order_day").agg(F.sum("paid").alias("paid"))
 
 
 def cohort_members(users: DataFrame, by: str, with_all: bool, user: str = "user_id") -> DataFrame:
@@ -75,12 +79,26 @@ def cohort_revenue(
     The size counts all members, buyers or not.  Periods run from 0 to the last
     one that had begun by ``obs_end``, or to ``max_period`` where one is given;
     one without orders repeats the last sum.
+
+    The orders are shuffled once, as they are, to meet the members.
+    """
+    members = cohort_members(users, by, with_all, user)
+    return revenue_of(members, user_spend(orders, user, date, amount), max_period, obs_end, by, splittable=True)
+
+
+def revenue_of(
+    members: DataFrame, spend: DataFrame, max_period: int | None, obs_end: Day, by: str, splittable: bool = False
+) -> DataFrame:
+    """:func:`cohort_revenue` from (user_id, create_date, ``by``) and from (user_id, order_day, paid).
+
+    ``splittable`` is for spend that is not summed per user and day: it splits a
+    heavy buyer.  Without it, two tables in buckets of users are not shuffled.
     """
-    members = cohort_members(users, by, with_all, user).withColumn("month", month_start("create_date"))
-    members = members.filter(F.col("month") <= F.lit(obs_end))
-    spend = user_daily_spend(orders, user, date, amount).filter(F.col("order_day") <= F.lit(obs_end))
+    members = members.withColumn("month", month_start("create_date")).filter(F.col("month") <= F.lit(obs_end))
+    spend = spend.filter(F.col("order_day") <= F.lit(obs_end))
+    met = splittable_join(spend, members, "user_id") if splittable else members.join(spend, "user_id")
     # Orders before the signup are not the cohort's; equal days are.
-    bought = members.join(spend, "user_id").filter(F.col("order_day") >= F.col("create_date"))
+    bought = met.filter(F.col("order_day") >= F.col("create_date"))
     period = months_elapsed("month", "order_day").alias("ltv_period")
     revenue = bought.select(by, "month", period, "paid")
     last_period = months_elapsed("month", F.lit(obs_end))

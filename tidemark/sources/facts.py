@@ -30,11 +30,11 @@ def _overwrite_months(df: DataFrame, path: str, *partitions: str) -> None:
 
 
 def store_load(rows: DataFrame, path: str, date: str, load: str) -> None:
-    """Adds rows to the facts under ``path`` as one load.  Rows without a date are in no month and are left out.
+    """Adds rows to the facts under ``path`` as one load; rows without a date lie under a null month.
 
     A load that is stored again must hold the same months.
     """
-    dated = rows.filter(F.col(date).isNotNull()).withColumns({MONTH: month_key(date), LOAD: F.lit(load)})
+    dated = rows.withColumns({MONTH: month_key(date), LOAD: F.lit(load)})
     _overwrite_months(dated, path, MONTH, LOAD)
 
 

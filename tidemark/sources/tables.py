@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tidemark.session import scratch_table
 from tidemark.sources.schemas import SCHEMAS
 
 BOM = "\ufeff"
+MOST_BUCKETS = 10_000
 
 
 def list_files(spark: SparkSession, root: str, suffix: str = ".csv") -> DataFrame:
@@ -82,13 +84,26 @@ def write_mart(df: DataFrame, path: str, month: str | None = None) -> None:
     df.hint("rebalance", month).write.mode("overwrite").partitionBy(month).parquet(path)
 
 
-def write_by_user(spark: SparkSession, df: DataFrame, path: str, buckets: int, user: str = "user_id") -> DataFrame:
+def buckets_for(df: DataFrame, megabytes: int = 128) -> int:
+    """Buckets of about so many megabytes, by Spark's estimate of the table's size.
+
+    At least as many as a shuffle has partitions: Spark shuffles a table in fewer buckets again.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(-(-size // (megabytes << 20)), MOST_BUCKETS))
+
+
+def write_by_user(
+    spark: SparkSession, df: DataFrame, path: str, buckets: int | None = None, user: str = "user_id"
+) -> DataFrame:
     """A bucketed table of ``df`` under ``path``: later groupings and joins on the user need no shuffle of it.
 
     For tables with few rows per user.  A bucket is read by one task, so a
     table of raw events, where one user may own a large part, does not belong here.
     """
-    table = os.path.basename(path).replace("-", "_")
+    table = scratch_table(os.path.basename(path).replace("-", "_"))
+    buckets = buckets or buckets_for(df)
     # Partitioned like the buckets, so that each task writes one file.
     placed = df.repartition(buckets, user)
     placed.write.bucketBy(buckets, user).sortBy(user).option("path", path).saveAsTable(table)
