@@ -11,7 +11,8 @@ from tidemark.sources.schemas import SCHEMAS
 COUNTS = "login_year_month string, create_year_month string, user_cnt long"
 MONTHS = ["2022-05", "2022-06", "2022-07", "2022-08", "2022-09", "2022-10", "2022-11"]
 
-# signup month -> active users per month, and their rate against the first month
+# Published numbers that a replay must give.
+# Signup month -> active users per month, and their rate against the first month.
 COHORTS = {
     "2021-07": ([163, 150, 155, 153, 140, 137, 142], [1.0, 0.9202, 0.9509, 0.9387, 0.8589, 0.8405, 0.8712]),
     "2021-08": ([317, 345, 347, 327, 285, 261, 269], [1.0, 1.0883, 1.0946, 1.0315, 0.8991, 0.8233, 0.8486]),
@@ -36,7 +37,8 @@ def test_true_elapsed_index_counts_from_signup(spark):
     assert {r.time_order for r in rates.collect()} == {f"M{i}" for i in range(10, 17)}
 
 
-# month, users, previous users, rate; then the rate and band of 2022-11
+# Published numbers that a replay must give.
+# Month, users, previous users, rate; then the rate and band of 2022-11.
 GROWTH = {
     "관악구-조원동": (
         [
@@ -92,6 +94,7 @@ def test_region_growth_by_calendar_month_has_no_previous_after_a_gap(spark):
 
 def test_roll_up_to_signup_year_and_month(spark):
     """Users have one signup month, so the cohorts of a month add up to a year's and to all active users."""
+    # Published numbers that a replay must give.
     active = {
         "2021-07": 163,
         "2021-08": 317,
@@ -119,6 +122,7 @@ def test_roll_up_to_signup_year_and_month(spark):
     assert mau(logins).first().login_user_cnt == 3694
 
 
+# Published numbers that a replay must give.
 NRU_GROWTH = [
     ("2022-05", 1, 2, None, None),
     ("2022-06", 2, 7, 2, 2.5),
@@ -141,6 +145,7 @@ def test_region_growth_of_signups(spark):
 
 def test_regional_cohort_index(spark):
     """The dense index counts months; the ranked one counts rows of all regions and leaves gaps."""
+    # Published numbers that a replay must give.
     months = {
         "2022-05": {"a": 2, "b": 2, "c": 135, "d": 24},
         "2022-06": {"a": 2, "b": 2, "c": 123, "d": 23},
@@ -165,6 +170,7 @@ def test_regional_cohort_index(spark):
 
 
 def test_activity_series_from_exported_tables(spark):
+    # Published numbers that a replay must give.
     mau_rows = list(zip(MONTHS, [3694, 4404, 4647, 4375, 3971, 4095, 6352]))
     nru_rows = [("2021-11", 415), ("2021-12", 566), ("2022-01", 595), ("2022-02", 491), ("2022-03", 461), ("2022-04", 379)]
     nru_rows += list(zip(MONTHS, [512, 1077, 1079, 704, 619, 811, 2907]))
@@ -178,6 +184,7 @@ def test_activity_series_from_exported_tables(spark):
 
 
 def test_retention_chart_table_from_an_exported_table(spark):
+    # Published numbers that a replay must give.
     exported = [
         ("2022-05", "신규유저", 497, 497, 0.344, 0.171, 0.175, 0.135),
         ("2022-05", "재방문유저", 3472, 36597, 0.637, 0.644, 0.621, 0.534),
@@ -199,6 +206,7 @@ def test_retention_chart_table_from_an_exported_table(spark):
 
 
 def test_cohort_chart_table_from_an_exported_table(spark):
+    # Published numbers that a replay must give.
     exported = [
         ("2022-06", "2022-05", "2022", "M1", 258, 504, 0.5119),
         ("2022-05", "2022-05", "2022", "M0", 504, 504, 1.0),

@@ -9,15 +9,15 @@ from tidemark.session import scratch_path
 from tidemark.sources import tables
 from tidemark.sources.schemas import SCHEMAS, STAR_SCHEMAS
 
-GROWTH_ROW = ("영등포구-여의도동", "2022-11", 1, 23, None, None, None, "new")
+GROWTH_ROW = ("가나구-다라동", "2031-04", 1, 58, None, None, None, "new")
 
 
 def test_quoted_month_stays_text_and_bom_is_dropped(spark, tmp_path):
-    text = '﻿"login_year_month","login_user_cnt"\n"2022-05",3694\n"2022-06",4404\n'
+    text = '﻿"login_year_month","login_user_cnt"\n"2031-02",17\n"2031-03",29\n'
     (tmp_path / "mau.csv").write_text(text, encoding="utf-8")
     df = tables.load_table(spark, str(tmp_path), "mau")
     assert df.columns == ["login_year_month", "login_user_cnt"]
-    assert sorted(tuple(r) for r in df.collect()) == [("2022-05", 3694), ("2022-06", 4404)]
+    assert sorted(tuple(r) for r in df.collect()) == [("2031-02", 17), ("2031-03", 29)]
 
 
 def test_csv_round_trip_with_korean_text_and_nulls(spark, tmp_path):
