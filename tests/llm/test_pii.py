@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -45,6 +46,57 @@ def test_long_texts_take_linear_time():
         pii.base_spans(text)
 
 
+@pytest.mark.parametrize("zeros", [0, 1, 3, 300, 5000])
+def test_numbers_with_leading_zeros(zeros):
+    text = f"x {'0' * zeros}255.1.1.1 {'0' * zeros}256.1.1.1 {'0' * (zeros + 1)}.0.0.0"
+    spans = [text[a:b] for a, k, b in pii.base_spans(text)[0] if k == 1]
+    assert [s.lstrip("0") for s in spans] == ["255.1.1.1", ".0.0.0"]
+
+
+def test_octets():
+    assert [pii.is_octet(x) for x in ("0", "00", "255", "0255", "256", "1000", "0" * 9999, "9" * 9999)] == [True] * 4 + [False] * 2 + [True, False]
+
+
+LONG = {
+    "addresses": "ab12@mail.example.com\n" * 95_000,
+    "one island": "a@b.co " * 300 + "12345 " + "a@b.co " * 290_000,
+    "addresses in lines": "10.1.2.3 x\n" * 180_000,
+    "one word": "a1" * 500_000,
+    "digits": "7" * 2_000_000,
+    "at signs": "@" * 2_000_000,
+    "bare numbers": "4567 " * 60_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_all_spans_of_two_megabytes_take_seconds(name, weights):
+    began = time.monotonic()
+    base, both = pii.all_spans(LONG[name], weights)
+    assert set(base) <= set(both) and time.monotonic() - began < 60
+
+
+def plain_untaken(text, spans):
+    """The islands without all places of the spans, by marking every place."""
+    taken = {i for a, _, b in spans for i in range(a, b)}
+    out = []
+    for begin, end in pii.islands(text):
+        free = [i for i in range(begin, end) if i not in taken]
+        for i in free:
+            if out and out[-1][1] == i and i > begin and i - 1 not in taken:
+                out[-1] = (out[-1][0], i + 1)
+            else:
+                out.append((i, i + 1))
+    return out
+
+
+def test_what_the_spans_leave():
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choices(["1", "12.3.4.5", "a@b.co", " ", "  ", "+1 (212) 555-0123", "x", "4111111111111111", "."], k=rng.randint(0, 14)))
+        spans, _ = pii.base_spans(text)
+        assert list(pii.untaken(pii.islands(text), spans)) == plain_untaken(text, spans), text
+
+
 def test_islands():
     text = "word 12 (3) x 4@b\n5 6  7é8 end"
     assert [text[a:b] for a, b in pii.islands(text)] == ["12 (3)", "4@b", "5 6", "7é8"]
@@ -101,6 +153,17 @@ def test_added_spans(weights):
     assert pii.all_spans(clean, weights) == ([], [])
 
 
+def test_sample_of_repeated_rows_and_missing_ids(spark):
+    """A third of the rows without an id, a third with one id, some with one id and different texts: each text counts once."""
+    rows = [(None, "call +1 (212) 555-0123")] * 50 + [(7, "mail ab@c.example.com")] * 50 + [(8, f"ip 10.0.0.{k}") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.train(df)
+    texts = sorted({(t) for i, t in rows if i is not None})
+    assert np.abs(got).sum() > 0 and not got[3 * pii.N_FEATURES :].any()  # no phone was learned from
+    assert np.allclose(np.abs(got).sum(), np.abs(pii.fit(texts)).sum())
+    assert not pii.train(df.limit(0)).any()
+
+
 def test_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a@b.co", "x"), (3, "ü a@b.co 1.2.3.4", "x"), (3, "ü a@b.co 1.2.3.4", "x"), (4, "1 " * 2_000, "x")]
     out = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()

@@ -3,21 +3,23 @@
 Base spans come from fixed patterns (see `base_spans`). The field adds spans that the patterns lose, such as a phone number
 followed by a card number, which together have too many digits for either. It works on islands: neighbouring
 words that hold a digit or an at sign. An island is cut into atoms (runs of digits, runs of letters, single
-signs); a segmentation is a row of entities of at most MOST_ATOMS atoms and of single atoms outside. A candidate
-segment is scored by features of the whole span: its kind, whether the whole span is well formed (octets, check digit,
+signs); a segmentation is a row of entities of at most MOST_ATOMS atoms, MOST_LENGTH characters and, without an at sign,
+MOST_DIGITS digits (those of the longest card number), and of single atoms outside. A candidate segment is scored by features of the whole span: its kind, whether the whole span is well formed (octets, check digit,
 number of digits), its shape, its groups and what stands beside it. Dynamic programming sums over all
 segmentations to fit the weights and finds the best one to choose boundaries and kinds jointly.
 
-No labels are needed: the field is fitted on the islands of at most MOST_DOCS documents, taken in the order of a hash of the
-doc_id, in which no pattern failed; their base spans are the truth. Added spans never overlap base spans, which all stay.
-A null text is empty. Rows never leave their partition.
+No labels are needed: the field is fitted on the islands, of at most LEARNED_LENGTH characters, of at most MOST_DOCS texts,
+taken in the order of a hash of the doc_id (rows without one are not learned from), in which no pattern failed; their base
+spans are the truth. Added spans never overlap base spans, which all stay: the field sees what lies between them.
+The time for a text grows with its length. A null text is empty. Rows never leave their partition.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,9 @@ KINDS = ("email", "ip", "card", "phone")
 MOST_DOCS = 1500
 MOST_ISLANDS = 3000
 MOST_ATOMS = 24
+MOST_LENGTH = 400
+MOST_DIGITS = 19
+LEARNED_LENGTH = 400
 STEPS = 60
 L2 = 1e-3
 
@@ -44,22 +49,30 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 ATOM = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]")
 TRIGGER = re.compile(r"[0-9@]")
 DIGITS = re.compile(r"[^0-9]+")
+GROUP = re.compile(r"[0-9]+")
 
 Span = tuple[int, int, int]  # start, kind, end
 
 
+#: What a digit adds to the check sum, at its place and doubled.
+ONCE = {str(d): d for d in range(10)}
+TWICE = {str(d): 2 * d - 9 * (d > 4) for d in range(10)}
+
+
 def luhn(digits: str) -> bool:
-    total = 0
-    for k, c in enumerate(reversed(digits)):
-        d = int(c) * (1 + k % 2)
-        total += d - 9 * (d > 9)
-    return total % 10 == 0
+    return (sum(map(ONCE.__getitem__, digits[::-2])) + sum(map(TWICE.__getitem__, digits[-2::-2]))) % 10 == 0
 
 
 def digits_of(text: str) -> str:
     return DIGITS.sub("", text)
 
 
+def is_octet(part: str) -> bool:
+    """Is a run of digits, however many zeros it begins with, at most 255?"""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
 def base_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
     """(spans of the patterns, matches that failed a check); leftmost, not overlapping in a kind, linear in the text."""
     spans, failed, low = [], [], 0
@@ -77,7 +90,7 @@ def base_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
             parts, begin = m.group().split("."), m.start()
             for k in range(0, len(parts) - 3, 4):
                 end = begin + sum(map(len, parts[k : k + 4])) + 3
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts[k : k + 4]):
+                if all(map(is_octet, parts[k : k + 4])):
                     spans.append((begin, 1, end))
                 else:
                     failed.append((begin, end))
@@ -159,42 +172,63 @@ POSSIBLE = {
 
 def features(text: str, begin: int, end: int, kind: int) -> list[int]:
     """The features of a whole span that are on."""
-    span = text[begin:end]
-    d = digits_of(span)
-    on = [0, 1 + _beside(text[begin - 1 : begin]), 6 + _beside(text[end : end + 1])]
+    before, after = text[begin - 1 : begin], text[end : end + 1]
+    # digits go on after a sign: a larger span of the same signs is possible
+    goes_on = after in JOINING and text[end + 1 : end + 2] in ASCII_DIGITS
+    came_on = before in JOINING and begin > 1 and text[begin - 2] in ASCII_DIGITS
+    return _features(text[begin:end], _beside(before), _beside(after), goes_on, came_on, kind)
+
+
+JOINING, ASCII_DIGITS = (" ", ".", "-"), tuple("0123456789")
+
+
+@lru_cache(maxsize=100_000)
+def _features(span: str, before: int, after: int, goes_on: bool, came_on: bool, kind: int) -> list[int]:
+    groups = GROUP.findall(span)
+    d = "".join(groups)
+    on = [0, 1 + before, 6 + after]
     on.append(11 if WELL_FORMED[kind](span, d) else 12)
     on.append(13 + min(len(d), 24))
-    on.append(38 + min(len(re.findall("[0-9]+", span)), 9))
+    on.append(38 + min(len(groups), 9))
     for k, sign in enumerate(" ().-+@"):
         if sign in span:
             on.append(48 + k)
     on.append(56 + (span[0] == "+"))
     on.append(58 + luhn(d) if d else 60)
-    # a larger span of the same signs is possible: digits go on after a sign
-    if re.match(r"[\x20.-][0-9]", text[end : end + 2]):
+    if goes_on:
         on.append(61)
-    if re.search(r"[0-9][\x20.-]$", text[max(0, begin - 2) : begin]):
+    if came_on:
         on.append(62)
-    on.append(63 + min(len(re.split(r"[\x20-]", span)), 8))
-    on.append(72 + min(max(map(len, re.findall("[0-9]+", span)), default=0), 20))
+    on.append(63 + min(1 + span.count(" ") + span.count("-"), 8))
+    on.append(72 + min(max(map(len, groups), default=0), 20))
     return [kind * N_FEATURES + k for k in on]
 
 
 class Island:
     """An island's atoms and its candidate segments: (first atom, atom after the last, kind, features)."""
 
-    def __init__(self, text: str, begin: int, end: int, taken: list[Span] = ()) -> None:
-        self.cuts = [begin + m.start() for m in ATOM.finditer(text[begin:end])] + [end]
+    def __init__(self, text: str, begin: int, end: int) -> None:
+        self.cuts = [m.start() for m in ATOM.finditer(text, begin, end)] + [end]
         self.candidates: list[tuple[int, int, int, list[int]]] = []
+        sign = -1  # the next at sign; without one near, a span holds no letters and not more digits than a card number
         for i in range(len(self.cuts) - 1):
             a = self.cuts[i]
             if not (text[a].isalnum() or text[a] in "+("):
                 continue
+            if sign < a:
+                sign = text.find("@", a, end)
+                sign = end + MOST_LENGTH if sign < 0 else sign
+            n, last = 0, a
             for j in range(i + 1, min(i + MOST_ATOMS, len(self.cuts) - 1) + 1):
                 b = self.cuts[j]
-                if not text[b - 1].isalnum() or any(s < b and a < e for s, _, e in taken):
+                if b - a > MOST_LENGTH:
+                    break
+                n += sum(map(str.isdigit, text[last:b]))
+                if sign - a > MOST_LENGTH and (n > MOST_DIGITS or text[last].isalpha()):
+                    break
+                last = b
+                if not text[b - 1].isalnum():
                     continue
-                n = sum(c.isdigit() for c in text[a:b])
                 span = text[a:b]
                 for kind in range(4):
                     enough = "@" in span if kind == 0 else n >= (4, 4, 12, 7)[kind]
@@ -251,7 +285,7 @@ def fit(texts: list[str]) -> np.ndarray:
     for text in texts:
         spans, failed = base_spans(text)
         for begin, end in islands(text):
-            if len(truth) >= MOST_ISLANDS or end - begin > 400 or any(a < end and begin < b for a, b in failed):
+            if len(truth) >= MOST_ISLANDS or end - begin > LEARNED_LENGTH or any(a < end and begin < b for a, b in failed):
                 continue
             mine = [s for s in spans if s[0] < end and begin < s[2]]
             if any(a[2] > b[0] for a, b in zip(mine, mine[1:])):
@@ -281,21 +315,27 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
         return [], []
     base, _ = base_spans(text)
     added = []
-    for begin, end in islands(text):
-        taken = [s for s in base if s[0] < end and begin < s[2]]
-        # nothing to add where the patterns have all words of the island, or too few digits are left
-        rest = text[begin:end] if not taken else "".join(_outside(text, begin, end, taken))
-        if "@" in rest or sum(map(str.isdigit, rest)) >= 4:
-            added += Island(text, begin, end, taken).best(weights)
+    for begin, end in untaken(islands(text), base):
+        # nothing to add where too few digits are left
+        if "@" in text[begin:end] or sum(map(str.isdigit, text[begin:end])) >= 4:
+            added += Island(text, begin, end).best(weights)
     return base, sorted(base + added)
 
 
-def _outside(text: str, begin: int, end: int, taken: list[Span]) -> Iterator[str]:
-    for a, _, b in taken:
-        if begin < a:
-            yield text[begin:a]
-        begin = max(begin, b)
-    yield text[begin:end]
+def untaken(parts: Iterable[tuple[int, int]], spans: list[Span]) -> Iterator[tuple[int, int]]:
+    """What the spans leave of the parts; both are in order, and both are gone through once."""
+    k = 0
+    reach = 0  # how far the spans seen so far take the text
+    for begin, end in parts:
+        begin = max(begin, min(reach, end))
+        while k < len(spans) and spans[k][0] < end:
+            if begin < spans[k][0]:
+                yield begin, spans[k][0]
+            reach = max(reach, spans[k][2])
+            begin = max(begin, min(reach, end))
+            k += 1
+        if begin < end:
+            yield begin, end
 
 
 def written(spans: list[Span]) -> str:
@@ -303,8 +343,14 @@ def written(spans: list[Span]) -> str:
 
 
 def train(docs: DataFrame) -> np.ndarray:
-    some = docs.where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_DOCS)
-    return fit([r.text for r in some.select("text").toLocalIterator()])
+    """The weights from a bounded sample: its keys are chosen first, so that no task holds more texts than these."""
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]"))
+    keyed = known.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    some = keyed.select("doc_id", "key").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(MOST_DOCS)
+    # repeated rows of a key are one text
+    texts = keyed.join(some, ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.min("text").alias("text"))
+    found = texts.select(F.xxhash64("doc_id").alias("place"), "doc_id", "key", "text").toLocalIterator()
+    return fit([r.text for r in sorted(found, key=lambda r: (r.place, r.doc_id, r.key))])
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
