@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
@@ -83,3 +84,15 @@ def test_rows(spark, library):
 
 def test_empty_table(spark):
     assert sp.encode(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_cuts_between_letters_and_marks_change_no_ids(library):
+    model = sp.Model()
+    rng = random.Random(8)
+    parts = ["the", "Straße", "l'été", "e.g", "don't", "http://a.b", "x", "Ж", "日本", "\u0301", " ", "  ", "\n", "\t", ".", ",", "...", "-", "'", "(", ")", "9", "0.5", "\U0001f600"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)]
+    for text, ids in zip(texts, library.encode(texts, num_threads=1)):
+        got, same = model.encode_checked(text)
+        assert model.encode(text).tolist() == np.frombuffer(got, np.int32).tolist() == ids, text
+        assert same == (model.decode(ids) == text)
+    assert model.encode_checked("a\u2581b")[1] is False and model.encode_checked("") == (b"", True)

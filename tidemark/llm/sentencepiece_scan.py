@@ -2,8 +2,9 @@
 
 For a byte-pair model a sequence of pieces is the encoding of a text exactly if every two neighbours are compatible:
 the model, run on the two pieces alone, gives these two pieces. The encoding is therefore the one best path through
-the lattice of all pieces in which an edge weighs minus one (a piece) if its ends are compatible and minus infinity
-if not. From a known piece on, at most one piece can end at any place, so the path is found left to right.
+the lattice of all pieces in which an edge weighs 0 if its ends are compatible and minus infinity if not: the scan is
+max-plus, and its finite entries say what can be reached. From a known piece on, at most one piece can end at any
+place, so the path is found left to right.
 
 A text of more than `chunk` code points is split. The state at a boundary is the piece that reaches it or stands
 across it, and by how many code points it overhangs. Each chunk yields the max-plus matrix from the states at its start
@@ -19,7 +20,10 @@ Code points without a piece become byte pieces. The model file is a parameter; i
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pandas as pd
@@ -35,7 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768
 #: Matrices combined at once.
 FAN = 64
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 500_000
 REMEMBERED_PAIRS = 2_000_000
 SPACE = "▁"
 #: The state before the first piece; ids of code points without a piece are below it.
@@ -70,15 +74,34 @@ class Model:
         self.out |= {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()}
         self.out |= {i: b"" for i in ids if sp.is_control(i)}
         self.out[self.unknown_id] = " ⁇ ".encode()
+        self.words_of = re.compile(self.word_pattern())
         self.forget()
 
+    def word_pattern(self) -> str:
+        """Spaces with what follows them up to the next space, cut between a run of letters and a run of marks.
+
+        The marks are those that no piece holds beside a letter, so that no piece reaches over the cut.
+        """
+        if any(self.merged(p) != [p] for p in self.ids):
+            return WORDS.pattern  # a piece that is not its own encoding must be seen beside its neighbours
+        letter = re.compile(f"[{LETTERS}]")
+        pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        beside = {m for a, b in pairs for x, m in ((a, b), (b, a)) if letter.match(x)}
+        marks = "".join(map(re.escape, sorted(set(string.punctuation + string.whitespace) - beside)))
+        if not marks:
+            return WORDS.pattern
+        return (
+            f"{SPACE}*[{LETTERS}]+(?=[{marks}{SPACE}]|\\Z)|{SPACE}*[{marks}]+(?=[{LETTERS}{SPACE}]|\\Z)|{SPACE}*[^{SPACE}]+|{SPACE}+"
+        )
+
     def forget(self) -> None:
         self.fits: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.words_before: dict[str, bytes] = {}
+        self.lossy: set[str] = set()
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"fits": {}, "words": {}, "words_before": {}}
+        return self.__dict__ | {"fits": {}, "words": {}, "words_before": {}, "lossy": set()}
 
     def merged(self, text: str) -> list[str]:
         """The model's own procedure: merge the best pair, the leftmost of equals, until none is a piece."""
@@ -173,12 +196,15 @@ class Model:
         return np.array(out, np.int32).tobytes()
 
     def word(self, text: str) -> bytes:
-        """The ids of a whole word, remembered."""
+        """The ids of a whole word, or of a part of one that no piece reaches over, remembered."""
         ids = self.words.get(text)
         if ids is None:
             ids = self.words_before.get(text)
             if ids is None:
                 ids = self.plain(self.path(text))
+                back = b"".join(map(self.out.__getitem__, np.frombuffer(ids, np.int32).tolist()))
+                if back != text.replace(SPACE, " ").encode("utf-8", "surrogatepass"):
+                    self.lossy.add(text)
             if len(text) <= 64:
                 if len(self.words) >= REMEMBERED_WORDS:
                     self.words_before, self.words = self.words, {}
@@ -187,15 +213,25 @@ class Model:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text that is short enough for one piece of work."""
+        return np.frombuffer(self.encode_checked(text)[0], np.int32)
+
+    def encode_checked(self, text: str) -> tuple[bytes, bool]:
+        """(ids of such a text, 4 bytes each; do they give the text again?), which each of its words is asked once."""
         if not text:
-            return np.empty(0, np.int32)
-        return np.frombuffer(b"".join(map(self.word, WORDS.findall(escaped(text)))), np.int32)
+            return b"", True
+        words = self.words_of.findall(escaped(text))
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            for k in compress(range(len(ids)), map(is_, ids, repeat(None))):
+                ids[k] = self.word(words[k])
+        return b"".join(ids), SPACE not in text and (not self.lossy or self.lossy.isdisjoint(words))
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
         return data[1:] if data.startswith(" ") else data
 
 
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 WORD_START = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 
@@ -423,10 +459,10 @@ def encode(docs: DataFrame, path: str = MODEL, chunk: int = CHUNK, fan: int = FA
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = [model.value.encode(t) for t in texts]
-            same = [model.value.decode(x.tolist()) == t for x, t in zip(ids, texts)]
-            arrays = [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+            ids, same = zip(*map(model.value.encode_checked, batch.column(1).to_pylist())) if batch.num_rows else ((), ())
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            arrays = [batch.column(0), lists, pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "token_ids", "round_trip"])
 
     giant = F.length("text") > chunk
