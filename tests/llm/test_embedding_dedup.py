@@ -39,8 +39,8 @@ def plain(rows):
     return sorted((ids[k] if ids[k] is not None else -1, links[k], least[top(k)] or -1) for k in range(n))
 
 
-def check(spark, rows):
-    out = ed.near_duplicates(spark.createDataFrame(rows, SCHEMA), passes=6).collect()
+def check(spark, rows, **options):
+    out = ed.near_duplicates(spark.createDataFrame(rows, SCHEMA), **options).collect()
     got = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id or -1) for r in out)
     assert got == plain(rows)
     assert all(r.kept == (r.vec_id == r.component_id) for r in out)
@@ -65,27 +65,65 @@ def test_odd_vectors(spark):
     data += [(8, [nan, 1.0, 1.0], 1), (9, [inf, 1.0, 1.0], 1), (10, [2.0, 4.0, 6.0], 1), (11, [1.0, 2.0], 1), (12, [-1.0, -2.0, -3.0], 1)]
     data += [(13, v, 1), (13, v, 1), (None, v, 2), (None, [5.0, 0.0, 0.0], 3), (14, [1e30, 2e30, 3e30], 1)]
     check(spark, [(*r, "own") for r in data])
-    assert ed.near_duplicates(spark.createDataFrame([], SCHEMA), passes=2).collect() == []
+    check(spark, [(*r, "own") for r in data], exact=True)
+    assert ed.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert ed.near_duplicates(spark.createDataFrame([], SCHEMA), exact=True).collect() == []
 
 
-def test_large_clustered_label(spark):
+def clustered(n, twins, noise, seed=12):
+    """Unit vectors that share a direction, some with a near twin; (vectors, their cosines with a typical other one)."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=64) * 4.7 + rng.normal(size=(n, 64))
+    near = base[:twins] + rng.normal(size=(twins, 64)) * noise
+    x = np.concatenate([base, near]).astype(np.float32).astype(float)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def by_all_pairs(x):
+    """(links of each row, least row reachable, number of links) by comparing all pairs in slices."""
+    pairs = []
+    for at in range(0, len(x), 1000):
+        i, j = np.nonzero(x[at : at + 1000] @ x.T >= ed.COSINE)
+        pairs.append(np.stack([i + at, j])[:, i + at != j])
+    a, b = np.concatenate(pairs, 1)
+    return np.bincount(a, minlength=len(x)), ed.standing_for(len(x), a, b), a, b
+
+
+def test_recall_on_a_large_clustered_label(spark):
     """Vectors that share a direction: sign bits are equal for most, and a window covers little of the label."""
-    rng = np.random.default_rng(12)
-    base = rng.normal(size=64) * 5 + rng.normal(size=(4000, 64))
-    twins = base[:300] + rng.normal(size=(300, 64)) * 0.8
-    x = np.concatenate([base, twins]).astype(np.float32).astype(float)
-    data = [(k + 1, [float(a) for a in v], 1, "own") for k, v in enumerate(x)]
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
-    near = x @ x.T >= ed.COSINE
-    np.fill_diagonal(near, False)
-    low = np.arange(len(x))
-    before = None
-    while before is None or (low != before).any():
-        before, low = low, np.minimum(low, np.where(near, low, len(x)).min(1))
-    want = [(k + 1, int(n), int(c) + 1) for k, (n, c) in enumerate(zip(near.sum(1), low))]
-    assert near.sum() > 400
-    out = ed.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()
-    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == want
+    x = clustered(10_000, 1500, 0.62)
+    typical = np.median(x[:500] @ x[500:1000].T)
+    count, low, a, b = by_all_pairs(x)
+    assert 0.94 < typical < 0.97 and len(a) > 2000
+    data = [(k, [float(c) for c in v], 1, "own") for k, v in enumerate(x)]
+    out = {r.vec_id: r for r in ed.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()}
+    own = np.array([out[k].component_id for k in range(len(x))])
+    found = own[a] == own[b]  # a link is found if both ends are in one component
+    asked = a % 20 == 0
+    print("typical cosine", typical, "links", len(a), "recall", found.mean(), "of ids divisible by 20", found[asked].mean())
+    assert found.mean() >= 0.9 and found[asked].mean() >= 0.9
+    assert all(out[k].n_links <= count[k] for k in range(len(x)))  # none below the threshold
+    assert all(low[k] == low[own[k]] for k in range(len(x)))
+
+
+def test_all_pairs_of_a_clustered_label(spark):
+    x = clustered(3000, 300, 0.62)
+    count, low, a, _ = by_all_pairs(x)
+    assert len(a) > 300
+    out = ed.near_duplicates(spark.createDataFrame([(k, [float(c) for c in v], 1, "own") for k, v in enumerate(x)], SCHEMA), exact=True)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out.collect()) == [
+        (k, int(n), int(c)) for k, (n, c) in enumerate(zip(count, low))
+    ]
+
+
+def test_work_grows_with_the_rows(spark):
+    """The rows of the orders, and so the comparisons, are as many times the nodes at both sizes."""
+    for n in (500, 2000):
+        nodes = spark.range(n).selectExpr("id AS node", "1L AS label", "3 AS d", "array(rand(1), rand(2), rand(3) + 1) AS v")
+        ordered = ed._order(nodes, range(ed.TOGETHER))
+        assert ordered.count() == n * ed.TOGETHER
+        placed = ed._placed(ordered)
+        assert sorted(r.place for r in placed.select("place").collect()) == list(range(n * ed.TOGETHER))
 
 
 def test_meetings_of_small_parts(spark):

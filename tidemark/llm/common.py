@@ -68,11 +68,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `stored` that no plan reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def joined_apart(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on `key` of many rows with one row per key that comes out of an aggregate on it.
+
+    The join is made on another form of the key, so that Spark shuffles both sides for the join itself; only then can
+    it split a key that holds very many rows of the left side.
+    """
+    own = left.withColumn("_left", F.struct(key))
+    other = right.withColumn("_right", F.struct(key)).drop(key)
+    return own.join(other, F.col("_left") == F.col("_right")).drop("_left", "_right")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the undirected edges (a, b).
 
-    Large-star and small-star rounds until nothing changes; each round is written to the shared folder. Joins and
-    aggregates on the node only, so a node with very many edges is split by the skew join.
+    Large-star and small-star rounds until nothing changes; each round is written to the shared folder and replaces the
+    one before. Each round meets the edges with the least neighbour of a node by a join that can split a node with very
+    many edges.
     """
     current = stored(
         edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
@@ -82,12 +103,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = joined_apart(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        joined = joined_apart(large, low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        current = stored(small.where("u != v").distinct(), "edges")
+        replaced, current = current, stored(small.where("u != v").distinct(), "edges")
+        discard(replaced)
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -1,39 +1,43 @@
-"""Near-duplicate vectors: all pairs of a label, in blocks.
+"""Near-duplicate vectors by sorted projection passes.
 
-Equal vectors of a label are one node with a count. The nodes of a label and dimension are dealt into parts of about
-PART nodes, and each part meets itself and every other part once, by exact cosine. So no pair is missed, whatever the
-shape of a label, and no label, however large, is gathered in one task. A meeting gives the links of each of its nodes
-as a number, and the node with the smallest one it reaches there, so that a crowd of near copies is never written out
-as pairs. The work grows with the square of a label's nodes.
+Equal vectors of a label are one node with a count. In each pass a node gets a key of BITS random sign bits (on which
+side of random planes it lies); nodes are put in the lexicographic order of label and key, and each is compared with
+the next `window` nodes of its label by exact cosine. Where all labels have at most `window` + 1 nodes, one pass is enough. Pairs found are verified and united across passes into components;
+links are then counted inside the components, in blocks of at most BLOCK nodes that meet in pairs. So the work of a pass
+grows with the nodes, whatever the size of a label.
 
-With `passes` the links are searched in sorted passes over random projections instead, whose work grows with the
-nodes, but which miss pairs: most of them in a large label whose vectors share a direction. In each pass a node gets a
-key of random sign bits; nodes are put in the lexicographic order of label and key, and each is compared with the next
-`window` nodes of its label. Links are then counted inside the components found, in blocks of at most BLOCK nodes.
+A pair is missed if no pass brings it near. The recall depends on how alike the vectors of a label are; it is measured in
+the tests and given in the README. `exact` compares all pairs of a label instead, in blocks, whose work grows with the
+square of a label's nodes; the tests hold the passes against it.
+
+Passes are made `TOGETHER` at a time: their orders are one table of that many rows a node, written to the shared folder and
+deleted after use. A block of it gives at most one link a row, to the node that stands for its component there.
 
 Vectors that are null, zero, of a null label, or hold a null or a non-finite component link with nothing and are kept
 as their own component. A null vec_id is compared like others; a component's id is its smallest vec_id that is not
-null, or null. Rows that repeat a vec_id are separate vectors.
+null, or null. Rows that repeat a vec_id are separate vectors. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import connected_components, read, stored
+from tidemark.llm.common import connected_components, discard, read, stored
 from tidemark.llm.registry import register
 
 COSINE = 0.98
 #: Nodes of a label that meet as many others at a time.
 PART = 2048
 BITS = 60
-WINDOW = 40
-#: In passes: nodes of the order in a task, and of a component that meet at a time.
-BLOCK = 512
+#: Passes, nodes of the order that a node is compared with in each, and passes of one plan.
+PASSES, WINDOW, TOGETHER = 48, 100, 8
+#: Nodes of the order in a block, and of a component that meet at a time.
+ORDER_BLOCK, BLOCK = 2048, 512
 SEED = 11
 
 
@@ -45,72 +49,110 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return embeddings.where(v.isNotNull() & F.col("label").isNotNull()).where(good).where(norm > 0)
 
 
-def _keys(n_bits: int, number: int):
-    @F.pandas_udf("long")
-    def key(v: pd.Series) -> pd.Series:
+def _keys(numbers: range):
+    """For each vector its key in each of the passes."""
+    weights = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+
+    @F.pandas_udf("array<long>")
+    def keys(v: pd.Series) -> pd.Series:
         sizes = v.map(len)
-        out = np.zeros(len(v), np.int64)
+        out = np.zeros((len(v), len(numbers)), np.int64)
         for d in sizes.unique():
             mine = (sizes == d).to_numpy()
-            planes = np.random.default_rng([SEED, number, int(d)]).normal(size=(int(d), n_bits))
-            signs = np.stack(v[mine].to_list()) @ planes > 0
-            out[mine] = signs @ (np.int64(1) << np.arange(n_bits - 1, -1, -1, dtype=np.int64))
-        return pd.Series(out)
+            x = np.stack(v[mine].to_list())
+            for k, number in enumerate(numbers):
+                planes = np.random.default_rng([SEED, number, int(d)]).normal(size=(int(d), BITS))
+                out[mine, k] = (x @ planes > 0) @ weights
+        return pd.Series(list(out))
 
-    return key
+    return keys
 
 
 def unit(rows: pd.Series) -> np.ndarray:
-    """Vectors of one dimension scaled to length one; scaled by their largest part first, so that none overflows."""
-    x = np.stack(rows.to_list()).astype(float)
+    """Vectors of one dimension scaled to length one."""
+    return scaled(np.stack(rows.to_list()).astype(float))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; by their largest part first, so that none overflows."""
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def standing_for(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the least place reachable over the links (a, b)."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
 def _windows(window: int, cosine: float):
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place").reset_index(drop=True)
-        out = [np.empty((0, 2), np.int64)]
-        for _, same in pdf.groupby(["label", "d"]):
-            x, node, own = unit(same["v"]), same["node"].to_numpy(), same["own"].to_numpy()
+    def compare(block: pa.Table) -> pa.Table:
+        block = block.sort_by("place").combine_chunks()
+        node, group = block["node"].to_numpy(), [block[c].to_numpy() for c in ("pass", "label", "d")]
+        change = np.zeros(len(node), bool)
+        for g in group:
+            change[1:] |= g[1:] != g[:-1]
+        edges = [0, *np.flatnonzero(change).tolist(), len(node)]
+        found = []
+        for begin, end in zip(edges, edges[1:]):
+            d = int(group[2][begin])
+            x = scaled(block["v"].slice(begin, end - begin).combine_chunks().flatten().to_numpy().reshape(-1, d))
+            pairs = []
             for step in range(1, min(window, len(x) - 1) + 1):
-                near = (x[:-step] * x[step:]).sum(1) >= cosine
-                near &= own[:-step]
-                out.append(np.stack([node[:-step][near], node[step:][near]], 1))
-        pairs = np.concatenate(out)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                near = np.flatnonzero((x[:-step] * x[step:]).sum(1) >= cosine)
+                pairs.append((near, near + step))
+            if not pairs:
+                continue
+            a, b = (np.concatenate(side) for side in zip(*pairs))
+            low = standing_for(len(x), a, b)
+            linked = np.flatnonzero(low != np.arange(len(x)))
+            found.append((node[begin + linked], node[begin + low[linked]]))
+        a, b = (np.concatenate(side) for side in zip(*found)) if found else ([], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return compare
 
 
-def _order(nodes: DataFrame, number: int) -> DataFrame:
-    """(node, label, d, v, place): places count up in the order of label, dimension and key."""
-    spark = nodes.sparkSession
-    keyed = nodes.withColumn("key", _keys(BITS, number)("v"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = keyed.repartitionByRange(parts, "label", "d", "key", "node").sortWithinPartitions("label", "d", "key", "node")
+def _order(nodes: DataFrame, numbers: range) -> DataFrame:
+    """(node, label, d, v, pass, at): `at` counts up in the order of pass, label, dimension and key."""
+    keyed = nodes.select("*", F.posexplode(_keys(numbers)("v")).alias("pass", "key"))
+    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = ["pass", "label", "d", "key", "node"]
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # the low 33 bits count the rows of a partition, the high ones number the partitions
-    ordered = stored(ordered.withColumn("at", F.monotonically_increasing_id()).drop("key"), "order")
+    return stored(ordered.withColumn("at", F.monotonically_increasing_id()).drop("key"), "order")
+
+
+def _placed(ordered: DataFrame) -> DataFrame:
+    """The order with `place`, a number without gaps."""
     part = F.shiftright("at", 33)
     sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     # a row per partition of the order: as many as tasks
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     placed = ordered.withColumn("part", part).join(before, "part")
-    return placed.select("node", "label", "d", "v", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
+    return placed.select("node", "label", "d", "v", "pass", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
 
 
 def links(nodes: DataFrame, cosine: float, passes: int, window: int) -> DataFrame:
-    """The (a, b) found in the passes; nodes: (node, label, d, v)."""
+    """(a, b): each node that has links found in the passes, with one that stands for its component; nodes: (node, label, d, v)."""
     found = None
-    for number in range(passes):
-        placed = _order(nodes, number)
-        block = F.floor(F.col("place") / BLOCK)
+    for first in range(0, passes, TOGETHER):
+        ordered = _order(nodes, range(first, min(first + TOGETHER, passes)))
+        placed = _placed(ordered)
+        block = F.floor(F.col("place") / ORDER_BLOCK)
         # a block also gets the first `window` nodes of the next blocks
-        reach = F.floor((F.col("place") - window) / BLOCK)
+        reach = F.floor((F.col("place") - window) / ORDER_BLOCK)
         each = placed.withColumn("block", F.explode(F.sequence(F.greatest(reach, F.lit(0)), block)))
-        each = each.withColumn("own", F.col("block") == block)
-        # each pass is a plan of its own, so that the driver never holds all of them as one
-        some = stored(each.groupBy("block").applyInPandas(_windows(window, cosine), "a bigint, b bigint"), "links")
+        # each plan ends here, so that the driver never holds all passes as one
+        some = stored(each.groupBy("block").applyInArrow(_windows(window, cosine), "a bigint, b bigint").distinct(), "links")
+        discard(ordered)
         found = some if found is None else found.unionByName(some)
     return found.distinct()
 
@@ -212,9 +254,9 @@ def all_links(nodes: DataFrame, cosine: float, part: int = PART) -> DataFrame:
 
 
 def near_duplicates(
-    embeddings: DataFrame, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW
+    embeddings: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, exact: bool = False
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row; approximate where a number of passes is given."""
+    """(vec_id, n_links, component_id, kept) of every row, by sorted passes, or by all pairs of a label if `exact`."""
     rows = embeddings.select(
         F.col("vec_id").cast("long"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v")
     )
@@ -222,11 +264,13 @@ def near_duplicates(
     good = usable(rows)
     nodes = good.groupBy("label", "v").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min("vec_id").alias("one"))
     nodes = stored(nodes.withColumn("d", F.size("v")), "vector-nodes")
-    if passes is None:
+    if exact:
         met = all_links(nodes.select("node", "label", "d", "v", "copies"), cosine)
         found = connected_components(met.select(F.col("node").alias("a"), F.col("low").alias("b")))
         more = met.groupBy("node").agg(F.sum("more").alias("more"))
     else:
+        largest = nodes.groupBy("label", "d").count().agg(F.max("count")).first()[0] or 0
+        passes = passes if largest > window + 1 else 1
         found = connected_components(links(nodes.select("node", "label", "d", "v"), cosine, passes, window))
         more = link_counts(nodes.join(found, "node").select("node", "component", "copies", "v"), cosine)
     whole = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
