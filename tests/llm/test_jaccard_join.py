@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import jaccard_join as jj
@@ -133,3 +134,91 @@ def test_wide_parities_never_exceed_the_differences(spark):
     assert got[3][0] == 0 and all(k > 0.4 * d for k, d in got[:2])
     none = found.select(wide_apart(F.col("p"), F.lit(None).cast("array<bigint>")).alias("k"))
     assert none.where("k is not null").isEmpty()
+
+
+def similar_pair(rng, n):
+    """Two sets of about n elements whose similarity is just 0.8 or more."""
+    a = rng.integers(0, 2**63, n, dtype=np.uint64)
+    most = jj.most_differences(n)
+    gone, new = int(rng.integers(0, most + 1)), int(rng.integers(0, most + 1))
+    b = np.concatenate([a[gone:], rng.integers(0, 2**63, new, dtype=np.uint64)])
+    return np.unique(a), np.unique(b)
+
+
+def test_similar_sets_share_more_signatures_than_each_can_spare():
+    rng, tried = np.random.default_rng(4), 0
+    for _ in range(6000):
+        a, b = similar_pair(rng, int(rng.integers(1, 400)))
+        common = len(np.intersect1d(a, b))
+        if not common or 100 * common < jj.PERCENT * (len(a) + len(b) - common):
+            continue
+        tried += 1
+        shared = np.intersect1d(jj.signatures(a, False), jj.signatures(b, False))
+        promised = []
+        for h in (a, b):
+            for band, spare in zip(jj.bands_of(len(h)), jj.spare_signatures(h)):
+                promised.append((band, spare))
+        both = set(jj.bands_of(len(a))) & set(jj.bands_of(len(b)))
+        assert both
+        for band in both:
+            own = int((shared & np.uint64(1) == np.uint64(band & 1)).sum())
+            assert own > max(s for x, s in promised if x == band), (len(a), len(b), common, band)
+    assert tried > 1500
+
+
+def check(spark, rows, **options):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jj.components(docs, **options).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(rows)
+
+
+def test_hot_passage_loses_no_link(spark):
+    """Most documents hold one passage: its signatures are the most frequent ones and go first."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = []
+    for k in range(150):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([15, 40, 120]))]
+        rows.append((len(rows) + 1, " ".join(own) + " " + passage))
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            changed = list(own)
+            for _ in range(rng.randint(0, 3)):
+                changed[rng.randrange(len(changed))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows) + 1, " ".join(changed) + " " + passage))
+    check(spark, rows)
+
+
+def test_large_group_of_near_copies_in_small_blocks(spark, monkeypatch):
+    """Copies that each differ in a few words, near the threshold, in blocks of few nodes and with many rounds."""
+    monkeypatch.setattr(jj._across_close, "__defaults__", (7,))
+    rng = random.Random(10)
+    base = [f"b{k}" for k in range(100)]
+    rows = []
+    for k in range(160):
+        own = list(base)
+        for _ in range(rng.randint(1, 5)):
+            own[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+        rows.append((k + 1, " ".join(own)))
+    check(spark, rows, small=2)
+
+
+def test_bucket_of_a_third_of_all_rows_is_split(spark):
+    n = 60_000
+    rows = spark.range(0, n, 1, 6).selectExpr("IF(id % 3 = 0, 7L, id) AS sig", "id AS node")
+    names = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        df = jj.joined_apart(rows, rows.groupBy("sig").agg(F.min("node").alias("a")), "sig")
+        assert df.where("sig = 7").count() == n // 3 + 1
+        df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

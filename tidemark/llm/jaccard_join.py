@@ -6,14 +6,18 @@ same number of partitions, so many that every similar partner has at least one p
 elements, and not none; its content is a signature. A set just below a band's end also takes the next band's
 signatures. Where a set has too few partitions with elements for that promise, it signs its empty ones too.
 
-Texts with the same set are one node from the start. Signatures held by two nodes or more are kept. In each bucket
+Texts with the same set are one node from the start. Signatures held by two nodes or more are kept. A similar partner
+shares not one signature of a band with a set but all except one for each difference, so in any one order of all signatures
+the first shared one stands before as many others. In the order from rare to frequent each node therefore gives up its most
+frequent ones, as many as the promise is better than one (prefix filtering): what a passage common to many documents
+signs goes, and no pair of similar sets is lost. In each bucket that is left
 the smallest node meets the others; if several components are left in a bucket of at most SMALL nodes, all pairs across
 them meet. Pairs pass an exact filter (sizes, and parities of the elements by hash bits, which differ in no more places
 than the sets do; long sets have a bit per element) and are then verified on the sets, each pair once. Verified pairs
 are merged into components. Nodes of larger buckets that still hold several components get stronger signatures: partitions with room for one difference, cut in four, of which each three make a signature
 (second level of PartEnum). If some of those buckets are still large and unsettled, more and more of their nodes, 4,
-16, 64, ..., meet all others until every pair of components has met: exact, and only reached by data made for it. So
-no bucket is capped or dropped.
+32, 256, ... of those outside the component with most nodes there, meet all others until every pair of components has
+met: exact, and only reached by data made for it. So no bucket is capped or dropped.
 
 A null or empty text, or one without words, has no shingles, links with nothing and is its own component; a null
 doc_id belongs to the component of its set if others have it, else its component is null. Rows that repeat a doc_id
@@ -26,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, map_arrow, read, stored
+from tidemark.llm.common import connected_components, discard, joined_apart, map_arrow, read, stored
 from tidemark.llm.hashing import byte_class, mix, word_hashes
 from tidemark.llm.registry import register
 
@@ -41,6 +45,8 @@ PERCENT = 80
 SMALL = 16
 #: Ids (with nodes, 16 bytes a row) that are broadcast rather than joined by a shuffle of the texts.
 MOST_SENT = 1_000_000
+#: Nodes of a bucket that meet as many others at a time.
+PART = 2048
 #: 64-bit words of the parity sketch.
 PARITY_WORDS = 16
 _ODD = [np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64) for k in range(1, SHINGLE + 1)]
@@ -74,19 +80,40 @@ def most_differences(n: int, percent: int = PERCENT) -> int:
     return n * (100 - percent) // percent
 
 
+def bands_of(n: int, percent: int = PERCENT) -> list[int]:
+    """The bands whose signatures a set of n elements takes: its own, and the next one if a partner can lie there."""
+    band = band_of(n)
+    return [band] + [band + 1] * (100 * n >= percent * 2 ** (band + 1))
+
+
+def groups_of(band: int, strong: bool, percent: int = PERCENT) -> int:
+    """The partitions of a band: more than the differences of two of its sets."""
+    largest = 2 ** (band + 1) - 1
+    k = 2 * largest * (100 - percent) // (100 + percent)
+    return k // 2 + 1 if strong else k + 1 + (k + 1) // 4
+
+
+def cells_of(h: np.ndarray, cells: int) -> np.ndarray:
+    """The cell of each element; multiply-shift of the high half: monotone in the hash, so that cells are runs of the sorted set."""
+    return (((h >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
+
+
+def spare_signatures(h: np.ndarray, percent: int = PERCENT) -> list[int]:
+    """For the own and the next band, how many signatures shared with any similar partner a set has beyond one."""
+    out = []
+    for b in bands_of(len(h), percent):
+        filled = 1 + int(np.count_nonzero(np.diff(cells_of(h, groups_of(b, False, percent)))))
+        out.append(max(0, filled - most_differences(len(h), percent) - 1))
+    return out + [0] * (2 - len(out))
+
+
 def signatures(h: np.ndarray, strong: bool, percent: int = PERCENT) -> np.ndarray:
-    """The signatures of one set (sorted hashes)."""
+    """The signatures of one set (sorted hashes); the lowest bit is that of the band."""
     n, out = len(h), []
-    band = band_of(n)
-    top = 2 ** (band + 1)
-    bands = [band] + [band + 1] * (100 * n >= percent * top)
-    for b in bands:
-        largest = 2 ** (b + 1) - 1
-        k = 2 * largest * (100 - percent) // (100 + percent)  # differences of two sets of this band
-        groups = k // 2 + 1 if strong else k + 1 + (k + 1) // 4
+    for b in bands_of(n, percent):
+        groups = groups_of(b, strong, percent)
         cells = 4 * groups if strong else groups
-        # multiply-shift of the high half: monotone in the hash, so that cells are runs of the sorted set
-        cell = (((h >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
+        cell = cells_of(h, cells)
         sums = np.zeros(cells, np.uint64)
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         sums[cell[first]] = np.add.reduceat(mix(h + np.uint64(1)), first)
@@ -98,13 +125,13 @@ def signatures(h: np.ndarray, strong: bool, percent: int = PERCENT) -> np.ndarra
             filled = part != 0
             # a group with one difference at most; both sets have elements in the three equal quarters, or sign all
             enough = int((filled.sum(1) == 4).sum()) > most_differences(n, percent) // 2
-            keep = filled if enough else np.ones_like(filled)
-            out.append(mix(part * np.uint64(0x9E3779B97F4A7C15) + mix(which + salt))[keep])
         else:
-            which = np.arange(groups, dtype=np.uint64)
+            part, which = sums, np.arange(groups, dtype=np.uint64)
             filled = sums != 0
-            keep = filled if int(filled.sum()) > most_differences(n, percent) else np.ones_like(filled)
-            out.append(mix(sums * np.uint64(0x9E3779B97F4A7C15) + mix(which + salt))[keep])
+            enough = int(filled.sum()) > most_differences(n, percent)
+        keep = filled if enough else np.ones_like(filled)
+        own = mix(part * np.uint64(0x9E3779B97F4A7C15) + mix(which + salt))[keep]
+        out.append(own & ~np.uint64(1) | np.uint64(b & 1))
     return np.unique(np.concatenate(out))
 
 
@@ -138,8 +165,8 @@ def _set_hash(h: np.ndarray) -> int:
     return int(mix(mix(h).sum(dtype=np.uint64)[None] + np.uint64(len(h))).view(np.int64)[0])
 
 
-def with_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, parity, wide) of every document; node is null without shingles."""
+def with_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, node, parity, wide, spare) of every document; node is null without shingles."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,11 +178,12 @@ def with_sets(docs: DataFrame) -> DataFrame:
                     pa.array([_set_hash(h) if len(h) else None for h in sets], pa.int64()),
                     pa.array([parities(h) if len(h) else None for h in sets], pa.list_(pa.int64())),
                     pa.array([wide_parities(h) for h in sets], pa.list_(pa.int64())),
+                    pa.array([spare_signatures(h, percent) if len(h) else None for h in sets], pa.list_(pa.int32())),
                 ],
-                ["doc_id", "n_shingles", "node", "parity", "wide"],
+                ["doc_id", "n_shingles", "node", "parity", "wide", "spare"],
             )
 
-    schema = "doc_id bigint, n_shingles bigint, node bigint, parity array<bigint>, wide array<bigint>"
+    schema = "doc_id bigint, n_shingles bigint, node bigint, parity array<bigint>, wide array<bigint>, spare array<int>"
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), rows, schema)
 
 
@@ -207,6 +235,18 @@ def shared(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(repeated, "sig bigint, node bigint")
 
 
+def rarest(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The (sig, node) without the most frequent signatures of each node, as many as its band can spare."""
+    sizes = rows.groupBy("sig").agg(F.count("*").alias("n"))
+    band = F.length(F.bin("n_shingles")) - 1
+    own = nodes.select("node", "spare", band.bitwiseAND(1).alias("own_bit"))
+    counted = joined_apart(rows, sizes, "sig").join(own, "node")
+    bit = F.col("sig").bitwiseAND(1)
+    by = Window.partitionBy("node", bit).orderBy(F.desc("n"), "sig")  # the signatures of one set
+    spare = F.when(bit == F.col("own_bit"), F.col("spare")[0]).otherwise(F.col("spare")[1])
+    return counted.withColumn("rank", F.row_number().over(by)).where(F.col("rank") > spare).select("sig", "node")
+
+
 def with_texts(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
     """The documents of some doc_ids: those are broadcast if they are at most MOST_SENT, else both sides are shuffled."""
     ids = stored(ids, "ids")
@@ -231,7 +271,7 @@ def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(close: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of stored pairs (a, b, doc_a, doc_b) that are similar, by their sets."""
+    """The (a, b) of stored pairs (a, b, doc_a, doc_b) that are similar, by their sets; a stored table."""
     wanted = close.select(F.col("a").alias("node"), F.col("doc_a").alias("doc_id"))
     wanted = wanted.unionByName(close.select(F.col("b").alias("node"), F.col("doc_b").alias("doc_id"))).distinct()
 
@@ -250,7 +290,9 @@ def verified(close: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     full = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("h_b")), "b")
     common = F.size(F.array_intersect("h_a", "h_b"))
     union = F.size("h_a") + F.size("h_b") - common
-    return full.where(100 * common >= percent * union).select("a", "b")
+    links = stored(full.where(100 * common >= percent * union).select("a", "b"), "links")
+    discard(sets)
+    return links
 
 
 class _Groups:
@@ -271,7 +313,7 @@ class _Groups:
             return
         met = close.select("a", "b")
         self.met = met if self.met is None else self.met.unionByName(met)
-        found = stored(verified(close, self.docs, self.percent), "links")
+        found = verified(close, self.docs, self.percent)
         if self.components is not None:
             if found.isEmpty():
                 return
@@ -279,70 +321,117 @@ class _Groups:
         self.components = stored(connected_components(found), "components")
 
     def unsettled(self, rows: DataFrame) -> DataFrame:
-        """(sig, node, component, n) of the buckets that hold several components; n: their nodes."""
+        """(sig, node, component, main, n) of the buckets that hold several components; main: the one with most nodes, n: all nodes."""
         known = rows.join(self.components, "node", "left")
         known = known.withColumn("component", F.coalesce("component", "node"))
-        spread = known.groupBy("sig").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
+        sizes = known.groupBy("sig", "component").agg(F.count("*").alias("size"))
+        spread = sizes.groupBy("sig").agg(
+            F.max(F.struct("size", "component"))["component"].alias("main"), F.sum("size").alias("n"), F.count("*").alias("several")
         )
-        return known.join(spread.where("low != high").select("sig", "n"), "sig")
+        return joined_apart(known, spread.where("several > 1").select("sig", "main", "n"), "sig")
 
 
 def _star(rows: DataFrame) -> DataFrame:
     """The smallest node of each bucket with every other."""
     low = rows.groupBy("sig").agg(F.min("node").alias("a"))
-    return rows.join(low, "sig").where("node != a").select("a", F.col("node").alias("b")).distinct()
+    return joined_apart(rows, low, "sig").where("node != a").select("a", F.col("node").alias("b")).distinct()
 
 
 def _first_pairs(rows: DataFrame, small: int) -> DataFrame:
     """All pairs of buckets of at most `small` nodes; in larger ones the smallest node with every other."""
     sizes = rows.groupBy("sig").agg(F.min("node").alias("a"), F.count("*").alias("n"))
-    star = rows.join(sizes.where(F.col("n") > small), "sig").where("node != a").select("a", F.col("node").alias("b"))
+    star = joined_apart(rows, sizes.where(F.col("n") > small), "sig").where("node != a").select("a", F.col("node").alias("b"))
     few = rows.join(sizes.where(F.col("n") <= small).select("sig"), "sig")
     two = few.select("sig", F.col("node").alias("a")).join(few.select("sig", F.col("node").alias("b")), "sig").where("a < b")
     return star.unionByName(two.select("a", "b")).distinct()
 
 
 def _across(rows: DataFrame, firsts: Column | None = None) -> DataFrame:
-    """The pairs of a bucket's nodes in different components; firsts: which nodes are on one side."""
-    one = rows if firsts is None else rows.where(firsts)
+    """The pairs of a bucket's nodes in different components; firsts: which nodes outside the main component meet the others.
+
+    Of each such pair one node is outside the main component, so nodes of a large group that is one component do not
+    meet one another.
+    """
+    one = rows.where("component != main")
+    one = one if firsts is None else one.where(firsts)
     left = one.select("sig", F.col("node").alias("x"), F.col("component").alias("c"))
     met = rows.join(left, "sig").where("component != c")
-    if firsts is None:
-        met = met.where("x < node")
     return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
+def _close_pairs(percent: int):
+    def meet(block: pa.Table) -> pa.Table:
+        i, j = block["i"][0].as_py(), block["j"][0].as_py()
+        part, node = block["part"].to_numpy(), block["node"].to_numpy()
+        component, first = block["component"].to_numpy(), block["first"].to_numpy()
+        size = block["n_shingles"].to_numpy()
+        parity = block["parity"].combine_chunks().flatten().to_numpy().reshape(len(node), -1).view(np.uint64)
+        found = []
+        for one, two in {(i, j), (j, i)}:
+            a, b = np.flatnonzero((part == one) & first), np.flatnonzero(part == two)
+            for at in range(0, len(a), 256):
+                some = a[at : at + 256]
+                close = component[some][:, None] != component[b]
+                low, high = np.minimum(size[some][:, None], size[b]), np.maximum(size[some][:, None], size[b])
+                close &= 100 * low >= percent * high
+                x, y = np.nonzero(close)
+                x, y = some[x], b[y]
+                apart = np.bitwise_count(parity[x] ^ parity[y]).sum(1, dtype=np.int64)
+                near = apart * (100 + percent) <= (size[x] + size[y]) * (100 - percent)
+                found.append(np.stack([node[x[near]], node[y[near]]]))
+        pairs = np.sort(np.concatenate(found, 1), 0) if found else np.empty((2, 0), np.int64)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    return meet
+
+
+def _across_close(rows: DataFrame, firsts: Column, percent: int, part: int = PART) -> DataFrame:
+    """The pairs of `_across` that pass the filter by sizes and parities, found in blocks of at most `part` nodes a side.
+
+    rows: (sig, node, component, main, n, n_shingles, parity). A pair that fails is never written, and none is written
+    for each bucket that it shares.
+    """
+    parts = F.ceil(F.col("n") / part).cast("int")
+    dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("first", (F.col("component") != F.col("main")) & firsts)
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
+    met = met.select("sig", "i", "j", "part", "node", "component", "first", "n_shingles", "parity")
+    return met.groupBy("sig", "i", "j").applyInArrow(_close_pairs(percent), "a bigint, b bigint").distinct()
+
+
 def _settle_large(groups: _Groups, rows: DataFrame) -> None:
     """More and more nodes of each bucket meet all others until no bucket holds a pair that has not met."""
     rank = F.xxhash64("node")
     share = 4
-    rows = stored(rows.drop("component", "n"), "large")
-    sizes = rows.groupBy("sig").agg(F.count("*").alias("n"))
-    most = sizes.agg(F.max("n")).first()[0]
+    rows = stored(rows.select("sig", "node").join(groups.nodes.select("node", "n_shingles", "parity"), "node"), "large")
+    most = rows.groupBy("sig").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     while True:
         left = groups.unsettled(rows)
         if left.isEmpty():
             return
         # about `share` nodes of each bucket by a hash; at the end all
         chosen = F.lit(True) if share >= most else (F.pmod(rank, F.col("n")) < share)
-        groups.meet(_across(left, chosen))
+        groups.meet(_across_close(left, chosen, groups.percent))
         if share >= most:
             return
-        share *= 4
+        share *= 8
 
 
 def components(docs: DataFrame, percent: int = PERCENT, small: int = SMALL) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    sets = stored(with_sets(docs), "shingle-sets")
+    sets = stored(with_sets(docs, percent), "shingle-sets")
     nodes = sets.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
     nodes = nodes.groupBy("node").agg(
-        F.min("doc_id").alias("one"), F.max("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"), F.first("wide").alias("wide")
-    )
+        F.min("doc_id").alias("one"), F.max("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"), F.first("wide").alias("wide"),
+        F.first("spare").alias("spare"),
+    )
     nodes = stored(nodes, "nodes")
     groups = _Groups(nodes, docs, percent)
     texts = docs.where(F.col("doc_id").isNotNull())
-    weak = stored(shared(signed(texts, False, percent)), "signatures")
+    every = stored(shared(signed(texts, False, percent)), "signatures")
+    weak = stored(rarest(every, nodes), "rarest")
+    discard(every)
     groups.meet(_star(weak))
     left = stored(groups.unsettled(weak), "unsettled")
     groups.meet(_across(left.where(F.col("n") <= small)))
@@ -372,7 +461,7 @@ def components(docs: DataFrame, percent: int = PERCENT, small: int = SMALL) -> D
         lowest.select(F.hash("component").alias("h"), "component", "component_id"), ["h", "component"]
     )
     return (
-        sets.drop("parity", "wide")
+        sets.drop("parity", "wide", "spare")
         .join(ids.select("node", "component_id"), "node", "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     )
