@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tidemark.llm import decontaminate, line_dedup
 
@@ -43,6 +44,44 @@ def test_lines_against_search(spark):
     assert line_dedup.remove_boilerplate(frame(spark, [])).collect() == []
 
 
+def test_very_long_documents(spark):
+    """Thousands of removed lines in one text take time in proportion to its lines."""
+    shared = [f"shared {k}" for k in range(12_000)]
+    rows = [(i, "\n".join(shared + [f"own {i} {k}" for k in range(2_000)]), f"s{i}") for i in range(11)]
+    began = time.monotonic()
+    out = {r.doc_id: r for r in line_dedup.remove_boilerplate(frame(spark, rows)).collect()}
+    assert time.monotonic() - began < 60
+    assert out[0].text == rows[0][1] and out[0].n_removed == 0
+    for i in range(1, 11):
+        assert (out[i].n_lines, out[i].n_removed) == (14_000, 12_000)
+        assert out[i].text == "\n".join(f"own {i} {k}" for k in range(2_000))
+
+
+def test_line_on_a_third_of_all_rows_is_split(spark):
+    n = 20_000
+    rows = spark.range(0, n, 1, 6).selectExpr(
+        "id AS doc_id", "concat('own ', id, if(id % 3 = 0, '\nhot line', '')) AS text", "concat('s', id % 40) AS source"
+    )
+    names = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        df = line_dedup.remove_boilerplate(rows)
+        got = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r.n_removed for r in got) == (n + 2) // 3 - 1
+    assert "skew=true" in plan
+
+
 def plain_contamination(rows, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
     wins = {}

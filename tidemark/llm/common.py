@@ -77,14 +77,14 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def joined_apart(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def joined_apart(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
     """Inner join on `key` of many rows with one row per key that comes out of an aggregate on it.
 
     The join is made on another form of the key, so that Spark shuffles both sides for the join itself; only then can
     it split a key that holds very many rows of the left side.
     """
-    own = left.withColumn("_left", F.struct(key))
-    other = right.withColumn("_right", F.struct(key)).drop(key)
+    own = left.withColumn("_left", F.struct(*key))
+    other = right.withColumn("_right", F.struct(*key)).drop(*key)
     return own.join(other, F.col("_left") == F.col("_right")).drop("_left", "_right")
 
 

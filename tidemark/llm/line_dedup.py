@@ -10,8 +10,8 @@ A line is identified by two 64-bit hashes with different seeds, together 128 bit
 never shuffled.
 
 DataFrame functions only. Line hashes are reduced to sketches before the shuffle; the few candidate lines are then
-joined back, where a line that holds a third of all rows is split by the skew join. Texts are shuffled once, to
-meet the positions of their removed lines.
+joined back by joins that shuffle both sides for themselves, so that a line that holds a third of all rows is split.
+Texts are shuffled once, to meet the positions of their removed lines.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read
+from tidemark.llm.common import joined_apart, read
 from tidemark.llm.registry import register
 
 #: Sites from which a line counts as boilerplate.
@@ -57,18 +57,17 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -
     """(boilerplate lines, occurrences of candidate lines).
 
     Within three standard errors of the threshold the sites are counted exactly; below, a line is left alone, and
-    above, it is boilerplate by its sketch.
+    above, it is boilerplate by its sketch, and its sites are not counted again.
     """
     margin = math.ceil(3 * 1.04 / math.sqrt(2**lg_k) * min_sites)
     lines = lines_of(docs)
     candidates = line_spread(lines, lg_k).where(F.col("sites_estimate") >= min_sites - margin)
     candidates = candidates.select("line_hash", (F.col("sites_estimate") <= min_sites + margin).alias("near"))
-    found = lines.join(candidates, "line_hash")
-    per_site = found.groupBy("line_hash", "line_hash_2", "near", "site").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    found = joined_apart(lines, candidates, "line_hash")
+    counted_site = F.when(F.col("near"), F.col("site")).alias("site")
+    per_site = found.groupBy("line_hash", "line_hash_2", "near", counted_site).agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     counted = per_site.groupBy("line_hash", "line_hash_2", "near").agg(F.count("*").alias("sites"), F.min("first").alias("first"))
-    chosen = counted.where(~F.col("near") | (F.col("sites") >= min_sites)).select(
-        "line_hash", "line_hash_2", "sites", "first"
-    )
+    chosen = counted.where(~F.col("near") | (F.col("sites") >= min_sites)).select("line_hash", "line_hash_2", "first")
     return chosen, found
 
 
@@ -77,7 +76,7 @@ def remove_boilerplate(
 ) -> DataFrame:
     """The documents with boilerplate lines taken out of `text`, with n_lines (not blank, before) and n_removed."""
     chosen, found = boilerplate(docs, min_sites, lg_k)
-    hits = found.join(chosen, ["line_hash", "line_hash_2"])
+    hits = joined_apart(found, chosen, "line_hash", "line_hash_2")
     if keep_first:
         hits = hits.where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
     gone = hits.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).agg(
@@ -89,7 +88,9 @@ def remove_boilerplate(
         gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("own_hash") == F.col("gone_hash")), "left"
     )
     parts = _parts(F.col("text"))
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("gone_lines"), i)), "\n")
+    # the places that are left, found by one pass over a hash set
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone_lines"))
+    kept = F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n")
     return joined.select(
         *[c for c in own if c != "text"],
         F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(kept).alias("text"),
