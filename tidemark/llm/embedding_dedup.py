@@ -59,7 +59,7 @@ def _keys(numbers: range):
         out = np.zeros((len(v), len(numbers)), np.int64)
         for d in sizes.unique():
             mine = (sizes == d).to_numpy()
-            x = np.stack(v[mine].to_list())
+            x = np.stack(v[mine].to_list()).astype(float)
             for k, number in enumerate(numbers):
                 planes = np.random.default_rng([SEED, number, int(d)]).normal(size=(int(d), BITS))
                 out[mine, k] = (x @ planes > 0) @ weights
@@ -103,7 +103,8 @@ def _windows(window: int, cosine: float):
         found = []
         for begin, end in zip(edges, edges[1:]):
             d = int(group[2][begin])
-            x = scaled(block["v"].slice(begin, end - begin).combine_chunks().flatten().to_numpy().reshape(-1, d))
+            x = block["v"].slice(begin, end - begin).combine_chunks().flatten().to_numpy().astype(float)
+            x = scaled(x.reshape(-1, d))
             pairs = []
             for step in range(1, min(window, len(x) - 1) + 1):
                 near = np.flatnonzero((x[:-step] * x[step:]).sum(1) >= cosine)
@@ -141,7 +142,10 @@ def _placed(ordered: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, cosine: float, passes: int, window: int) -> DataFrame:
-    """(a, b): each node that has links found in the passes, with one that stands for its component; nodes: (node, label, d, v)."""
+    """(a, b): each node that has links found in the passes, with one that stands for its component; nodes: (node, label, d, v).
+
+    `v` may hold floats; they are compared as doubles.
+    """
     found = None
     for first in range(0, passes, TOGETHER):
         ordered = _order(nodes, range(first, min(first + TOGETHER, passes)))
@@ -271,7 +275,9 @@ def near_duplicates(
     else:
         largest = nodes.groupBy("label", "d").count().agg(F.max("count")).first()[0] or 0
         passes = passes if largest > window + 1 else 1
-        found = connected_components(links(nodes.select("node", "label", "d", "v"), cosine, passes, window))
+        # the orders carry the vectors in the type they came in
+        v = F.col("v").cast(embeddings.schema["embedding"].dataType).alias("v")
+        found = connected_components(links(nodes.select("node", "label", "d", v), cosine, passes, window))
         more = link_counts(nodes.join(found, "node").select("node", "component", "copies", "v"), cosine)
     whole = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = whole.groupBy("component").agg(F.min("one").alias("component_id"))
