@@ -1,5 +1,6 @@
 """The chain against all labellings, gradients by differences, held-out accuracy, odd rows."""
 
+import math
 import itertools
 import random
 
@@ -104,3 +105,51 @@ def test_quality_means_the_same_under_caps(spark, monkeypatch):
     a, b = quality.scores(whole, texts), quality.scores(capped, texts)
     assert capped.prior == whole.prior and b[-1] == a[-1]
     assert abs(b.mean() - a.mean()) < 0.05
+
+
+def bucket_of(gram):
+    """The bucket of one n-gram: the only one of its own size in itself."""
+    return next(int(b[0]) for n, (_, b) in zip(toxicity.SIZES, toxicity.grams([gram])) if n == len(gram))
+
+
+def test_toxicity_against_a_plain_version():
+    """Counts, ratios, choice of features, regression and scores, all over sets of strings and a dense matrix."""
+    rng = random.Random(21)
+    mild, rude = "the cat sat on a mat and it rained".split(), "you are a vile zorgle grunk".split()
+    texts, y = [], []
+    for k in range(120):
+        label = int(rng.random() < 0.4)
+        words = rng.choices(mild, k=rng.randint(0, 12)) + rng.choices(rude if label else mild, k=rng.randint(0, 3))
+        rng.shuffle(words)
+        texts.append(" ".join(words).capitalize())
+        y.append(label)
+    y = np.array(y)
+    model = toxicity.fit(texts, y)
+    sets = [{t.lower()[i : i + n] for n in toxicity.SIZES for i in range(len(t) - n + 1)} for t in texts]
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    ratios = {}
+    for gram in set().union(*sets):
+        c1, c0 = (sum(gram in s for s, label in zip(sets, y) if label == k) for k in (1, 0))
+        share = (c1 + c0 + 1) / (n1 + n0 + 2)
+        z = (c1 / n1 - c0 / n0) / math.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
+        if abs(z) >= toxicity.MIN_Z:
+            ratios[gram] = math.log((c1 + 1) / (n1 + 2)) - math.log((c0 + 1) / (n0 + 2))
+    chosen = sorted(ratios, key=bucket_of)
+    assert len(chosen) > 20 and [bucket_of(g) for g in chosen] == model.buckets.tolist()
+    x = np.array([[ratios[g] * (g in s) for g in chosen] for s in sets])
+    even = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
+    step = 1 / (0.25 * np.mean(even * ((x * x).sum(1) + 1)) + toxicity.L2)
+    w = v = np.zeros(len(chosen))
+    b = c = 0.0
+    for k in range(toxicity.STEPS):
+        error = (1 / (1 + np.exp(-(x @ v + c))) - y) * even
+        new_w, new_b = v - step * (x.T @ error / len(y) + toxicity.L2 * v), c - step * error.mean()
+        v, c = new_w + k / (k + 3) * (new_w - w), new_b + k / (k + 3) * (new_b - b)
+        w, b = new_w, new_b
+    assert np.allclose(model.weights, w * [ratios[g] for g in chosen], rtol=1e-4, atol=1e-6) and np.isclose(model.bias, b, rtol=1e-4)
+    asked = [*texts, "", "zorgle", "THE CAT " * 3000]
+    for text, score in zip(asked, toxicity.scores(model, asked)):
+        own = {text.lower()[i : i + n] for n in toxicity.SIZES for i in range(len(text) - n + 1)}
+        odds = sum(model.weights[k] for k, g in enumerate(chosen) if g in own) + model.bias
+        assert np.isclose(score, 1 / (1 + math.exp(-odds)), atol=1e-5), text
+    assert toxicity.scores(model, texts)[y == 1].mean() > 0.8 > 0.3 > toxicity.scores(model, texts)[y == 0].mean()

@@ -2,7 +2,8 @@
 
 The features of a text are the hashed n-grams of code points (3 to 8, lower-cased, over word ends) that occur in it.
 Each is scaled by the log ratio of its document counts in the two classes; n-grams whose counts differ by chance only
-are left out, and a logistic regression, in which both classes weigh the same, weighs the rest.
+are left out, of the rest the MOST_FEATURES with the largest differences stay, and a logistic regression, in which
+both classes weigh the same, weighs these. The bound is one on the model, which is broadcast; texts are scored whole.
 
 Labels are learned from rows whose crc32 of the doc_id as text leaves a remainder mod 5 other than 0. The model is
 fitted on at most MOST_TOXIC and MOST_CLEAN labelled rows of each class, taken in the order of a hash of the doc_id;
