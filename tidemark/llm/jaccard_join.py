@@ -247,9 +247,8 @@ def rarest(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(by)).where(F.col("rank") > spare).select("sig", "node")
 
 
-def with_texts(docs: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
-    """The documents of some doc_ids: those are broadcast if they are at most MOST_SENT, else both sides are shuffled."""
-    ids = stored(ids, "ids")
+def with_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of some doc_ids, a stored table: those are broadcast if they are at most MOST_SENT, else both sides are shuffled."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return own.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "doc_id")
 
@@ -283,9 +282,11 @@ def verified(close: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), mine, found], ["node", "own", "hashes"])
 
     # a doc_id may have rows with other texts: only the set that the node stands for counts
+    wanted = stored(wanted, "ids")
     texts = with_texts(docs, wanted).select("node", "text")
     sets = map_arrow(texts, rows, "node bigint, own bigint, hashes array<bigint>").where("node = own").drop("own")
     sets = stored(sets.dropDuplicates(["node"]), "sets")
+    discard(wanted)
     left = close.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("h_a")), "a")
     full = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("h_b")), "b")
     common = F.size(F.array_intersect("h_a", "h_b"))
@@ -314,11 +315,14 @@ class _Groups:
         met = close.select("a", "b")
         self.met = met if self.met is None else self.met.unionByName(met)
         found = verified(close, self.docs, self.percent)
+        replaced = [found] if self.components is None else [found, self.components]
         if self.components is not None:
             if found.isEmpty():
+                discard(found)
                 return
             found = found.unionByName(self.components.select(F.col("node").alias("a"), F.col("component").alias("b")))
         self.components = stored(connected_components(found), "components")
+        discard(*replaced)
 
     def unsettled(self, rows: DataFrame) -> DataFrame:
         """(sig, node, component, main, n) of the buckets that hold several components; main: the one with most nodes, n: all nodes."""
@@ -438,9 +442,10 @@ def components(docs: DataFrame, percent: int = PERCENT, small: int = SMALL) -> D
     large = groups.unsettled(left.where(F.col("n") > small).select("sig", "node"))
     large = stored(large.select("node").distinct(), "large-nodes")
     if not large.isEmpty():
-        ids = large.join(nodes, "node").select(F.col("one").alias("doc_id"))
+        ids = stored(large.join(nodes, "node").select(F.col("one").alias("doc_id")), "ids")
         strong = shared(signed(with_texts(docs, ids).select("text"), True, percent)).join(large, "node", "left_semi")
         strong = stored(strong.select("sig", "node"), "signatures")
+        discard(ids, weak, left)
         groups.meet(_first_pairs(strong, small))
         last = stored(groups.unsettled(strong).where(F.col("n") > small), "unsettled")
         if not last.isEmpty():
