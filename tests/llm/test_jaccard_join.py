@@ -222,3 +222,68 @@ def test_bucket_of_a_third_of_all_rows_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+class _Columns:
+    """Stands for a table whose rows a test gives itself."""
+
+    def select(self, *columns):
+        return self
+
+
+@pytest.mark.parametrize("step", ["with_sets", "signed"])
+def test_texts_of_a_batch_are_hashed_together(spark, monkeypatch, step):
+    """The array operations of a batch do not grow with its texts (they took most of the time)."""
+    import pyarrow as pa
+
+    calls, mix = [], jj.mix
+    monkeypatch.setattr(jj, "mix", lambda h: calls.append(len(h)) or mix(h))
+    monkeypatch.setattr(jj, "map_arrow", lambda df, rows, schema: rows)
+    rng, took = random.Random(11), []
+    for count in (20, 400):
+        texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randint(100, 300))) for _ in range(count)]
+        columns = {"doc_id": pa.array(range(count), pa.int64()), "text": pa.array(texts)}
+        if step == "signed":
+            del columns["doc_id"]
+        rows = jj.with_sets(_Columns()) if step == "with_sets" else jj.signed(_Columns(), False, 80)
+        calls.clear()
+        assert sum(b.num_rows for b in rows(iter([pa.RecordBatch.from_pydict(columns)]))) >= count
+        took.append(len(calls))
+    assert took[1] <= took[0] + 5
+
+
+def test_sets_of_a_batch_are_those_of_single_texts():
+    rng = random.Random(12)
+    texts = ["", "a", "a b", "A b c d", "a b c d e", " ", "x " * 100, "p q q p z", "q p p q z", "u" * 70_000 + " v"]
+    texts += [" ".join(rng.choices("abcdefgh", k=rng.choice([0, 3, 5, 9, 40, 70, 1500]))) for _ in range(300)]
+    h, n = jj.flat_sets([t.encode() for t in texts])
+    assert n.tolist() == [len(plain_set(t)) for t in texts]
+    sets = np.split(h, np.cumsum(n)[:-1])
+    assert len({x.tobytes() for x in sets}) == len({plain_set(t) for t in texts})
+    assert [len(np.intersect1d(a, b)) for a, b in zip(sets, sets[1:])] == [
+        len(plain_set(a) & plain_set(b)) for a, b in zip(texts, texts[1:])
+    ]
+    sigs, of = jj.flat_signatures(h, n)
+    parities, spare, nodes = jj.flat_parities(h, n), jj.flat_spare(h, n), jj.set_hashes(h, n)
+    for k, x in enumerate(sets):
+        assert set(sigs[of == k].tolist()) == (set(jj.signatures(x, False).tolist()) if len(x) else set())
+        if len(x):
+            assert parities[k].tolist() == jj.parities(x) and spare[k].tolist() == jj.spare_signatures(x)
+            assert nodes[k] == jj.set_hashes(x, np.array([len(x)]))[0]
+    assert [len(x) for x in jj.flat_sets([])] == [len(x) for x in jj.flat_signatures(*jj.flat_sets([b"", b" "]))] == [0, 0]
+
+
+def test_word_hashes_follow_their_formula():
+    """The sum of byte value times base^(place + 1), mixed; also of words longer than a slice and across its end."""
+    from tidemark.llm import hashing
+
+    def plain(word):
+        total = sum(int(hashing._BYTE[b]) * pow(int(hashing._BASE), k + 1, 2**64) for k, b in enumerate(word)) + len(word)
+        return int(hashing.mix(np.array([total % 2**64], np.uint64))[0])
+
+    texts = [b"Ab c", b"", b"x" * 70_000 + b" y", b"\xc3\x89t\xc3\xa9 " * 9_000, b"z" * 140_000]
+    found, counts = hashing.word_hashes(texts, jj.WORD)
+    assert counts.tolist() == [2, 0, 2, 9000, 1]
+    known = {}
+    for h, w in zip(found.tolist(), b" ".join(texts).lower().split()):
+        assert h == known.setdefault(w, plain(w))

@@ -7,8 +7,17 @@ import numpy as np
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes hashed at once: bounds the memory of the intermediate arrays.
-SLICE = 1 << 20
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+#: Bytes hashed at once: the intermediate arrays stay in the cache.
+SLICE = 1 << 16
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base^0 to base^n."""
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]), dtype=np.uint64)
+
+
+_POWERS, _INVERSES = _powers(_BASE, SLICE + 256), _powers(_INVERSE, SLICE + 256)
 
 
 def byte_class(pattern: str) -> np.ndarray:
@@ -27,17 +36,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _slice_words(buffer: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inside = word[buffer]
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    """A word's hash is that of the sum of byte value times base^(place in the word + 1): a difference of two running sums."""
+    inside = np.zeros(len(buffer) + 2, bool)
+    inside[1:-1] = word[buffer]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64), starts
-    length = ends - starts
-    first = np.cumsum(length) - length
-    within = np.arange(int(length.sum())) - np.repeat(first, length)
-    powers = np.cumprod(np.full(int(length.max()), _BASE, np.uint64))
-    values = _BYTE[buffer[inside]] * powers[within]
-    return mix(np.add.reduceat(values, first) + length.astype(np.uint64)), starts
+    powers, inverses = _POWERS, _INVERSES
+    if len(buffer) >= len(powers):  # a word that reaches far over the end of a slice
+        powers, inverses = _powers(_BASE, len(buffer)), _powers(_INVERSE, len(buffer))
+    sums = np.zeros(len(buffer) + 1, np.uint64)
+    np.cumsum(_BYTE[buffer] * powers[1 : len(buffer) + 1], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64)), starts
 
 
 def word_hashes(texts: list[bytes], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -49,25 +49,54 @@ MOST_SENT = 1_000_000
 PART = 2048
 #: 64-bit words of the parity sketch.
 PARITY_WORDS = 16
-_ODD = [np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64) for k in range(1, SHINGLE + 1)]
+#: A factor for each place in a shingle; unrelated ones, so that no exchange of words leaves their sum as it is.
+_ODD = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
-    """The distinct shingle hashes of each text, in order; of fewer words, one hash of all of them."""
+def flat_sets(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of all texts, each text's in order, and their number in each text.
+
+    A text of fewer words has one hash of all of them.
+    """
     words, counts = word_hashes(texts, WORD)
-    out, at = [], 0
-    for n in counts.tolist():
-        own = words[at : at + n]
-        at += n
-        k = min(size, n)
-        if not k:
-            out.append(own)
-            continue
-        h = np.full(n - k + 1, n if n < size else size, np.uint64)
-        for j in range(k):
-            h = mix(h + own[j : n - k + 1 + j] * _ODD[j])
-        out.append(np.unique(h))
-    return out
+    ends = np.cumsum(counts)
+    begins = ends - counts
+    h, first = np.zeros(len(words), np.uint64), np.ones(len(words), bool)
+    whole = max(0, len(words) - size + 1)
+    for j in range(size):
+        h[:whole] += words[j : whole + j] * _ODD[j]
+    h += np.uint64(size)
+    long, short = ends[counts >= size], counts < size
+    for j in range(1, size):
+        first[long - j] = False
+        first[begins[short & (counts > j)] + j] = False
+    few = short & (counts > 0)
+    h[begins[few]] = counts[few].astype(np.uint64)
+    for j in range(size - 1):
+        at = begins[short & (counts > j)]
+        h[at] += words[at + j] * _ODD[j]
+    h = mix(h[first])
+    n = np.where(short, few, counts - size + 1)
+    ends = np.cumsum(n)
+    for begin, end in zip((ends - n).tolist(), ends.tolist()):
+        h[begin:end].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[(ends - n)[n > 0]] = True
+    return h[new], per_set(new, n)
+
+
+def per_set(flags: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many of the flags of each set are up; n: how many flags each has."""
+    before = np.concatenate([[0], np.cumsum(flags)])
+    ends = np.cumsum(n)
+    return before[ends] - before[ends - n]
+
+
+def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, in order."""
+    h, n = flat_sets(texts, size)
+    return np.split(h, np.cumsum(n)[:-1]) if texts else []
 
 
 def band_of(n: int) -> int:
@@ -93,9 +122,9 @@ def groups_of(band: int, strong: bool, percent: int = PERCENT) -> int:
     return k // 2 + 1 if strong else k + 1 + (k + 1) // 4
 
 
-def cells_of(h: np.ndarray, cells: int) -> np.ndarray:
+def cells_of(h: np.ndarray, cells: int | np.ndarray) -> np.ndarray:
     """The cell of each element; multiply-shift of the high half: monotone in the hash, so that cells are runs of the sorted set."""
-    return (((h >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)).astype(np.int64)
+    return (((h >> np.uint64(32)) * np.asarray(cells, np.uint64)) >> np.uint64(32)).astype(np.int64)
 
 
 def spare_signatures(h: np.ndarray, percent: int = PERCENT) -> list[int]:
@@ -107,32 +136,88 @@ def spare_signatures(h: np.ndarray, percent: int = PERCENT) -> list[int]:
     return out + [0] * (2 - len(out))
 
 
+def band_signatures(h: np.ndarray, b: int, strong: bool, percent: int = PERCENT) -> np.ndarray:
+    """The signatures of one set (sorted hashes) in a band; the lowest bit is that of the band."""
+    groups = groups_of(b, strong, percent)
+    cells = 4 * groups if strong else groups
+    cell = cells_of(h, cells)
+    sums = np.zeros(cells, np.uint64)
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    sums[cell[first]] = np.add.reduceat(mix(h + np.uint64(1)), first)
+    if strong:
+        quarters = sums.reshape(groups, 4)
+        part = quarters.sum(1, dtype=np.uint64)[:, None] - quarters
+        which = np.arange(4 * groups, dtype=np.uint64).reshape(groups, 4)
+        filled = part != 0
+        # a group with one difference at most; both sets have elements in the three equal quarters, or sign all
+        enough = int((filled.sum(1) == 4).sum()) > most_differences(len(h), percent) // 2
+    else:
+        part, which = sums, np.arange(groups, dtype=np.uint64)
+        filled = sums != 0
+        enough = int(filled.sum()) > most_differences(len(h), percent)
+    return signature_of(part, which, np.full(1, b), strong)[filled if enough else np.ones_like(filled)]
+
+
+def signature_of(part: np.ndarray, which: np.ndarray, band: np.ndarray, strong: bool) -> np.ndarray:
+    """The signatures of contents of partitions."""
+    salt = (band * 2 + strong + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    own = mix(part * np.uint64(0x9E3779B97F4A7C15) + mix(which + salt))
+    return own & ~np.uint64(1) | (band & 1).astype(np.uint64)
+
+
 def signatures(h: np.ndarray, strong: bool, percent: int = PERCENT) -> np.ndarray:
-    """The signatures of one set (sorted hashes); the lowest bit is that of the band."""
-    n, out = len(h), []
-    for b in bands_of(n, percent):
-        groups = groups_of(b, strong, percent)
-        cells = 4 * groups if strong else groups
-        cell = cells_of(h, cells)
-        sums = np.zeros(cells, np.uint64)
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        sums[cell[first]] = np.add.reduceat(mix(h + np.uint64(1)), first)
-        salt = np.uint64((b * 2 + strong + 1) * 0xD6E8FEB86659FD93 % 2**64)
-        if strong:
-            quarters = sums.reshape(groups, 4)
-            part = quarters.sum(1, dtype=np.uint64)[:, None] - quarters
-            which = np.arange(4 * groups, dtype=np.uint64).reshape(groups, 4)
-            filled = part != 0
-            # a group with one difference at most; both sets have elements in the three equal quarters, or sign all
-            enough = int((filled.sum(1) == 4).sum()) > most_differences(n, percent) // 2
-        else:
-            part, which = sums, np.arange(groups, dtype=np.uint64)
-            filled = sums != 0
-            enough = int(filled.sum()) > most_differences(n, percent)
-        keep = filled if enough else np.ones_like(filled)
-        own = mix(part * np.uint64(0x9E3779B97F4A7C15) + mix(which + salt))[keep]
-        out.append(own & ~np.uint64(1) | np.uint64(b & 1))
-    return np.unique(np.concatenate(out))
+    """The signatures of one set in its own band and the next."""
+    return np.unique(np.concatenate([band_signatures(h, b, strong, percent) for b in bands_of(len(h), percent)]))
+
+
+def bands_of_sets(n: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For the own and the next band: which sets of n elements take it, their bands and the bands' partitions."""
+    own = np.frexp(n)[1].astype(np.int64) - 1
+    groups = np.array([groups_of(b, False, percent) for b in range(int(own.max(initial=0)) + 2)], np.int64)
+    yield n > 0, own[n > 0], groups[own[n > 0]]
+    near = (n > 0) & (100 * n >= percent * 2 ** (own + 1))
+    yield near, own[near] + 1, groups[own[near] + 1]
+
+
+def cell_runs(h: np.ndarray, n: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets with elements: the first element of each partition with elements, its number, and how many each set has."""
+    cell = cells_of(h, np.repeat(groups, n))
+    new = np.ones(len(h), bool)
+    new[1:] = cell[1:] != cell[:-1]
+    new[np.cumsum(n) - n] = True
+    first = np.flatnonzero(new)
+    return first, cell[first], per_set(new, n)
+
+
+def flat_spare(h: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """`spare_signatures` of sets one behind the other, with n elements each."""
+    out = np.zeros((len(n), 2), np.int64)
+    for k, (take, _, groups) in enumerate(bands_of_sets(n, percent)):
+        filled = cell_runs(h[np.repeat(take, n)], n[take], groups)[2]
+        out[take, k] = np.maximum(0, filled - n[take] * (100 - percent) // percent - 1)
+    return out
+
+
+def flat_signatures(h: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The weak `signatures` of sets one behind the other, with n elements each, and the set that each signature is of."""
+    hashed, sigs, sets = mix(h + np.uint64(1)), [], []
+    begins = np.cumsum(n) - n
+    for take, band, groups in bands_of_sets(n, percent):
+        if not take.any():
+            continue
+        of, own = np.flatnonzero(take), n[take]
+        mine = np.repeat(take, n)
+        first, cell, filled = cell_runs(h[mine], own, groups)
+        part = np.add.reduceat(hashed[mine], first)
+        filled = per_set(part != 0, was := filled)
+        enough = filled > own * (100 - percent) // percent
+        keep = (part != 0) & np.repeat(enough, was)
+        sigs.append(signature_of(part[keep], cell[keep].astype(np.uint64), np.repeat(band, was)[keep], False))
+        sets.append(np.repeat(of, was)[keep])
+        for k in np.flatnonzero(~enough):  # signs its empty partitions too
+            sigs.append(band_signatures(h[begins[of[k]] : begins[of[k]] + own[k]], int(band[k]), False, percent))
+            sets.append(np.full(len(sigs[-1]), of[k]))
+    return np.concatenate([np.empty(0, np.uint64), *sigs]), np.concatenate([np.empty(0, np.int64), *sets])
 
 
 def parities(h: np.ndarray, words: int = PARITY_WORDS) -> list[int]:
@@ -160,9 +245,25 @@ def wide_apart(p: Column, q: Column) -> Column:
     return F.when(p.isNotNull() & q.isNotNull(), count)
 
 
-def _set_hash(h: np.ndarray) -> int:
-    """A 64-bit hash of a set: the node that stands for all texts with this set."""
-    return int(mix(mix(h).sum(dtype=np.uint64)[None] + np.uint64(len(h))).view(np.int64)[0])
+def flat_parities(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A row of `parities` for each of the sets one behind the other, with n elements each."""
+    bits = 64 * PARITY_WORDS
+    place = np.repeat(np.arange(len(n)) * bits, n) + (h & np.uint64(bits - 1)).astype(np.int64)
+    odd = np.bincount(place, minlength=len(n) * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(n), PARITY_WORDS)
+
+
+def set_hashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set: the node that stands for all texts with this set."""
+    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h), dtype=np.uint64)])
+    ends = np.cumsum(n)
+    return mix(before[ends] - before[ends - n] + n.astype(np.uint64)).view(np.int64)
+
+
+def lists(values: np.ndarray, n: np.ndarray, missing: np.ndarray | None = None) -> pa.ListArray:
+    """Lists of n values each; null where `missing`."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(values), mask=None if missing is None else pa.array(missing))
 
 
 def with_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -170,15 +271,17 @@ def with_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
+            h, n = flat_sets([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
+            none, some = n == 0, n > 0
+            wide = [wide_parities(x) for x in np.split(h, np.cumsum(n)[:-1])] if len(n) else []
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([len(h) for h in sets], pa.int64()),
-                    pa.array([_set_hash(h) if len(h) else None for h in sets], pa.int64()),
-                    pa.array([parities(h) if len(h) else None for h in sets], pa.list_(pa.int64())),
-                    pa.array([wide_parities(h) for h in sets], pa.list_(pa.int64())),
-                    pa.array([spare_signatures(h, percent) if len(h) else None for h in sets], pa.list_(pa.int32())),
+                    pa.array(n, pa.int64()),
+                    pa.array(set_hashes(h, n), pa.int64(), mask=none),
+                    lists(flat_parities(h, n)[some].ravel(), PARITY_WORDS * some, none),
+                    pa.array(wide, pa.list_(pa.int64())),
+                    lists(flat_spare(h, n, percent)[some].ravel().astype(np.int32), 2 * some, none),
                 ],
                 ["doc_id", "n_shingles", "node", "parity", "wide", "spare"],
             )
@@ -193,16 +296,19 @@ def signed(texts: DataFrame, strong: bool, percent: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            sigs, nodes = [], []
-            for h in shingle_sets([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]):
-                node = _set_hash(h) if len(h) else None
-                if node is not None and node not in seen:
-                    seen.add(node)
-                    own = signatures(h, strong, percent)
-                    sigs.append(own.view(np.int64))
-                    nodes.append(np.full(len(own), node))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, nodes)], ["sig", "node"])
+            h, n = flat_sets([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()])
+            node = set_hashes(h, n)
+            fresh = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool) & (n > 0)
+            h, n, node = h[np.repeat(fresh, n)], n[fresh], node[fresh]
+            if strong:
+                each = [signatures(x, True, percent) for x in np.split(h, np.cumsum(n)[:-1])] if len(n) else []
+                sigs = np.concatenate([np.empty(0, np.uint64), *each])
+                node = np.repeat(node, [len(x) for x in each])
+            else:
+                sigs, sets = flat_signatures(h, n, percent)
+                node = node[sets]
+            if len(sigs):
+                yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(node)], ["sig", "node"])
 
     return map_arrow(texts.select("text"), rows, "sig bigint, node bigint")
 
@@ -276,10 +382,9 @@ def verified(close: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingle_sets([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
-            found = pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))
-            mine = pa.array([_set_hash(h) if len(h) else None for h in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), mine, found], ["node", "own", "hashes"])
+            h, n = flat_sets([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
+            mine = pa.array(set_hashes(h, n), pa.int64(), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), mine, lists(h.view(np.int64), n)], ["node", "own", "hashes"])
 
     # a doc_id may have rows with other texts: only the set that the node stands for counts
     wanted = stored(wanted, "ids")
