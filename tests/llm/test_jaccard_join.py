@@ -287,3 +287,37 @@ def test_word_hashes_follow_their_formula():
     known = {}
     for h, w in zip(found.tolist(), b" ".join(texts).lower().split()):
         assert h == known.setdefault(w, plain(w))
+
+
+def test_components_stop_when_the_edges_are_stars(spark, monkeypatch):
+    from tidemark.llm import common
+
+    names, plain = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: names.append(name) or plain(df, name))
+    for edges in ([(1, x) for x in range(2, 30)], [(30 - x, 30) for x in range(1, 29)]):
+        names.clear()
+        found = common.connected_components(spark.createDataFrame(edges, "a long, b long"))
+        want = min(min(e) for e in edges)
+        assert {(r.node, r.component) for r in found.collect()} == {(x, want) for e in edges for x in e}
+        assert len(names) == 2  # the edges and one round
+    assert not common.are_stars(spark.createDataFrame([(3, 1), (3, 2)], "u long, v long"))
+    assert not common.are_stars(spark.createDataFrame([(2, 1), (3, 2)], "u long, v long"))
+    assert common.are_stars(spark.createDataFrame([(2, 1), (3, 1), (5, 4)], "u long, v long"))
+
+
+def test_components_of_random_edges(spark):
+    from tidemark.llm.common import connected_components
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(1000 + x, 1001 + x) for x in range(40)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    loose = {x for a, b in edges if a == b for x in (a,)} - {x for a, b in edges if a != b for x in (a, b)}
+    found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.component) for r in found) == sorted((x, root(x)) for x in parent if x not in loose)

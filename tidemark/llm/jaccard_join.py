@@ -359,8 +359,8 @@ def with_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return own.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "doc_id")
 
 
-def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The (a, b, doc_a, doc_b) of distinct pairs that may be similar by their sizes and parities."""
+def near(pairs: DataFrame, nodes: DataFrame, percent: int, wide: bool = True) -> DataFrame:
+    """The (a, b, doc_a, doc_b) of distinct pairs that may be similar by their sizes and parities; wide: if any node has wide ones."""
     side = lambda c: nodes.select(
         F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"), F.col("one").alias(f"doc_{c}")
     )
@@ -369,6 +369,8 @@ def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     total = F.col("n_a") + F.col("n_b")
     close = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     close = close.where(apart * (100 + percent) <= total * (100 - percent)).drop("p_a", "p_b")
+    if not wide:
+        return close.select("a", "b", "doc_a", "doc_b")
     large = lambda c: nodes.where("wide is not null").select(F.col("node").alias(c), F.col("wide").alias(f"w_{c}"))
     close = close.join(large("a"), "a", "left").join(large("b"), "b", "left")
     apart = F.coalesce(wide_apart(F.col("w_a"), F.col("w_b")), F.lit(0))
@@ -408,13 +410,13 @@ class _Groups:
         self.nodes, self.docs, self.percent = nodes, docs, percent
         self.met: DataFrame | None = None  # all have a < b
         self.components: DataFrame | None = None
+        self.wide = not nodes.where("wide is not null").isEmpty()
 
     def meet(self, pairs: DataFrame) -> None:
         """Verifies the pairs that have not met before and merges what they link."""
-        close = near(pairs, self.nodes, self.percent)
-        if self.met is not None:
-            close = close.join(self.met, ["a", "b"], "left_anti")
-        close = stored(close, "pairs")
+        if self.met is not None:  # before the other joins: distinct pairs lie by (a, b) already
+            pairs = pairs.join(self.met, ["a", "b"], "left_anti")
+        close = stored(near(pairs, self.nodes, self.percent, self.wide), "pairs")
         if self.met is not None and close.isEmpty():
             return
         met = close.select("a", "b")
@@ -516,12 +518,13 @@ def _settle_large(groups: _Groups, rows: DataFrame) -> None:
     rows = stored(rows.select("sig", "node").join(groups.nodes.select("node", "n_shingles", "parity"), "node"), "large")
     most = rows.groupBy("sig").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     while True:
-        left = groups.unsettled(rows)
+        left = stored(groups.unsettled(rows), "unsettled")
         if left.isEmpty():
             return
         # about `share` nodes of each bucket by a hash; at the end all
         chosen = F.lit(True) if share >= most else (F.pmod(rank, F.col("n")) < share)
         groups.meet(_across_close(left, chosen, groups.percent))
+        discard(left)
         if share >= most:
             return
         share *= 8
